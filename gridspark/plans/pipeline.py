@@ -1,0 +1,411 @@
+"""End products: daily to monthly to annual, fits, maps, deltas, injections, summaries and the sweep."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridspark.functions.columns import check_variable, floor_zero, flux_to_mm_day
+from gridspark.operators import align, signal, spatial, stats, timeops
+from gridspark.schema import (DAILY_THRESHOLDS, EXPERIMENT_WINDOW, FIRST_PROJECTED_YEAR, LAST_HISTORICAL_YEAR, PREINDUSTRIAL,
+                              REPLICATES, VARIABLES, literal_map, variable_flag)
+from gridspark.scratch import settle
+from gridspark.sources.grid import write_grid, write_missing
+
+MAP_KEYS = ["variable", "scenario", "year", "cell_id"]
+
+
+# -- variables ---------------------------------------------------------------------------------
+
+def expand_variables(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Rows of source variables become rows of every wanted variable computed from them."""
+    for v in variables:
+        check_variable(v)
+    wanted: dict[str, list[str]] = {}
+    for v in variables:
+        wanted.setdefault(VARIABLES[v].source, []).append(v)
+    pairs = [x for s, vs in wanted.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in vs]))]
+    return df.withColumn("variable", F.explode(F.create_map(*pairs)[F.col("variable")]))
+
+
+def land_and_people(df: DataFrame, land: DataFrame, population: DataFrame | None, floor: bool = True) -> DataFrame:
+    """Floor day counts, keep land cells of land-only variables, weight exposures by persons."""
+    flag = lambda f: variable_flag(F.col("variable"), f)
+    if floor:
+        df = df.withColumn("value", F.when(flag("is_count"), floor_zero("value")).otherwise(F.col("value")))
+    cells = land.select("cell_id", F.lit(True).alias("_land")).distinct()
+    df = df.join(cells, "cell_id", "left").filter(~flag("land_only") | F.col("_land")).drop("_land")
+    if population is not None:
+        df = df.join(population.select("cell_id", "persons"), "cell_id", "left")
+        df = df.filter(~flag("is_exposure") | F.col("persons").isNotNull())
+        df = df.withColumn("value", F.when(flag("is_exposure"), F.col("value") * F.col("persons") / 1e6).otherwise(F.col("value")))
+        df = df.drop("persons")
+    return df
+
+
+def subtract_baseline(df: DataFrame, baseline: DataFrame, sign: int = -1) -> DataFrame:
+    """Subtract (or add back) the historical mean map for the variables that are reported relative to it."""
+    base = baseline.select("variable", "cell_id", F.col("value").alias("_base"))
+    out = df.join(base, ["variable", "cell_id"], "left")
+    change = F.when(variable_flag(F.col("variable"), "rebase"), F.col("value") + sign * F.col("_base")).otherwise(F.col("value"))
+    return out.withColumn("value", change).drop("_base")
+
+
+# -- daily and monthly jobs --------------------------------------------------------------------
+
+def process_daily(daily: DataFrame, variable: str, keys: Sequence[str] = ("experiment", "member", "cell_id"),
+                  thresholds: Sequence[tuple[str, str, float]] | None = None, drop_empty: bool = True) -> DataFrame:
+    """Monthly products of one daily variable as (variable, keys, year, month, value), in one group-by.
+
+    Temperature gives monthly extremes and three day counts, precipitation two day counts.
+    """
+    check_variable(variable, ["tas", "pr"])
+    limits = DAILY_THRESHOLDS[variable] if thresholds is None else thresholds
+    if variable == "tas" and drop_empty:
+        daily = align.drop_degenerate_days(daily, [k for k in keys if k != "cell_id"])
+    if variable == "pr":
+        daily = daily.withColumn("value", flux_to_mm_day(F.lit("pr"), "value"))
+    wide = timeops.daily_indices(daily, keys, limits, extremes=variable == "tas")
+    named = {"tasmax": "max", "tasmin": "min"} if variable == "tas" else {}
+    named |= {name: name for name, _, _ in limits}
+    cells = [F.struct(F.lit(v).alias("variable"), F.col(c).cast("double").alias("value")) for v, c in named.items()]
+    return wide.select(*keys, "year", "month", F.inline(F.array(*cells)))
+
+
+@dataclass
+class MonthlyProducts:
+    annual: DataFrame               # (variable, experiment, year, cell_id, value), ensemble means on the target grid
+    natural: DataFrame              # (variable, value)
+    regional: DataFrame             # (variable, cell_id, value) on the target grid
+
+
+def annual_members(monthly: DataFrame) -> DataFrame:
+    """Members' annual fields, fluxes converted; ``variable`` decides the annual rule."""
+    converted = monthly.withColumn("value", flux_to_mm_day("variable", "value"))
+    return timeops.monthly_to_annual(converted, ["variable", "experiment", "member", "cell_id"])
+
+
+def process_monthly(monthly: DataFrame, cells: DataFrame, target_cells: DataFrame | None = None, baseline: str = "baseline",
+                    history: str = "historical", fit: tuple[int, int] = stats.VARIABILITY_FIT,
+                    window: tuple[int, int] = stats.VARIABILITY_WINDOW,
+                    last_historical: int = LAST_HISTORICAL_YEAR) -> MonthlyProducts:
+    """Annual ensemble means, scalar and per-cell variability of all variables in one plan.
+
+    Averaging over members and regridding are both linear, so members are averaged before the regrid.
+    """
+    annual = annual_members(monthly)
+    base = annual.filter(F.col("experiment") == baseline)
+    natural = stats.natural_variability(base, cells, window=fit)
+    regional = stats.regional_variability(base, fit=fit, window=window)
+    past = annual.filter(F.col("experiment") == history)
+    rest = annual.filter(F.col("experiment") != history)
+    joined = align.append_history(past, rest, last_historical, baseline)
+    mean = timeops.ensemble_mean(joined, ["member"])
+    if target_cells is not None:
+        mean = spatial.bilinear_regrid(mean, cells, target_cells, ["variable", "experiment", "year"])
+        regional = spatial.bilinear_regrid(regional, cells, target_cells, ["variable"])
+    mean = mean.select("variable", "experiment", "year", "cell_id", "value")
+    return MonthlyProducts(precipitation_minus_evaporation(mean), natural, regional)
+
+
+def precipitation_minus_evaporation(annual: DataFrame) -> DataFrame:
+    """Replace the evaporation product stored under p-e by precipitation minus it."""
+    keys = ["experiment", "year", "cell_id"]
+    pe = align.precip_minus_evap(annual.filter("variable = 'pr'").drop("variable"), annual.filter("variable = 'p-e'").drop("variable"), keys)
+    rest = annual.filter("variable <> 'p-e'")
+    return rest.unionByName(pe.withColumn("variable", F.lit("p-e")).select(*rest.columns))
+
+
+# -- fits --------------------------------------------------------------------------------------
+
+def fit_map(annual: DataFrame, series: DataFrame, replicates: int = REPLICATES, **kw) -> DataFrame:
+    """Bootstrap fits of annual maps (variable, model, scenario, year, cell_id, value) to the global series."""
+    years = series.select("scenario", "year").distinct()
+    rows = annual.join(years, ["scenario", "year"], "left_semi")
+    return stats.bootstrap_ols(rows, series, ["variable", "model"], replicates, **kw)
+
+
+def experiment_changes(annual: DataFrame, targets: Sequence[str], baseline: str, window: tuple[int, int]) -> DataFrame:
+    """(variable, target, cell_id, value): experiment minus baseline mean over one window, one pass."""
+    sel = annual.filter(F.col("experiment").isin([*targets, baseline]) & F.col("year").between(*window))
+    mean = lambda e: F.avg(F.when(F.col("experiment") == e, F.col("value")))
+    wide = sel.groupBy("variable", "cell_id").agg(mean(baseline).alias("_b"), *[mean(t).alias(f"_{i}") for i, t in enumerate(targets)])
+    rows = [F.struct(F.lit(t).alias("target"), (F.col(f"_{i}") - F.col("_b")).alias("value")) for i, t in enumerate(targets)]
+    return wide.select("variable", "cell_id", F.inline(F.array(*rows)))
+
+
+def fit_delta(annual: DataFrame, cells: DataFrame, targets: Sequence[str] = ("1.5", "1.0", "0.5"), baseline: str = "baseline",
+              window: tuple[int, int] = EXPERIMENT_WINDOW, injections: DataFrame | None = None,
+              predictor_variable: str = "tas") -> tuple[DataFrame, DataFrame | None]:
+    """Slopes (variable, cell_id, slope) of change on the change of the global temperature mean.
+
+    ``injections`` (target, lat, value), already averaged over the window, are fitted the same way with
+    a zero baseline: (lat, slope).
+    """
+    change = settle(experiment_changes(annual, targets, baseline, window), "changes")
+    x = stats.area_weighted_mean(change.filter(F.col("variable") == predictor_variable), cells, ["target"]) \
+        .withColumnRenamed("value", "driver")
+    slopes = stats.slope_through_origin(change, x)
+    by_lat = stats.slope_through_origin(injections, x, ["lat"]) if injections is not None else None
+    return slopes, by_lat
+
+
+def fit_all(annual: DataFrame, scenario_maps: DataFrame, series: DataFrame, cells: DataFrame, path: str, **kw) -> None:
+    """Write both kinds of fit for every variable."""
+    write_grid(fit_map(scenario_maps, series, **kw), f"{path}/coef", ["variable", "model"])
+    write_grid(fit_delta(annual, cells)[0], f"{path}/delta_slope", ["variable"])
+
+
+# -- maps --------------------------------------------------------------------------------------
+
+def mean_coefs(coef: DataFrame) -> DataFrame:
+    """Mean over replicates of a*T + b is mean(a)*T + mean(b): predict once instead of per replicate."""
+    return coef.groupBy("variable", "cell_id").agg(F.avg("slope").alias("slope"), F.avg("intercept").alias("intercept"))
+
+
+def predict_map(coef: DataFrame, series: DataFrame, variables: Sequence[str], land: DataFrame, population: DataFrame | None = None,
+                baseline: DataFrame | None = None, first_year: int = FIRST_PROJECTED_YEAR) -> DataFrame:
+    """Projected maps (variable, scenario, year, cell_id, value) from the global series."""
+    drivers = series.filter(F.col("year") >= first_year).select("scenario", "year", "driver")
+    raw = align.outer_scale(expand_variables(mean_coefs(coef), variables), drivers, intercept="intercept")
+    out = land_and_people(raw, land, population)
+    return subtract_baseline(out, baseline) if baseline is not None else out
+
+
+def historical_map(annual: DataFrame, variables: Sequence[str], land: DataFrame, population: DataFrame | None = None,
+                   last_year: int = LAST_HISTORICAL_YEAR, experiments: Column | None = None) -> DataFrame:
+    """Historical maps (variable, year, cell_id, value), not rebased; each variable from its own experiment."""
+    source = experiments if experiments is not None else variable_flag(F.col("variable"), "history")
+    past = annual.filter((F.col("year") <= last_year) & (F.col("experiment") == source)).drop("experiment")
+    return land_and_people(expand_variables(past, variables), land, population)
+
+
+def baseline_map(history: DataFrame, window: tuple[int, int] = PREINDUSTRIAL) -> DataFrame:
+    """(variable, cell_id, value): the historical mean that maps are compared with."""
+    return history.filter(F.col("year").between(*window)).groupBy("variable", "cell_id").agg(F.avg("value").alias("value"))
+
+
+def pvalue_maps(maps: DataFrame, baseline: DataFrame, variability: DataFrame, land: DataFrame, rebased: bool = True,
+                keys: Sequence[str] = ("variable", "scenario"), **kw) -> DataFrame:
+    """Decadal p-values of maps against the baseline; rebased variables get it added back first."""
+    full = subtract_baseline(maps, baseline, +1) if rebased else maps
+    std = expand_variables(variability, [*VARIABLES]) if "variable" in variability.columns else variability
+    return stats.regional_pvalues(full, baseline, std, land, keys, **kw)
+
+
+# -- gap, delta, injection ---------------------------------------------------------------------
+
+def temp_gap(tas_map: DataFrame, cells: DataFrame, target_tenths: tuple[int, int] | Sequence[int]) -> DataFrame:
+    """(scenario, target_tenths, year, temp_diff): target minus the area mean of the temperature map."""
+    mean = stats.area_weighted_mean(tas_map, cells, ["scenario", "year"])
+    tenths = F.explode(F.sequence(*map(F.lit, target_tenths)) if isinstance(target_tenths, tuple) else F.array(*map(F.lit, target_tenths)))
+    return mean.withColumn("target_tenths", tenths) \
+        .select("scenario", "target_tenths", "year", (F.col("target_tenths") / F.lit(10.0) - F.col("value")).alias("temp_diff"))
+
+
+def gated_gap(gap: DataFrame, start_year: int, ramp_years: int, keys: Sequence[str] = ("scenario", "target_tenths"), **kw) -> DataFrame:
+    """The gap from the start year on, gated and ramped: both only depend on time, so they come before the map product."""
+    g = gap.filter(F.col("year") >= start_year).withColumn("driver", F.col("temp_diff"))
+    return timeops.gate_and_ramp(g, keys, ramp_years, value="driver", **kw).select(*keys, "year", "driver")
+
+
+def regional_delta(slopes: DataFrame, gap: DataFrame, variables: Sequence[str], land: DataFrame, population: DataFrame | None,
+                   start_year: int, ramp_years: int, **kw) -> DataFrame:
+    """(variable, scenario, target_tenths, year, cell_id, value): slope map times the gated gap."""
+    drivers = gated_gap(gap, start_year, ramp_years, **kw)
+    raw = align.outer_scale(expand_variables(slopes, variables), drivers)
+    return land_and_people(raw, land, population, floor=False)
+
+
+def injection_by_latitude(slopes: DataFrame, gap: DataFrame, start_years: tuple[int, int], ramp_years: int = 10,
+                          last_year: int = align.LAST_YEAR) -> DataFrame:
+    """(scenario, target_tenths, start_year, year, lat, value) for every start year."""
+    keys = ["scenario", "target_tenths", "start_year"]
+    g = gap.withColumn("start_year", F.explode(F.sequence(*map(F.lit, start_years)))).filter(F.col("year") >= F.col("start_year"))
+    g = timeops.gate_and_ramp(g.withColumn("driver", F.col("temp_diff")), keys, ramp_years, value="driver", last_year=last_year)
+    rows = align.blocked_product(g.select(*keys, "year", "driver"), slopes.select("lat", "slope"), "year")
+    return rows.select(*keys, "year", "lat", (F.col("slope") * F.col("driver")).alias("value"))
+
+
+def custom_injection_delta(injection: DataFrame, aod_params: DataFrame, climate_params: DataFrame, patterns: DataFrame,
+                           first_year: int, co2_forcing: DataFrame | None = None, co2_band: str = "co2") -> DataFrame:
+    """(variable, year, cell_id, value) from annual injections per latitude band.
+
+    Annual amounts are spread over months, turned into optical depth, then into a response per variable;
+    the annual mean is taken before the product with the patterns (both are linear), and bands add up.
+    ``co2_forcing`` (k, value) enters the response directly, with its own parameters and pattern.
+    """
+    monthly = timeops.monthly_expand(injection).withColumn("k", ((F.col("year") - first_year) * 12 + F.col("month") - 1).cast("int"))
+    forcing = signal.convolve_decay(monthly.select("band", "k", "value"), aod_params)
+    if co2_forcing is not None:
+        forcing = forcing.unionByName(co2_forcing.select(F.lit(co2_band).alias("band"), "k", "value"))
+    per_variable = forcing.join(climate_params.select("variable", "band"), "band")
+    response = signal.convolve_kernel(per_variable.select("variable", "band", "k", "value"), climate_params, ["variable", "band"])
+    annual = timeops.annual_mean_12(response, ["variable", "band"], start_year=first_year)
+    drivers = annual.withColumnRenamed("value", "driver")
+    scaled = align.outer_scale(patterns, drivers, ["variable", "band"])
+    return scaled.groupBy("variable", "year", "cell_id").agg(F.sum("value").alias("value"))
+
+
+# -- summary -----------------------------------------------------------------------------------
+
+@dataclass
+class Summary:
+    maps: DataFrame        # (keys, cell_id, mean, delta_mean, inside)
+    series: DataFrame      # (keys, kind, year, value)
+    histograms: DataFrame  # (keys, kind, bin, lo, hi, frac)
+
+
+def map_summary(maps: DataFrame, delta: DataFrame, decade: tuple[int, int], keys: Sequence[str], region: DataFrame | None = None) -> DataFrame:
+    """Decade means of map and delta per cell, with the region mask."""
+    mean = maps.filter(F.col("year").between(*decade)).groupBy("variable", "scenario", "cell_id").agg(F.avg("value").alias("mean"))
+    dmean = delta.filter(F.col("year").between(*decade)).groupBy(*keys, "cell_id").agg(F.avg("value").alias("delta_mean"))
+    out = dmean.join(mean, ["variable", "scenario", "cell_id"])
+    if region is None:
+        return out.withColumn("inside", F.lit(True))
+    marks = region.select("cell_id", F.lit(True).alias("inside")).distinct()
+    return out.join(marks, "cell_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+def aggregate_series(maps: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Area means, or plain sums for exposures, of a multi-variable map table in one group-by."""
+    w = F.cos(F.radians("lat"))
+    v = F.col("value")
+    exposure = variable_flag(F.col("variable"), "is_exposure")
+    rows = maps.join(cells.select("cell_id", "lat"), "cell_id")
+    out = rows.groupBy(*keys, "year").agg(F.sum(v * w).alias("_vw"), F.sum(F.when(v.isNotNull(), w)).alias("_w"), F.sum(v).alias("_s"))
+    return out.withColumn("value", F.when(exposure, F.coalesce("_s", F.lit(0.0))).otherwise(F.try_divide("_vw", "_w"))).drop("_vw", "_w", "_s")
+
+
+def with_intervention(maps: DataFrame, delta: DataFrame, floor: bool) -> DataFrame:
+    """Map plus delta on their shared cells and years; day counts floored at zero when asked."""
+    d = delta.withColumnRenamed("value", "_delta")
+    out = maps.join(d, ["variable", "scenario", "year", "cell_id"]).withColumn("value", F.col("value") + F.col("_delta")).drop("_delta")
+    if floor:
+        count = variable_flag(F.col("variable"), "is_count")
+        out = out.withColumn("value", F.when(count, floor_zero("value")).otherwise(F.col("value")))
+    return out
+
+
+def series_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None, cells: DataFrame, start_year: int,
+                   keys: Sequence[str], smooth: bool = True, starts: DataFrame | None = None, obs: DataFrame | None = None) -> DataFrame:
+    """Series of history, without and with intervention: (keys, kind, year, value).
+
+    History and projection are smoothed as one series and cut again; before its first injection the
+    intervention follows the series without it.
+    """
+    base = ["variable", "scenario"]
+    without = aggregate_series(maps, cells, base)
+    if history is not None:
+        scenarios = maps.select("scenario").distinct()
+        past = aggregate_series(history, cells, ["variable"])
+        past = align.blocked_product(past, scenarios, "year").select(*without.columns)
+        without = align.join_series(past, without)
+    full = signal.smooth_lowpass(without, base) if smooth else without
+    full = settle(full.select(*base, "year", "value"), "series")
+    before, after = align.split_series(full, start_year - 1)
+    future = maps.filter(F.col("year") >= start_year)
+    with_ = aggregate_series(with_intervention(future, delta, floor=True), cells, keys)
+    extra = [k for k in keys if k not in base]
+    labels = delta.select(*keys).distinct()
+    spread = lambda d: d.join(labels, base).select(*keys, "year", "value")
+    before, after = spread(before), spread(after)
+    with_ = align.splice_before(with_.select(*keys, "year", "value"), after, keys, start_year if starts is None else None, starts)
+    out = align.stack_dim({"historical_model": before, "no_sai": after, "with_sai": with_}, "kind")
+    if obs is not None:
+        tas = labels.filter(F.col("variable") == "tas")
+        seen = align.blocked_product(obs.select("year", "value"), tas, "year")
+        out = out.unionByName(seen.withColumn("kind", F.lit("historical_obs")).select(*out.columns))
+    return out.select(*base, *extra, "kind", "year", "value")
+
+
+def histogram_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None, decade: tuple[int, int], keys: Sequence[str],
+                      history_window: tuple[int, int] = (1950, 1960)) -> DataFrame:
+    """Distributions over cells and years of a decade: equal bins, or fixed edges for day counts."""
+    base = ["variable", "scenario"]
+    now = maps.filter(F.col("year").between(*decade))
+    labels = delta.select(*keys).distinct()
+    parts = {"no_sai": now.join(labels, base).select(*keys, "value"),
+             "with_sai": with_intervention(now, delta, floor=False).select(*keys, "value")}
+    if history is not None:
+        past = history.filter(F.col("year").between(*history_window))
+        parts["historical"] = past.join(labels, "variable").select(*keys, "value")
+    rows = align.stack_dim(parts, "kind")
+    count = variable_flag(F.col("variable"), "is_count")
+    by = [*keys, "kind"]
+    return stats.histogram_equal(rows.filter(~count), by).unionByName(stats.histogram_edges(rows.filter(count & (F.col("value") > 0)), by))
+
+
+def scenario_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None, cells: DataFrame, start_year: int,
+                     decade: tuple[int, int], region: DataFrame | None = None, starts: DataFrame | None = None,
+                     obs: DataFrame | None = None, smooth: bool = True, history_window: tuple[int, int] = (1950, 1960)) -> Summary:
+    """Maps, series and histograms of one or many scenarios and targets.
+
+    ``maps`` and ``history`` are already rebased; with ``region`` series and histograms use its cells only.
+    """
+    keys = [c for c in delta.columns if c not in ("year", "cell_id", "value")]
+    cut = (lambda d: d) if region is None else (lambda d: spatial.clip_to_land(d, region))
+    past = cut(history) if history is not None else None
+    return Summary(
+        map_summary(maps, delta, decade, keys, region),
+        series_summary(cut(maps), cut(delta), past, cells, start_year, keys, smooth, starts, obs),
+        histogram_summary(cut(maps), cut(delta), past, decade, keys, history_window))
+
+
+def variability_summary(natural: DataFrame, variables: Sequence[str], population: DataFrame, region: DataFrame | None = None) -> DataFrame:
+    """(variable, value): scalar variability, times persons of the region (or all) for exposures."""
+    rows = expand_variables(natural, variables)
+    people = stats.population_variability(rows, population, region)
+    pick = variable_flag(F.col("variable"), "is_exposure")
+    return rows.filter(~pick).unionByName(people.filter(pick).select(*rows.columns))
+
+
+# -- sweep -------------------------------------------------------------------------------------
+
+def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame, series: DataFrame, slopes: DataFrame,
+              injection_slopes: DataFrame | None, annual: DataFrame, variability: DataFrame, cells: DataFrame, land: DataFrame,
+              population: DataFrame, variables: Sequence[str], target_tenths: tuple[int, int], start_years: tuple[int, int],
+              canvas_start: int = 2024, ignore_existing: bool = False, **window) -> dict[str, bool]:
+    """Write every product of scenarios x variables x targets that is not there yet.
+
+    One plan per product covers all missing keys, so the sweep is partition parallelism, not a loop.
+    Written maps feed the later products.  Ramp-up is left out of the cached deltas.
+    """
+    history = historical_map(annual, variables, land, population)
+    base = settle(baseline_map(history, **window), "baseline")
+    done = {}
+
+    def maps_for(todo: DataFrame) -> DataFrame:
+        maps = predict_map(coef, series, variables, land, population, base)
+        return maps.join(todo.select("scenario", "variable").distinct(), ["scenario", "variable"], "left_semi")
+
+    singles = work.select("scenario", "variable").distinct()
+    done["maps"] = write_missing(spark, singles, f"{path}/maps", ["variable", "scenario"], maps_for, ignore_existing)
+    maps = spark.read.parquet(f"{path}/maps")
+    done["pvalues"] = write_missing(
+        spark, singles, f"{path}/pvalues", ["variable", "scenario"],
+        lambda todo: pvalue_maps(maps.join(todo, ["scenario", "variable"], "left_semi"), base, variability, land), ignore_existing)
+    gap = settle(temp_gap(maps.filter("variable = 'tas'"), cells, target_tenths), "gap")
+    keys = ["variable", "scenario", "target_tenths"]
+    targets = work.select(*keys).distinct()
+
+    def deltas_for(todo: DataFrame) -> DataFrame:
+        out = regional_delta(slopes, gap, variables, land, population, canvas_start, 0)
+        return out.join(todo, keys, "left_semi")
+
+    done["delta"] = write_missing(spark, targets, f"{path}/delta", keys, deltas_for, ignore_existing)
+    delta = spark.read.parquet(f"{path}/delta")
+    done["delta_pvalues"] = write_missing(
+        spark, targets, f"{path}/delta_pvalues", keys,
+        lambda todo: pvalue_maps(with_intervention(maps, delta.join(todo, keys, "left_semi"), False), base, variability, land, keys=keys),
+        ignore_existing)
+    if injection_slopes is not None:
+        done["injection"] = write_missing(
+            spark, work.select("scenario", "target_tenths").distinct(), f"{path}/injection", ["scenario", "target_tenths"],
+            lambda todo: injection_by_latitude(injection_slopes, gap.join(todo, ["scenario", "target_tenths"], "left_semi"), start_years),
+            ignore_existing)
+    return done

@@ -1,0 +1 @@
+"""Empty on purpose: every product of this engine is a batch of files in, tables out."""
