@@ -7,11 +7,12 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def semi_infinite_kernel(lag: pd.Series, tau: pd.Series, mu: pd.Series) -> pd.Series:
     """Response of a semi-infinite diffusive body ``lag`` steps after a unit forcing."""
     u = lag.to_numpy(float) / tau.to_numpy(float)

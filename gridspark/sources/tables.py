@@ -99,10 +99,12 @@ def scan_regions(spark: SparkSession, path: str, name: str = "name", lines: bool
     A FeatureCollection is one JSON document; ``lines`` reads one feature per line instead, with its
     number in the property ``region_id``, which splits over tasks.
     """
-    feature = f"struct<properties:struct<`{name}`:string,region_id:int>,geometry:struct<type:string,coordinates:string>>"
+    properties, geometry = f"struct<`{name}`:string,region_id:int>", "struct<type:string,coordinates:string>"
     if lines:
-        f = spark.read.schema(feature[len("struct<"):-1]).json(path).select(F.col("properties.region_id").alias("region_id"), F.struct("properties", "geometry").alias("f"))
+        f = spark.read.schema(f"properties {properties}, geometry {geometry}").json(path) \
+            .select(F.col("properties.region_id").alias("region_id"), F.struct("properties", "geometry").alias("f"))
     else:
+        feature = f"struct<properties:{properties},geometry:{geometry}>"
         doc = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True)
         f = doc.select(F.posexplode("features").alias("region_id", "f"))
     shape = F.col("f.geometry.coordinates")
