@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
 
 @F.pandas_udf(T.DoubleType())
 def semi_infinite_kernel(lag: pd.Series, tau: pd.Series, mu: pd.Series) -> pd.Series:
@@ -18,7 +16,7 @@ def semi_infinite_kernel(lag: pd.Series, tau: pd.Series, mu: pd.Series) -> pd.Se
     u = lag.to_numpy(float) / tau.to_numpy(float)
     root = np.sqrt(u)
     with np.errstate(over="ignore", invalid="ignore"):
-        decay = np.exp(u) * _erfc(root).astype(float)
+        decay = np.exp(u) * np.array([math.erfc(x) for x in root])
     # beyond the range of exp the product is replaced by its asymptotic form
     smooth = 2 / math.sqrt(math.pi) / (root + np.sqrt(u + 2))
     decay = np.where(np.isfinite(decay), decay, smooth)

@@ -62,10 +62,10 @@ def global_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scenario, k, value): 79 consecutive months per scenario, k counts from January 1995."""
-    k = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("int")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scenario"), k.alias("k")) \
-        .agg((F.avg("o_totalprice") / 100000).alias("value"))
+    """(scenario, k, value): consecutive months per scenario, k counts from January 1995."""
+    k = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("scenario"), k.alias("k")) \
+        .agg((F.avg("l_extendedprice") / 10130).alias("value"))
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +174,8 @@ union all select 'pr', experiment, member, year, cell_id, pr from a_annual_wide"
 select o_orderpriority as scenario, cast(year(o_orderdate) as int) as year, round(avg(o_totalprice) / 100000, 6) as driver
 from orders group by o_orderpriority, year(o_orderdate)""",
     "a_global_monthly": """
-select o_orderpriority as scenario, cast((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 as int) as k, avg(o_totalprice) / 100000 as value
-from orders group by 1, 2""",
+select l_returnflag as scenario, cast((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 as int) as k, avg(l_extendedprice) / 10130 as value
+from lineitem group by 1, 2""",
     "a_population": """
 select cast(c_custkey % 100 as int) as cell_id, round(sum(abs(c_acctbal)), 2) as persons
 from customer group by cast(c_custkey % 100 as int)""",
@@ -254,4 +254,7 @@ def oracle(body: str, **extra: str) -> str:
         return body
     head = ",\n".join(f"{n} as ({views[n]})" for n in needed)
     body = body.strip()
-    return f"with {head},\n{body[5:]}" if body.lower().startswith("with ") else f"with {head}\n{body}"
+    for start in ("with recursive ", "with "):
+        if body.startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
+    return f"with {head}\n{body}"
