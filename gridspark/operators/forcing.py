@@ -260,8 +260,8 @@ def toa_imbalance(temperature: DataFrame, forcing: DataFrame, configs: DataFrame
 def ocean_heat(imbalance: DataFrame, keys: Sequence[str] = ("scenario", "config"), t: str = "t", step: float = 1.0,
                initial: float = 0.0) -> DataFrame:
     """Ocean heat content change: running imbalance without its first step, over the Earth's surface, in J."""
-    run = cumulative(imbalance, keys, t, "toa_imbalance", "_run")
+    run = cumulative(imbalance, keys, t, "toa_imbalance", "_total")
     first = imbalance.groupBy(*keys).agg(F.min_by("toa_imbalance", t).alias("_first"))
     joules = step * EARTH_RADIUS ** 2 * 4 * math.pi * SECONDS_PER_YEAR
     return run.join(first, list(keys)).select(*keys, t, "toa_imbalance",
-                                              ((F.col("_run") - F.col("_first")) * joules + initial).alias("ocean_heat"))
+                                              ((F.col("_total") - F.col("_first")) * joules + initial).alias("ocean_heat"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.columns import check_variable, floor_zero, flux_to_mm_day
 from gridspark.operators import align, signal, spatial, stats, timeops
-from gridspark.schema import (DAILY_THRESHOLDS, EXPERIMENT_WINDOW, FIRST_PROJECTED_YEAR, LAST_HISTORICAL_YEAR, PREINDUSTRIAL,
+from gridspark.schema import (CANVAS_START_YEAR, DAILY_THRESHOLDS, EXPERIMENT_WINDOW, FIRST_PROJECTED_YEAR, LAST_HISTORICAL_YEAR, PREINDUSTRIAL,
                               REPLICATES, VARIABLES, literal_map, variable_flag)
 from gridspark.scratch import settle
 from gridspark.sources.grid import write_grid, write_missing
@@ -368,19 +368,20 @@ def variability_summary(natural: DataFrame, variables: Sequence[str], population
 
 def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame, series: DataFrame, slopes: DataFrame,
               injection_slopes: DataFrame | None, annual: DataFrame, variability: DataFrame, cells: DataFrame, land: DataFrame,
-              population: DataFrame, variables: Sequence[str], target_tenths: tuple[int, int], start_years: tuple[int, int],
-              canvas_start: int = 2024, ignore_existing: bool = False, **window) -> dict[str, bool]:
+              population: DataFrame, variables: Sequence[str], target_tenths: tuple[int, int] | Sequence[int], start_years: tuple[int, int],
+              canvas_start: int = CANVAS_START_YEAR, first_year: int = FIRST_PROJECTED_YEAR, last_historical: int = LAST_HISTORICAL_YEAR,
+              base_window: tuple[int, int] = PREINDUSTRIAL, decades: dict | None = None, ignore_existing: bool = False) -> dict[str, bool]:
     """Write every product of scenarios x variables x targets that is not there yet.
 
     One plan per product covers all missing keys, so the sweep is partition parallelism, not a loop.
     Written maps feed the later products.  Ramp-up is left out of the cached deltas.
     """
-    history = historical_map(annual, variables, land, population)
-    base = settle(baseline_map(history, **window), "baseline")
+    history = historical_map(annual, variables, land, population, last_historical)
+    base = settle(baseline_map(history, base_window), "baseline")
     done = {}
 
     def maps_for(todo: DataFrame) -> DataFrame:
-        maps = predict_map(coef, series, variables, land, population, base)
+        maps = predict_map(coef, series, variables, land, population, base, first_year)
         return maps.join(todo.select("scenario", "variable").distinct(), ["scenario", "variable"], "left_semi")
 
     singles = work.select("scenario", "variable").distinct()
@@ -388,7 +389,7 @@ def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame,
     maps = spark.read.parquet(f"{path}/maps")
     done["pvalues"] = write_missing(
         spark, singles, f"{path}/pvalues", ["variable", "scenario"],
-        lambda todo: pvalue_maps(maps.join(todo, ["scenario", "variable"], "left_semi"), base, variability, land), ignore_existing)
+        lambda todo: pvalue_maps(maps.join(todo, ["scenario", "variable"], "left_semi"), base, variability, land, **decades or {}), ignore_existing)
     gap = settle(temp_gap(maps.filter("variable = 'tas'"), cells, target_tenths), "gap")
     keys = ["variable", "scenario", "target_tenths"]
     targets = work.select(*keys).distinct()
@@ -401,7 +402,7 @@ def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame,
     delta = spark.read.parquet(f"{path}/delta")
     done["delta_pvalues"] = write_missing(
         spark, targets, f"{path}/delta_pvalues", keys,
-        lambda todo: pvalue_maps(with_intervention(maps, delta.join(todo, keys, "left_semi"), False), base, variability, land, keys=keys),
+        lambda todo: pvalue_maps(with_intervention(maps, delta.join(todo, keys, "left_semi"), False), base, variability, land, keys=keys, **decades or {}),
         ignore_existing)
     if injection_slopes is not None:
         done["injection"] = write_missing(

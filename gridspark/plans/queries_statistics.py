@@ -205,27 +205,33 @@ _B, _A, _Z = ([f"({float(x)!r}::double)" for x in part] for part in lowpass_coef
 
 
 def _pass(name: str, source: str, position: str) -> str:
-    """One direction of the recursive filter over (scenario, ``position``, v)."""
+    """One direction of the recursive filter over (id, ``position``, v)."""
     y = f"(f.z1 + {_B[0]} * s.v)"
     steps = [f"f.z{i + 1} + {_B[i]} * s.v - {_A[i]} * {y}" for i in (1, 2)] + [f"{_B[3]} * s.v - {_A[3]} * {y}"]
     return f"""{name} as (
-  select scenario, cast(0 as bigint) as p, 0e0 as y, {_Z[0]} * v as z1, {_Z[1]} * v as z2, {_Z[2]} * v as z3 from {source} where {position} = 1
-  union all select s.scenario, f.p + 1, {y}, {", ".join(steps)} from {name} f join {source} s on s.scenario = f.scenario and s.{position} = f.p + 1)"""
-
-
-_SMOOTH = f"""
-with recursive n as (select scenario, max(k) + 1 as n from a_global_monthly group by scenario),
-  x as (select n.scenario, n.n + 20 as m, i + 10 as j, v.value as v from n, range(-10, 300) r(i) join a_global_monthly v on i < n.n + 10 and v.scenario = n.scenario
-        and v.k = case when i < 0 then -i - 1 when i >= n.n then 2 * n.n - 1 - i else i end),
-  e as (select scenario, m, j, v from x
-        union all select x.scenario, x.m, -x.j, 2 * z.v - x.v from x join x z on z.scenario = x.scenario and z.j = 0 where x.j between 1 and 12
-        union all select x.scenario, x.m, 2 * x.m - 2 - x.j, 2 * z.v - x.v from x join x z on z.scenario = x.scenario and z.j = x.m - 1 where x.j between x.m - 13 and x.m - 2),
-  ahead as (select scenario, j, m, j + 13 as p, v from e),
+  select id, cast(0 as bigint) as p, 0e0 as y, {_Z[0]} * v as z1, {_Z[1]} * v as z2, {_Z[2]} * v as z3 from {source} where {position} = 1
+  union all select s.id, f.p + 1, {y}, {", ".join(steps)} from {name} f join {source} s on s.id = f.id and s.{position} = f.p + 1)"""
+
+
+def smooth_sql(source: str, id_: str, t: str, value: str) -> str:
+    """Common tables ending in ``smoothed`` (id, t, value): symmetric padding, odd extension, both filter passes."""
+    return f"""
+  s0 as (select {id_} as id, {t} as t, {value} as v from {source}),
+  n as (select id, min(t) as t0, max(t) - min(t) + 1 as n from s0 group by id),
+  x as (select n.id, n.t0, n.n + 20 as m, i + 10 as j, s0.v from n join range(-10, 400) r(i) on i < n.n + 10
+        join s0 on s0.id = n.id and s0.t - n.t0 = least((i + 40 * n.n) % (2 * n.n), 2 * n.n - 1 - (i + 40 * n.n) % (2 * n.n))),
+  e as (select id, t0, m, j, v from x
+        union all select x.id, x.t0, x.m, -x.j, 2 * z.v - x.v from x join x z on z.id = x.id and z.j = 0 where x.j between 1 and 12
+        union all select x.id, x.t0, x.m, 2 * x.m - 2 - x.j, 2 * z.v - x.v from x join x z on z.id = x.id and z.j = x.m - 1 where x.j between x.m - 13 and x.m - 2),
+  ahead as (select id, t0, j, m, j + 13 as p, v from e),
   {_pass("fwd", "ahead", "p")},
-  back as (select f.scenario, a.m, f.p, a.m + 25 - f.p as q, f.y as v from fwd f join ahead a on a.scenario = f.scenario and a.p = f.p),
-  {_pass("bwd", "back", "q")}
-select b.scenario, cast(m + 24 - b.p + 1 - 13 - 10 as int) as k, {r('y')} as value from bwd b join (select distinct scenario, m from back) c using (scenario)
-where b.p > 0 and m + 24 - b.p + 1 - 13 between 10 and m - 11"""
+  back as (select f.id, a.t0, a.m, a.m + 25 - f.p as q, f.y as v from fwd f join ahead a on a.id = f.id and a.p = f.p),
+  {_pass("bwd", "back", "q")},
+  smoothed as (select b.id, c.t0 + (c.m + 24 - b.p + 1 - 13) - 10 as t, b.y as value from bwd b join (select distinct id, t0, m from back) c on b.id = c.id
+        where b.p > 0 and c.m + 24 - b.p + 1 - 13 between 10 and c.m - 11)"""
+
+
+_SMOOTH = f"with recursive {smooth_sql('a_global_monthly', 'scenario', 'k', 'value')} select id as scenario, cast(t as int) as k, {r('value')} as value from smoothed"
 
 
 @query("smooth_lowpass", _SMOOTH)

@@ -78,6 +78,7 @@ LAST_YEAR = 2100
 LAST_HISTORICAL_YEAR = 2014
 PREINDUSTRIAL = (1850, 1900)
 FIRST_START_YEAR = 2035
+CANVAS_START_YEAR = 2024
 LAST_START_YEAR = 2090
 TARGET_TENTHS = (5, 25)
 DECADE_ORIGIN = 2040
