@@ -1,27 +1,35 @@
-"""Two-sided t test as a column expression."""
+"""Two-sided t test."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ttest_pvalue(mean1: Column, mean2: Column, std: Column, n: int) -> Column:
-    """p-value of equal means for two groups of ``n`` samples with a shared standard deviation.
+def student_tail(cos2: str, df: int) -> Column:
+    """Two-sided p-value for ``df`` (even) degrees of freedom; ``cos2`` names a column 1 / (1 + t^2 / df).
 
-    The degrees of freedom 2n-2 are even, so the distribution function is a finite sum in
-    cos(theta)^2 with theta = atan(|t| / sqrt(df)) (Abramowitz and Stegun 26.7.4).
+    For even df the distribution is a finite sum in cos(theta)^2 (Abramowitz and Stegun 26.7.4),
+    written here as nested products.
+    """
+    total = "1D"
+    for k in range(df // 2 - 1, 0, -1):
+        total = f"(1D + {(2 * k - 1) / (2 * k)!r}D * {cos2} * {total})"
+    return F.expr(f"greatest(0D, 1D - sqrt(1D - {cos2}) * {total})")
+
+
+def ttest_pvalue(df: DataFrame, mean1: Column, mean2: Column, std: Column, n: int, out: str = "p_value") -> DataFrame:
+    """Add the p-value of equal means for two groups of ``n`` samples with a shared standard deviation.
+
+    A zero deviation gives 1 for equal means and 0 otherwise.  The angle is its own column, so the long
+    sum refers to it by name and stays inside generated code.
     """
     if n < 2:
         raise ValueError("n must be at least 2")
-    df = 2 * n - 2
-    diff = mean1 - mean2
-    t = F.abs(diff) / (F.nullif(std, F.lit(0.0)) * float((2.0 / n) ** 0.5))
-    # with r = |t|/sqrt(df): sin = r/sqrt(1+r^2), cos^2 = 1/(1+r^2)
-    r2 = t * t / df
-    cos2 = 1 / (1 + r2)
-    total = F.lit(1.0)
-    for k in range(df // 2 - 1, 0, -1):
-        total = 1 + total * cos2 * ((2 * k - 1) / (2 * k))
-    p = F.greatest(F.lit(0.0), 1 - F.sqrt(r2 / (1 + r2)) * total)
-    return F.when(std == 0, F.when(diff == 0, F.lit(1.0)).when(diff != 0, F.lit(0.0))).otherwise(p)
+    free = 2 * n - 2
+    t = (mean1 - mean2) / (F.nullif(std, F.lit(0.0)) * float((2.0 / n) ** 0.5))
+    df = df.withColumns({"_diff": mean1 - mean2, "_std": std, "_ratio": t})
+    df = df.withColumn("_cos2", 1 / (1 + F.col("_ratio") * F.col("_ratio") / free))
+    exact = F.when(F.col("_diff") == 0, F.lit(1.0)).when(F.col("_diff") != 0, F.lit(0.0))
+    p = F.when(F.col("_std") == 0, exact).otherwise(student_tail("_cos2", free))
+    return df.withColumn(out, p).drop("_diff", "_std", "_ratio", "_cos2")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators.align import blocked_product
 from gridspark.operators.stats import exact_median
 from gridspark.operators.timeops import interpolate_gaps, resample_axis
-from gridspark.schema import literal_map
+from gridspark.schema import literal_map, literal_table, sql_literal
 
 # Climate parameters of the calibrated model.
 CALIBRATION = {
@@ -139,12 +139,6 @@ INPUT_MODES = {
 REPEATABLE_TYPES = ["other halogen", "f-gas", "other slcf", "unspecified"]
 
 
-def literal_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
-    """A short fixed table as literals, so that Catalyst knows how small it is."""
-    structs = [F.struct(*[F.lit(v).alias(c) for v, c in zip(row, columns)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
-
-
 # -- rows and configs --------------------------------------------------------------------------
 
 def filter_scenario_rows(df: DataFrame, scenario: str | None = None, region: str = "World",
@@ -191,11 +185,10 @@ def parameter_overrides(configs: DataFrame, rules: dict[str, list[tuple[str, str
 
 
 def literal_map_of_structs(mapping: dict[str, list[tuple[str, str | None]]]) -> Column:
-    cells = []
-    for name, rows in mapping.items():
-        structs = [F.struct(F.lit(p).alias("param"), F.lit(s).cast("string").alias("specie")) for p, s in rows]
-        cells += [F.lit(name), F.array(*structs)]
-    return F.create_map(*cells)
+    def rows(pairs):
+        return ", ".join(f"named_struct('param', {sql_literal(p)}, 'specie', cast({sql_literal(s)} as string))" for p, s in pairs)
+
+    return F.expr("map(" + ", ".join(f"{sql_literal(name)}, array({rows(pairs)})" for name, pairs in mapping.items()) + ")")
 
 
 def attach_species_params(df: DataFrame, species: DataFrame, overrides: DataFrame, params: Sequence[str],
@@ -319,7 +312,7 @@ def missing_species(tidy: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def check_species(species: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """Rule violations of a species table: (rule, subject, detail)."""
-    modes = F.create_map(*[x for t, m in INPUT_MODES.items() for x in (F.lit(t), F.array(*map(F.lit, m)))])
+    modes = F.expr("map(" + ", ".join(f"{sql_literal(t)}, array({', '.join(map(sql_literal, m))})" for t, m in INPUT_MODES.items()) + ")")
     allowed = modes[F.col("type")]
     bad_type = species.filter(allowed.isNull()).select(F.lit("type").alias("rule"), F.col("specie").alias("subject"), F.col("type").alias("detail"))
     bad_mode = species.filter(allowed.isNotNull() & ~F.array_contains(allowed, F.col("input_mode"))) \

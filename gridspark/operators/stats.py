@@ -105,10 +105,9 @@ def regional_pvalues(comparison: DataFrame, reference: DataFrame, std: DataFrame
         comparison = comparison.join(land.select("cell_id").distinct(), "cell_id", "left_semi")
     dec = decadal_means(comparison, [*keys, "cell_id"], **decades)
     ref = reference.select(*shared(reference), F.col("value").alias("_ref"))
-    dev = std.select(*shared(std), F.col("value").alias("_std"))
+    dev = std.select(*shared(std), F.col("value").alias("_dev"))
     joined = dec.join(ref, shared(reference)).join(dev, shared(std))
-    p = ttest_pvalue(F.col("_ref"), F.col("value"), F.col("_std"), n)
-    return joined.withColumn("p_value", p).drop("_ref", "_std", "value")
+    return ttest_pvalue(joined, F.col("_ref"), F.col("value"), F.col("_dev"), n).drop("_ref", "_dev", "value")
 
 
 # -- fits --------------------------------------------------------------------------------------

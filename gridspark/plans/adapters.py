@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.operators.scenario import literal_table
+from gridspark.schema import literal_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

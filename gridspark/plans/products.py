@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.columns import check_variable, floor_zero, flux_to_mm_day
 from gridspark.operators import align, signal, spatial, stats, timeops
 from gridspark.schema import (CANVAS_START_YEAR, DAILY_THRESHOLDS, EXPERIMENT_WINDOW, FIRST_PROJECTED_YEAR, LAST_HISTORICAL_YEAR, PREINDUSTRIAL,
-                              REPLICATES, VARIABLES, literal_map, variable_flag)
+                              REPLICATES, VARIABLES, sql_literal, variable_flag)
 from gridspark.scratch import settle
 from gridspark.sources.grid import write_grid, write_missing
 
@@ -28,8 +28,8 @@ def expand_variables(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     wanted: dict[str, list[str]] = {}
     for v in variables:
         wanted.setdefault(VARIABLES[v].source, []).append(v)
-    pairs = [x for s, vs in wanted.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in vs]))]
-    return df.withColumn("variable", F.explode(F.create_map(*pairs)[F.col("variable")]))
+    pairs = ", ".join(f"{sql_literal(s)}, array({', '.join(map(sql_literal, vs))})" for s, vs in wanted.items())
+    return df.withColumn("variable", F.explode(F.expr(f"map({pairs})")[F.col("variable")]))
 
 
 def land_and_people(df: DataFrame, land: DataFrame, population: DataFrame | None, floor: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from gridspark.functions import columns as C
 from gridspark.operators import scenario as S
 from gridspark.plans import adapters as A
 from gridspark.plans.registry import query, r, rounded
-from gridspark.schema import SCENARIO_TITLES
+from gridspark.schema import SCENARIO_TITLES, literal_table
 
 
 @query("filter_scenario_rows", "select scenario, region, variable, unit, y1995, y1996 from a_scenario_wide where ends_with(variable, '|O') and scenario in ('1-URGENT') union all select scenario, region, variable, unit, y1995, y1996 from a_scenario_wide where variable in ('Emissions|P', 'Emissions|F') and region = 'World'")
@@ -87,7 +87,7 @@ def convert_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = F.element_at(F.array(*[F.struct(F.lit(a).alias("u"), F.lit(b).alias("t")) for a, b in units]), (F.col("o_orderkey") % 6 + 1).cast("int"))
     rows = A.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"), pair.alias("p")) \
         .select("o_orderkey", "value", F.col("p.u").alias("unit"), F.col("p.t").alias("target_unit"))
-    weights = S.literal_table(spark, [("CO2", 44.009), ("CH4", 16.043), ("N2O", 44.013), *S.EXTRA_WEIGHTS.items()], ["compound", "weight"])
+    weights = literal_table(spark, [("CO2", 44.009), ("CH4", 16.043), ("N2O", 44.013), *S.EXTRA_WEIGHTS.items()], ["compound", "weight"])
     out = S.convert_units(rows, weights).withColumn("value", F.col("value") / 1013.0)
     return rounded(out, "value", digits=2).select("o_orderkey", "unit", "target_unit", "value", "unit_error")
 
@@ -106,8 +106,8 @@ select x.*, (select max_by(y.value, y.t) from a_scenario_long y where y.scenario
   (select min(y.t) from a_scenario_long y where y.scenario = x.scenario and y.variable = x.variable and y.t >= x.t and y.value is not null) as t1
 from a_scenario_long x""")
 def tidy_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    species = S.literal_table(spark, [("gas F",), ("gas O",)], ["specie"])
-    weights = S.literal_table(spark, [("CO2", 44.009), *S.EXTRA_WEIGHTS.items()], ["compound", "weight"])
+    species = literal_table(spark, [("gas F",), ("gas O",)], ["specie"])
+    weights = literal_table(spark, [("CO2", 44.009), *S.EXTRA_WEIGHTS.items()], ["compound", "weight"])
     out = S.tidy_scenarios(A.scenario_wide(spark, sf_dir), species, "emissions", 1994.0, 2002.0, prefix="y", renamed={"gas F": "F", "gas O": "O"},
                            targets=F.lit("Gt CO2/yr"), weights=weights)
     S.require(S.missing_species(out, species.join(out.select("scenario").distinct(), F.lit(True))), "scenario files lack")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from gridspark.functions.kernels import lowpass_coefficients
 from gridspark.functions.statistics import ttest_pvalue
 from gridspark.operators import signal, spatial, stats
-from gridspark.operators.scenario import literal_table
 from gridspark.plans import adapters as A
 from gridspark.plans.registry import query, r, rounded
+from gridspark.schema import literal_table
 
 
 # -- spatial -----------------------------------------------------------------------------------
@@ -87,7 +87,7 @@ select experiment, member, year, cell_id, {r(_P)} as p_value from (
 def ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tas = A.annual(spark, sf_dir).filter("variable = 'tas'")
     sd = F.when(F.col("cell_id") % 10 == 3, F.lit(0.0)).otherwise((20 + F.col("cell_id")).cast("double"))
-    out = tas.withColumn("p_value", ttest_pvalue(F.col("value"), F.lit(25.0), sd, 63))
+    out = ttest_pvalue(tas, F.col("value"), F.lit(25.0), sd, 63)
     return rounded(out.select("experiment", "member", "year", "cell_id", "p_value"), "p_value")
 
 

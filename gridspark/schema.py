@@ -5,9 +5,10 @@ Metadata is looked up with literal maps (``variable_flag``), so no join is spent
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -98,11 +99,32 @@ DAILY_THRESHOLDS = {
 }
 
 
-def variable_flag(variable: Column, field: str) -> Column:
-    """Metadata ``field`` of a variable column, as a literal map lookup."""
-    pairs = [F.lit(x) for v in VARIABLES.values() for x in (v.name, getattr(v, field))]
-    return F.create_map(*pairs)[variable]
+def sql_literal(x) -> str:
+    """A Python value as SQL text; short fixed tables are parsed once instead of built call by call."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).upper()
+    if isinstance(x, float):
+        return f"{x!r}D"
+    if isinstance(x, int):
+        return str(x)
+    return "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in mapping.items()) + ")")
+
+
+def variable_flag(variable: Column, field: str) -> Column:
+    """Metadata ``field`` of a variable column, as a literal lookup."""
+    values = {v.name: getattr(v, field) for v in VARIABLES.values()}
+    if all(isinstance(x, bool) for x in values.values()):
+        return variable.isin([name for name, on in values.items() if on])
+    return literal_map(values)[variable]
+
+
+def literal_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
+    """A short fixed table, inlined in the plan so that Catalyst knows how small it is."""
+    values = ", ".join("(" + ", ".join(map(sql_literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")

@@ -16,6 +16,7 @@ def build_session(app: str = "gridspark", cores: str | int = "*", shuffle_partit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
