@@ -15,7 +15,8 @@ def student_tail(cos2: str, df: int) -> Column:
     total = "1D"
     for k in range(df // 2 - 1, 0, -1):
         total = f"(1D + {(2 * k - 1) / (2 * k)!r}D * {cos2} * {total})"
-    return F.expr(f"greatest(0D, 1D - sqrt(1D - {cos2}) * {total})")
+    # greatest() skips NULL, so a missing angle is kept missing explicitly
+    return F.expr(f"CASE WHEN {cos2} IS NOT NULL THEN greatest(0D, 1D - sqrt(1D - {cos2}) * {total}) END")
 
 
 def ttest_pvalue(df: DataFrame, mean1: Column, mean2: Column, std: Column, n: int, out: str = "p_value") -> DataFrame:

@@ -89,7 +89,7 @@ def regional_variability(df: DataFrame, keys: Sequence[str] = ("variable", "cell
     per = per.select(*keys, n.alias("_n"), (sy0 - b * sx).alias("_r"), (syy0 + b * b * sxx - 2 * b * sxy0).alias("_rr"))
     mean = F.try_divide(F.sum("_r"), F.sum("_n"))
     var = F.try_divide(F.sum("_rr"), F.sum("_n")) - mean * mean
-    return per.groupBy(*keys).agg(F.sqrt(F.greatest(F.lit(0.0), var)).alias(value))
+    return per.groupBy(*keys).agg(F.sqrt(F.when(var > 0, var).otherwise(var * 0)).alias(value))
 
 
 # -- tests -------------------------------------------------------------------------------------

@@ -43,7 +43,7 @@ def scan_grid(spark: SparkSession, root: str, field: str, daily: bool) -> DataFr
     """Rows of one field and stream; other files are pruned by name and never opened."""
     df = spark.read.parquet(root)
     if "file" not in df.columns:
-        df = spark.read.option("pathGlobFilter", f"*.{field}.*").parquet(root) \
+        df = spark.read.schema(df.schema).option("pathGlobFilter", f"*.{field}.*").parquet(root) \
             .withColumn("file", F.col("_metadata.file_name"))
     name = F.col("file")
     df = df.filter(name.contains(f".{field}."))
