@@ -122,8 +122,8 @@ def skip_missing(df: DataFrame, keys: Sequence[str] = ("model", "scenario"), val
 
 
 def bootstrap_draws(times: DataFrame, replicates: int = REPLICATES, scenario: str = "scenario",
-                    year: str = "year", per_block: int = 25) -> DataFrame:
-    """How often each replicate draws each (scenario, year), as (scenario, year, block, weights[]).
+                    year: str = "year", per_block: int = 10) -> DataFrame:
+    """How often each replicate draws each (scenario, year), as (scenario, year, block, w0, w1, ..).
 
     Every scenario draws as many years as it has, with replacement and independently of the others.
     Draw i of replicate r is the year at position md5("b<r>-<scenario>-<i>") modulo n: reproducible on
@@ -140,36 +140,37 @@ def bootstrap_draws(times: DataFrame, replicates: int = REPLICATES, scenario: st
         .withColumn("_pos", draw)
     counts = draws.groupBy(scenario, "_pos", "replicate").agg(F.count("*").alias("w"))
     counts = counts.join(placed, [scenario, "_pos"])
-    slots = [F.coalesce(F.max(F.when(F.col("replicate") % per_block == k, F.col("w"))), F.lit(0)).cast("double")
+    slots = [F.coalesce(F.max(F.when(F.col("replicate") % per_block == k, F.col("w"))), F.lit(0)).cast("double").alias(f"w{k}")
              for k in range(min(per_block, replicates))]
     block = F.floor(F.col("replicate") / per_block).cast("int").alias("block")
-    return counts.groupBy(scenario, year, block).agg(F.array(*slots).alias("weights"))
+    return counts.groupBy(scenario, year, block).agg(*slots)
 
 
 def bootstrap_ols(df: DataFrame, series: DataFrame, keys: Sequence[str] = ("variable", "model"),
                   replicates: int = REPLICATES, scenario: str = "scenario", year: str = "year",
-                  value: str = "value", driver: str = "driver", per_block: int = 25) -> DataFrame:
+                  value: str = "value", driver: str = "driver", per_block: int = 10) -> DataFrame:
     """Slope and intercept of value on the global series, per replicate and cell.
 
-    Drawing with replacement is weighting: a row meets one weight array per block of replicates and
+    Drawing with replacement is weighting: a row meets one row of weights per block of replicates and
     feeds all of that block's sums at once, so rows are neither copied per draw nor per replicate, and
-    scan tasks pre-aggregate to one row per cell and block.  Scenarios with missing values are skipped.
+    scan tasks pre-aggregate to one row per cell and block.  Small blocks keep the generated code short
+    enough to be compiled.  Scenarios with missing values are skipped.
     """
     complete = skip_missing(df, [*[k for k in keys if k == "model"], scenario], value)
     x = series.select(scenario, year, F.col(driver).cast("double").alias("_x"))
     draws = settle(bootstrap_draws(x, replicates, scenario, year, per_block).join(x, [scenario, year]), "draws")
     rows = complete.join(draws, [scenario, year])
     width = min(per_block, replicates)
-    w = [F.element_at("weights", k + 1) for k in range(width)]
+    w = [F.col(f"w{k}") for k in range(width)]
     y, xc = F.col(value), F.col("_x")
     sums = []
     for k in range(width):
-        sums += [F.sum(w[k]).alias(f"w{k}"), F.sum(w[k] * xc).alias(f"x{k}"), F.sum(w[k] * y).alias(f"y{k}"),
+        sums += [F.sum(w[k]).alias(f"s{k}"), F.sum(w[k] * xc).alias(f"x{k}"), F.sum(w[k] * y).alias(f"y{k}"),
                  F.sum(w[k] * xc * xc).alias(f"xx{k}"), F.sum(w[k] * xc * y).alias(f"xy{k}")]
     agg = rows.groupBy(*keys, "cell_id", "block").agg(*sums)
     fits = []
     for k in range(width):
-        sw, sx, sy, sxx, sxy = (F.col(f"{p}{k}") for p in ("w", "x", "y", "xx", "xy"))
+        sw, sx, sy, sxx, sxy = (F.col(f"{p}{k}") for p in ("s", "x", "y", "xx", "xy"))
         slope = F.try_divide(sw * sxy - sx * sy, sw * sxx - sx * sx)
         fits.append(F.struct((F.col("block") * per_block + k).alias("replicate"), slope.alias("slope"),
                              F.try_divide(sy - slope * sx, sw).alias("intercept")))

@@ -16,9 +16,6 @@ from gridspark.schema import (CANVAS_START_YEAR, DAILY_THRESHOLDS, EXPERIMENT_WI
 from gridspark.scratch import settle
 from gridspark.sources.grid import write_grid, write_missing
 
-MAP_KEYS = ["variable", "scenario", "year", "cell_id"]
-
-
 # -- variables ---------------------------------------------------------------------------------
 
 def expand_variables(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -32,21 +29,28 @@ def expand_variables(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     return df.withColumn("variable", F.explode(F.expr(f"map({pairs})")[F.col("variable")]))
 
 
-def land_and_people(df: DataFrame, land: DataFrame, population: DataFrame | None, floor: bool = True) -> DataFrame:
-    """Floor day counts, keep land cells of land-only variables, weight exposures by persons."""
+def land_and_people(df: DataFrame, land: DataFrame, population: DataFrame | None, values: Sequence[str] = ("value",)) -> DataFrame:
+    """Keep the land cells of land-only variables and weight exposures by persons (in millions).
+
+    Both only depend on the cell, so patterns get them before they are multiplied out over time.
+    """
     flag = lambda f: variable_flag(F.col("variable"), f)
-    if floor:
-        df = df.withColumn("value", F.when(flag("is_count"), floor_zero("value")).otherwise(F.col("value")))
     cells = land.select("cell_id", F.lit(True).alias("_land")).distinct()
     df = df.join(cells, "cell_id", "left").filter(~flag("land_only") | F.col("_land")).drop("_land")
     if population is not None:
         df = df.join(population.select("cell_id", "persons"), "cell_id", "left")
         df = df.filter(~flag("is_exposure") | F.col("persons").isNotNull())
-        df = df.withColumn("value", F.when(flag("is_exposure"), F.col("value") * F.col("persons") / 1e6).otherwise(F.col("value")))
-        df = df.drop("persons")
+        weight = F.when(flag("is_exposure"), F.col("persons") / 1e6).otherwise(F.lit(1.0))
+        df = df.withColumns({v: F.col(v) * weight for v in values}).drop("persons")
     return df
 
 
+def floor_counts(df: DataFrame) -> DataFrame:
+    """Day counts (and exposures, whose weights are not negative) are at least zero."""
+    count = variable_flag(F.col("variable"), "is_count")
+    return df.withColumn("value", F.when(count, floor_zero("value")).otherwise(F.col("value")))
+
+
 def subtract_baseline(df: DataFrame, baseline: DataFrame, sign: int = -1) -> DataFrame:
     """Subtract (or add back) the historical mean map for the variables that are reported relative to it."""
     base = baseline.select("variable", "cell_id", F.col("value").alias("_base"))
@@ -95,9 +99,10 @@ def process_monthly(monthly: DataFrame, cells: DataFrame, target_cells: DataFram
                     last_historical: int = LAST_HISTORICAL_YEAR) -> MonthlyProducts:
     """Annual ensemble means, scalar and per-cell variability of all variables in one plan.
 
-    Averaging over members and regridding are both linear, so members are averaged before the regrid.
+    Members' annual fields, a twelfth of the input, are written once and feed every product.  Averaging
+    over members and regridding are both linear, so members are averaged before the regrid.
     """
-    annual = annual_members(monthly)
+    annual = settle(annual_members(monthly), "annual")
     base = annual.filter(F.col("experiment") == baseline)
     natural = stats.natural_variability(base, cells, window=fit)
     regional = stats.regional_variability(base, fit=fit, window=window)
@@ -160,6 +165,35 @@ def fit_all(annual: DataFrame, scenario_maps: DataFrame, series: DataFrame, cell
     write_grid(fit_delta(annual, cells)[0], f"{path}/delta_slope", ["variable"])
 
 
+# -- input series ------------------------------------------------------------------------------
+
+def global_series(temperature: DataFrame, window: tuple[int, int] = PREINDUSTRIAL) -> DataFrame:
+    """(scenario, year, driver): surface-layer temperature of every config relative to its own
+    pre-industrial mean, averaged over configs.  ``temperature`` is (scenario, config, layer, year, value)."""
+    surface = align.select_label(temperature, layer=0)
+    own = timeops.rebase(surface, ["scenario", "config"], window)
+    return timeops.ensemble_mean(own, ["config"]).withColumnRenamed("value", "driver")
+
+
+def observed_series(obs: DataFrame, window: tuple[int, int] = PREINDUSTRIAL) -> DataFrame:
+    """(year, value): observed anomalies relative to their own pre-industrial mean."""
+    return timeops.rebase(obs.withColumn("_series", F.lit("observed")), ["_series"], window).drop("_series")
+
+
+def controller_injections(table: DataFrame, columns: dict[str, float], window: tuple[int, int] = EXPERIMENT_WINDOW) -> DataFrame:
+    """(target, lat, value): injected amounts of the controllers, averaged over members, then over the window.
+
+    ``table`` comes from the whitespace-table reader: the target is read from the file name, and
+    ``columns`` maps amount columns to latitudes.
+    """
+    name = F.col("file")
+    target = F.when(name.contains("Lower-1.0"), F.lit("0.5")).when(name.contains("Lower-0.5"), F.lit("1.0")).otherwise(F.lit("1.5"))
+    cells = [F.struct(F.lit(float(lat)).alias("lat"), F.col(c).alias("value")) for c, lat in columns.items()]
+    long = table.select(target.alias("target"), "file", "year", F.inline(F.array(*cells)))
+    mean = timeops.ensemble_mean(long, ["file"])
+    return mean.filter(F.col("year").between(*window)).groupBy("target", "lat").agg(F.avg("value").alias("value"))
+
+
 # -- maps --------------------------------------------------------------------------------------
 
 def mean_coefs(coef: DataFrame) -> DataFrame:
@@ -171,8 +205,8 @@ def predict_map(coef: DataFrame, series: DataFrame, variables: Sequence[str], la
                 baseline: DataFrame | None = None, first_year: int = FIRST_PROJECTED_YEAR) -> DataFrame:
     """Projected maps (variable, scenario, year, cell_id, value) from the global series."""
     drivers = series.filter(F.col("year") >= first_year).select("scenario", "year", "driver")
-    raw = align.outer_scale(expand_variables(mean_coefs(coef), variables), drivers, intercept="intercept")
-    out = land_and_people(raw, land, population)
+    patterns = land_and_people(expand_variables(mean_coefs(coef), variables), land, population, ["slope", "intercept"])
+    out = floor_counts(align.outer_scale(patterns, drivers, intercept="intercept"))
     return subtract_baseline(out, baseline) if baseline is not None else out
 
 
@@ -181,7 +215,7 @@ def historical_map(annual: DataFrame, variables: Sequence[str], land: DataFrame,
     """Historical maps (variable, year, cell_id, value), not rebased; each variable from its own experiment."""
     source = experiments if experiments is not None else variable_flag(F.col("variable"), "history")
     past = annual.filter((F.col("year") <= last_year) & (F.col("experiment") == source)).drop("experiment")
-    return land_and_people(expand_variables(past, variables), land, population)
+    return land_and_people(floor_counts(expand_variables(past, variables)), land, population)
 
 
 def baseline_map(history: DataFrame, window: tuple[int, int] = PREINDUSTRIAL) -> DataFrame:
@@ -217,8 +251,8 @@ def regional_delta(slopes: DataFrame, gap: DataFrame, variables: Sequence[str],
                    start_year: int, ramp_years: int, **kw) -> DataFrame:
     """(variable, scenario, target_tenths, year, cell_id, value): slope map times the gated gap."""
     drivers = gated_gap(gap, start_year, ramp_years, **kw)
-    raw = align.outer_scale(expand_variables(slopes, variables), drivers)
-    return land_and_people(raw, land, population, floor=False)
+    patterns = land_and_people(expand_variables(slopes, variables), land, population, ["slope"])
+    return align.outer_scale(patterns, drivers)
 
 
 def injection_by_latitude(slopes: DataFrame, gap: DataFrame, start_years: tuple[int, int], ramp_years: int = 10,
@@ -285,10 +319,7 @@ def with_intervention(maps: DataFrame, delta: DataFrame, floor: bool) -> DataFra
     """Map plus delta on their shared cells and years; day counts floored at zero when asked."""
     d = delta.withColumnRenamed("value", "_delta")
     out = maps.join(d, ["variable", "scenario", "year", "cell_id"]).withColumn("value", F.col("value") + F.col("_delta")).drop("_delta")
-    if floor:
-        count = variable_flag(F.col("variable"), "is_count")
-        out = out.withColumn("value", F.when(count, floor_zero("value")).otherwise(F.col("value")))
-    return out
+    return floor_counts(out) if floor else out
 
 
 def series_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None, cells: DataFrame, start_year: int,

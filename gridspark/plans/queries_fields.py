@@ -135,8 +135,13 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.point_in_polygon(A.cells(spark, sf_dir), A.region_edges(spark, sf_dir))
 
 
-@query("land_mask", f"select variable, experiment, member, year, cell_id, {r('value')} as value from a_annual where cell_id in (select cell_id from a_land)")
+@query("land_mask", "select cell_id from a_land")
 def land_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.land_mask(A.cells(spark, sf_dir), A.region_edges(spark, sf_dir))
+
+
+@query("clip_to_land", f"select variable, experiment, member, year, cell_id, {r('value')} as value from a_annual where cell_id in (select cell_id from a_land)")
+def clip_to_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     land = spatial.land_mask(A.cells(spark, sf_dir), A.region_edges(spark, sf_dir))
     return rounded(spatial.clip_to_land(A.annual(spark, sf_dir), land), "value")
 

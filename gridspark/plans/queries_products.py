@@ -197,6 +197,40 @@ def fit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count("delta_slope").unionByName(count("coef"))
 
 
+# -- input series ------------------------------------------------------------------------------
+
+@query("global_series", f"""
+with t as (select scenario, config, t as year, sum(emissions) / 1013 as v from a_scenario_series group by all),
+  b as (select scenario, config, avg(v) as base from t where year between 1995 and 1997 group by all)
+select scenario, year, {r('avg(v - base)')} as driver from t join b using (scenario, config) group by scenario, year""")
+def global_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.scenario_series(spark, sf_dir).groupBy("scenario", "config", F.col("t").alias("year")).agg((F.sum("emissions") / 1013).alias("value"))
+    layers = t.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("value", F.col("value") * (1 + F.col("layer")))
+    return rounded(P.global_series(layers, (1995, 1997)), "driver")
+
+
+@query("observed_series", f"""
+with o as (select cast(year(o_orderdate) as int) as year, min(o_totalprice) / 1013 as v from orders group by 1)
+select year, {r('v - (select avg(v) from o where year between 1995 and 1996)')} as value from o""")
+def observed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = A.table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg((F.min("o_totalprice") / 1013).alias("value"))
+    return rounded(P.observed_series(obs, (1995, 1996)), "value")
+
+
+@query("controller_injections", f"""
+with m as (select o_orderpriority as p, cast(year(o_orderdate) as int) as year, min(o_totalprice) as lo, max(o_totalprice) as hi from orders group by all),
+  t as (select case when p in ('1-URGENT', '2-HIGH') then '0.5' when p = '3-MEDIUM' then '1.0' else '1.5' end as target, year, avg(lo) / 1013 as lo, avg(hi) / 1013 as hi from m group by 1, 2)
+select target, -30e0 as lat, {r('avg(lo)')} as value from t where year between 1996 and 1999 group by target
+union all select target, 15e0, {r('avg(hi)')} from t where year between 1996 and 1999 group by target""")
+def controller_injections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    case = F.when(p.isin("1-URGENT", "2-HIGH"), "Lower-1.0").when(p == "3-MEDIUM", "Lower-0.5").otherwise("Default")
+    table = A.table(spark, sf_dir, "orders").groupBy(
+        F.concat_ws("_", F.lit("Controller_start"), case, F.substring(p, 1, 1)).alias("file"), F.year("o_orderdate").alias("year")) \
+        .agg((F.min("o_totalprice") / 1013).alias("s30"), (F.max("o_totalprice") / 1013).alias("n15"))
+    return rounded(P.controller_injections(table, {"s30": -30, "n15": 15}, (1996, 1999)), "value")
+
+
 # -- maps, gap, delta --------------------------------------------------------------------------
 
 @query("predict_map", f"select variable, scenario, year, cell_id, {r('value', 5)} as value from h_map", **H)
@@ -204,9 +238,9 @@ def predict_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Inputs(spark, sf_dir).maps(), "value", digits=5)
 
 
-@query("historical_map", f"select variable, year, cell_id, {r('value')} as value from h_history", **H)
+@query("historical_map", f"select variable, year, cell_id, {r('value', 9)} as value from h_history", **H)
 def historical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Inputs(spark, sf_dir).history(), "value")
+    return rounded(Inputs(spark, sf_dir).history(), "value", digits=9)
 
 
 @query("temp_gap", f"select scenario, target_tenths, year, {r('temp_diff', 5)} as temp_diff from h_gap", **H)

@@ -110,7 +110,8 @@ def tidy_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = literal_table(spark, [("CO2", 44.009), *S.EXTRA_WEIGHTS.items()], ["compound", "weight"])
     out = S.tidy_scenarios(A.scenario_wide(spark, sf_dir), species, "emissions", 1994.0, 2002.0, prefix="y", renamed={"gas F": "F", "gas O": "O"},
                            targets=F.lit("Gt CO2/yr"), weights=weights)
-    S.require(S.missing_species(out, species.join(out.select("scenario").distinct(), F.lit(True))), "scenario files lack")
+    wanted = out.select("scenario").distinct().withColumn("specie", F.explode(F.array(F.lit("gas F"), F.lit("gas O"))))
+    S.require(S.missing_species(out, wanted), "scenario files lack")
     return rounded(out, "value")
 
 
