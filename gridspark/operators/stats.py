@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.columns import lat_weight
 from gridspark.functions.statistics import ttest_pvalue
+from gridspark.operators.align import blocked_product
 from gridspark.operators.timeops import decadal_means
 from gridspark.schema import REPLICATES, SAMPLES_PER_GROUP, VARIABILITY_FIT, VARIABILITY_WINDOW
 from gridspark.scratch import settle
@@ -42,9 +43,9 @@ def population_variability(variability: DataFrame, population: DataFrame, cells:
                            value: str = "value") -> DataFrame:
     """Scalar variability times persons (of the given cells, or all), in millions."""
     people = population.join(cells.select("cell_id").distinct(), "cell_id", "left_semi") if cells is not None else population
-    total = people.agg(F.coalesce(F.sum("persons"), F.lit(0.0)).alias("_persons")).withColumn("_one", F.lit(1))
-    one = variability.withColumn("_one", F.lit(1))
-    return one.join(total, "_one").withColumn(value, F.col(value) * F.col("_persons") / 1e6).drop("_one", "_persons")
+    total = people.agg(F.coalesce(F.sum("persons"), F.lit(0.0)).alias("_persons"))
+    weighted = blocked_product(variability, total, value)
+    return weighted.withColumn(value, F.col(value) * F.col("_persons") / 1e6).drop("_persons")
 
 
 # -- variability -------------------------------------------------------------------------------

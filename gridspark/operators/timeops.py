@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import exceeds
+from gridspark.operators.align import blocked_product
 from gridspark.schema import DECADE_ORIGIN, EQUIVALENT_WINDOWS, LAST_YEAR, PREINDUSTRIAL, variable_flag
 from gridspark.scratch import settle
 
@@ -77,7 +78,8 @@ def rebase(df: DataFrame, keys: Sequence[str], window: tuple[int, int] = PREINDU
     """Subtract each series' own mean over the window; a series without data there becomes NULL."""
     base = df.filter(F.col(year).between(*window)).groupBy(*keys).agg(F.avg(value).alias("_base"))
     base = settle(base, "rebase")
-    return df.join(base, list(keys), "left").withColumn(value, F.col(value) - F.col("_base")).drop("_base")
+    joined = df.join(base, list(keys), "left") if keys else blocked_product(df, base, year)
+    return joined.withColumn(value, F.col(value) - F.col("_base")).drop("_base")
 
 
 def decadal_means(df: DataFrame, keys: Sequence[str], origin: int = DECADE_ORIGIN, decades: int = 6,

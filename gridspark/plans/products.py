@@ -177,7 +177,7 @@ def global_series(temperature: DataFrame, window: tuple[int, int] = PREINDUSTRIA
 
 def observed_series(obs: DataFrame, window: tuple[int, int] = PREINDUSTRIAL) -> DataFrame:
     """(year, value): observed anomalies relative to their own pre-industrial mean."""
-    return timeops.rebase(obs.withColumn("_series", F.lit("observed")), ["_series"], window).drop("_series")
+    return timeops.rebase(obs, [], window)
 
 
 def controller_injections(table: DataFrame, columns: dict[str, float], window: tuple[int, int] = EXPERIMENT_WINDOW) -> DataFrame:

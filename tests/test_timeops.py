@@ -39,6 +39,11 @@ def test_rebase_without_baseline_is_missing(frame):
     assert as_dict(out, ["s", "year"]) == {("a", 1850): 0.0, ("a", 1950): 3.0, ("b", 1950): None}
 
 
+def test_rebase_of_a_single_series(frame):
+    out = timeops.rebase(frame([(1850, 1.0), (1860, 3.0), (1950, 4.0)], "year int, value double"), [])
+    assert as_dict(out, "year") == {1850: -1.0, 1860: 1.0, 1950: 2.0}
+
+
 def test_overlapping_climatology_windows(frame):
     rows = frame([(y, float(y)) for y in range(1993, 2040)], "year int, value double").withColumn("c", F.lit(1))
     assert as_dict(timeops.climatology(rows, ["c"]), "window") == {"1.5": 2029.5, "1.0": 2017.5, "0.5": 2002.5}
