@@ -11,6 +11,7 @@ from gridspark.operators.align import blocked_product
 from gridspark.operators.stats import exact_median
 from gridspark.operators.timeops import interpolate_gaps, resample_axis
 from gridspark.schema import literal_map, literal_table, sql_literal
+from gridspark.scratch import settle
 
 # Climate parameters of the calibrated model.
 CALIBRATION = {
@@ -294,7 +295,7 @@ def tidy_scenarios(wide: DataFrame, species: DataFrame, kind: str, start: float,
     keys = ["scenario", "specie", "unit"]
     years = [c for c in wide.columns if c.startswith(prefix) and c[len(prefix):].isdigit()]
     long = unpivot_years(rows.select(*keys, *years), keys, prefix)
-    filled = interpolate_gaps(long, keys).withColumn("t", F.col("t") + 0.5)
+    filled = settle(interpolate_gaps(long, keys).withColumn("t", F.col("t") + 0.5), "filled")
     axis = resample_axis(filled, keys, start, end, step, valid=(first, 2501))
     if kind == "forcing":
         return axis.drop("unit").withColumn("unit_error", F.lit(False))

@@ -129,8 +129,8 @@ def assert_monthly_contiguous(df: DataFrame, keys: Sequence[str], year: str = "y
 
 
 def known_neighbors(df: DataFrame, keys: Sequence[str], t: str = "t", value: str = "value",
-                    block: int = 4096, strict_next: bool = False) -> DataFrame:
-    """Last known point at or before each row and first known point at or after it (after it, if strict).
+                    block: int = 4096, strict: bool = False) -> DataFrame:
+    """Last known point at or before each row and first known point at or after it; without the row, if strict.
 
     Adds ``prev`` and ``next`` structs (t, v).  A series is cut into time blocks: windows run inside a
     block, and only one summary row per block is carried across, so no task ever holds a whole series.
@@ -145,24 +145,25 @@ def known_neighbors(df: DataFrame, keys: Sequence[str], t: str = "t", value: str
         F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
         F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
     inside = W.partitionBy(*keys, "_b").orderBy(t)
-    lo = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    hi = inside.rowsBetween(1 if strict_next else W.currentRow, W.unboundedFollowing)
+    lo = inside.rowsBetween(W.unboundedPreceding, -1 if strict else W.currentRow)
+    hi = inside.rowsBetween(1 if strict else W.currentRow, W.unboundedFollowing)
     local = cut.withColumns({"prev": F.last("_p", True).over(lo), "next": F.first("_p", True).over(hi)})
     joined = local.join(carry, [*keys, "_b"])
     return joined.withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")}) \
         .drop("_b", "_p", "_before", "_after")
 
 
-def _on_line(at: Column, prev: str = "prev", nxt: str = "next") -> Column:
-    t0, v0, t1, v1 = (F.col(f"{a}.{b}") for a in (prev, nxt) for b in ("t", "v"))
-    return v0 + (v1 - v0) * F.try_divide(at - t0, t1 - t0)
+def _on_line(at: Column, a: Column, b: Column) -> Column:
+    """The line through points ``a`` and ``b`` (t, v) at ``at``."""
+    return a["v"] + (b["v"] - a["v"]) * F.try_divide(at - a["t"], b["t"] - a["t"])
 
 
 def interpolate_gaps(df: DataFrame, keys: Sequence[str], t: str = "t", value: str = "value",
                      block: int = 4096) -> DataFrame:
     """Linear fill between known points; leading gaps stay missing, trailing gaps keep the last value."""
     near = known_neighbors(df, keys, t, value, block)
-    filled = F.coalesce(F.col(value), F.when(F.col("next").isNull(), F.col("prev.v")).otherwise(_on_line(F.col(t))))
+    filled = F.coalesce(F.col(value), F.when(F.col("next").isNull(), F.col("prev.v"))
+                        .otherwise(_on_line(F.col(t), F.col("prev"), F.col("next"))))
     return near.withColumn(value, filled).drop("prev", "next")
 
 
@@ -174,22 +175,22 @@ def resample_axis(df: DataFrame, keys: Sequence[str], start: float, end: float,
     Each segment between two known points emits the axis points it covers; the first and last segment
     also cover the open ends (linear extrapolation).  Axis points outside ``valid`` become NULL.
     """
-    points = known_neighbors(df.filter(F.col(value).isNotNull()), keys, t, value, block, strict_next=True)
-    seg = points.filter(F.col("next").isNotNull())
-    span = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))
-    seg = seg.join(span, list(keys))
+    points = known_neighbors(df.filter(F.col(value).isNotNull()), keys, t, value, block, strict=True)
+    here, before, after = F.struct(F.col(t).alias("t"), F.col(value).alias("v")), F.col("prev"), F.col("next")
+    # a point serves the axis up to the next one; the last point serves the rest with the line that ends in it
+    seg = points.filter(before.isNotNull() | after.isNotNull()).select(
+        *keys, F.col(t).alias("_t"), before.isNull().alias("_first"), after["t"].alias("_until"),
+        F.when(after.isNotNull(), here).otherwise(before).alias("_a"), F.coalesce(after, here).alias("_b"))
     last = F.lit(int(round((end - start) / step)))
-    # axis positions of this segment: from its left end (or 0) up to, not including, the next segment
-    lo = F.when(F.col("prev.t") == F.col("_t0"), F.lit(0)) \
-        .otherwise(F.greatest(F.lit(0), F.ceil((F.col("prev.t") - start) / step).cast("int")))
-    hi = F.when(F.col("next.t") == F.col("_t1"), last) \
-        .otherwise(F.least(last, F.ceil((F.col("next.t") - start) / step).cast("int") - 1))
-    steps = F.when(lo <= hi, F.sequence(lo, hi))
-    out = seg.withColumn("_i", F.explode(steps)).withColumn("_at", F.lit(start) + F.col("_i") * F.lit(step))
-    v = _on_line(F.col("_at"))
+    position = lambda x: F.ceil((x - start) / step).cast("int")
+    lo = F.when(F.col("_first"), F.lit(0)).otherwise(F.greatest(F.lit(0), position(F.col("_t"))))
+    hi = F.when(F.col("_until").isNull(), last).otherwise(F.least(last, position(F.col("_until")) - 1))
+    out = seg.withColumn("_i", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+    at = F.lit(start) + F.col("_i") * F.lit(step)
+    v = _on_line(at, F.col("_a"), F.col("_b"))
     if valid:
-        v = F.when(F.col("_at").between(*valid), v)
-    return out.select(*keys, F.col("_at").alias(t), v.alias(value))
+        v = F.when(at.between(*valid), v)
+    return out.select(*keys, at.alias(t), v.alias(value))
 
 
 def cumulative(df: DataFrame, keys: Sequence[str], t: str = "t", value: str = "value", out: str = "cumulative",
