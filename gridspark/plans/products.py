@@ -412,7 +412,8 @@ def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame,
     done = {}
 
     def maps_for(todo: DataFrame) -> DataFrame:
-        maps = predict_map(coef, series, variables, land, population, base, first_year)
+        wanted = series.join(todo.select("scenario").distinct(), "scenario", "left_semi")
+        maps = predict_map(coef, wanted, variables, land, population, base, first_year)
         return maps.join(todo.select("scenario", "variable").distinct(), ["scenario", "variable"], "left_semi")
 
     singles = work.select("scenario", "variable").distinct()
@@ -426,7 +427,8 @@ def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame,
     targets = work.select(*keys).distinct()
 
     def deltas_for(todo: DataFrame) -> DataFrame:
-        out = regional_delta(slopes, gap, variables, land, population, canvas_start, 0)
+        wanted = gap.join(todo.select("scenario", "target_tenths").distinct(), ["scenario", "target_tenths"], "left_semi")
+        out = regional_delta(slopes, wanted, variables, land, population, canvas_start, 0)
         return out.join(todo, keys, "left_semi")
 
     done["delta"] = write_missing(spark, targets, f"{path}/delta", keys, deltas_for, ignore_existing)
