@@ -4,10 +4,12 @@ import duckdb
 import pytest
 from conftest import TABLES
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from gridspark.plans import load_queries
+from gridspark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
+load_queries()
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
 
 
