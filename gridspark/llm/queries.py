@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, packing, records
+from gridspark.llm import bitslices, bpe, packing, records, syncmers
 from gridspark.llm.common import steps, table
 from gridspark.scratch import scratch_path
 
@@ -46,3 +46,13 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query("op1_closed_syncmers")
+def closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_bit_sliced_top_k")
+def bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslices.top_inner_products(table(spark, sf_dir, "embeddings"), every=20, k=20)
