@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bitslices, bpe, packing, records, syncmers
+from gridspark.llm import bitslices, bpe, packing, quality, records, syncmers, toxicity
 from gridspark.llm.common import steps, table
 from gridspark.scratch import scratch_path
 
@@ -56,3 +56,13 @@ def closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bit_sliced_top_k")
 def bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslices.top_inner_products(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query("op5_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
