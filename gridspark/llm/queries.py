@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bitslices, bpe, packing, quality, records, syncmers, toxicity
+from gridspark.llm import bitslices, bpe, packing, quality, records, sharding, syncmers, toxicity, urls
 from gridspark.llm.common import steps, table
 from gridspark.scratch import scratch_path
 
@@ -66,3 +66,14 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_extendible_hashing", sharding.oracle())
+def extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op4_path_templates", urls.oracle())
+def path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.page_labels(pages, table(spark, sf_dir, "labels")))
