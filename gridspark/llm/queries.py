@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bitslices, bpe, packing, quality, records, sharding, syncmers, toxicity, urls
+from gridspark.llm import bitslices, bpe, jaccard, packing, quality, records, sharding, syncmers, toxicity, urls
 from gridspark.llm.common import steps, table
 from gridspark.scratch import scratch_path
 
@@ -77,3 +77,8 @@ def extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.judge_urls(pages, urls.page_labels(pages, table(spark, sf_dir, "labels")))
+
+
+@query("op9_signature_trees")
+def signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
