@@ -134,5 +134,15 @@ def score_documents(docs: DataFrame, features: Features, score: Callable, hashes
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_documents(docs: DataFrame, features: Features, score: Callable, hashes: np.ndarray, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose scores ``keep`` accepts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Indicators(hashes)
+        for step in steps(batches):
+            yield step.filter(pa.array(keep(score(*own.find(*features(texts_of(step))), step.num_rows))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

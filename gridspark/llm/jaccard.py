@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.llm.common import shuffle_parts, steps, texts_of
 from gridspark.llm.components import components
@@ -277,7 +278,9 @@ def candidate_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); components are named by their smallest doc_id.
+    """(doc_id, n_shingles, component_id, set_key, component_key) of every row of ``docs`` (doc_id, text).
+
+    Components are named by their smallest doc_id; the keys of a row's set and of its component are null for an empty set.
 
     Rows link if their sets of distinct 5-word shingles have 100 * intersection >= 80 * union.  Null texts count as empty;
     texts without words link with nothing and are components of their own.  Rows with null ids link as others, and name
@@ -303,8 +306,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("first"))
     whole = classes.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
     names = whole.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = settle(whole.join(names, "label").select("k", "component_id"), "classes")
-    linked = rows.filter("n > 0").join(named, "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = settle(whole.join(names, "label").select("k", "component_id", F.col("label").alias("component_key")), "classes")
+    linked = rows.filter("n > 0").join(named, "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("k").alias("set_key"), "component_key")
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                                         *(F.lit(None).cast("long").alias(c) for c in ("set_key", "component_key")))
     out = linked.unionByName(alone)
     return out.withColumn("n_shingles", F.col("n_shingles").cast("long"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id (null ids last), with all columns.
+
+    Of rows with the same id and the same shingles one stays, whichever; texts without words all stay.
+    """
+    found = jaccard_components(docs).filter("set_key is not null")
+    first = found.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")).alias("f"))
+    kept = settle(first.select(F.col("f.doc_id").alias("_kept"), F.col("f.set_key").alias("_key")), "kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps(batches):
+            h, cut = ordered_sets(*shingles(texts_of(step)), step.num_rows)
+            keys = pa.array(set_keys(h, cut).view(np.int64), mask=np.diff(cut) == 0)
+            yield pa.RecordBatch.from_arrays([*step.columns, keys], [*step.schema.names, "_set_of_row"])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set_of_row", T.LongType())]))
+    same = (rows["_set_of_row"] == kept["_key"]) & rows["doc_id"].eqNullSafe(kept["_kept"])
+    stay = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_set_of_row"])
+    return stay.unionByName(rows.filter("_set_of_row is null")).drop("_set_of_row")

@@ -140,10 +140,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels of either kind every score is the smoothed share of label 1.  Null ids and repeated rows are kept, each with
     its score; other columns are never read; an empty table gives no rows.
     """
+    hashes, values = model(docs, labels)
+    return classify.score_documents(docs, features, values, hashes, MODULUS, REMAINDER, THRESHOLD)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``score`` predicts to be of quality, with all their columns."""
+    hashes, values = model(docs, labels)
+    return classify.keep_documents(docs, features, values, hashes, lambda x: x >= THRESHOLD)
+
+
+def model(docs: DataFrame, labels: DataFrame):
+    """(feature hashes, function to scores)."""
     hashes, ratios, w, slope, offset = train(docs, labels)
 
     def values(columns: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         margin = np.bincount(rows, w[:-1][columns] * unit(columns, rows, n, ratios), n) + w[-1]
         return classify.sigmoid(slope * margin + offset)
 
-    return classify.score_documents(docs, features, values, hashes, MODULUS, REMAINDER, THRESHOLD)
+    return hashes, values

@@ -118,9 +118,17 @@ def score(docs: DataFrame, labels: DataFrame, identities: list[list[str]] = IDEN
     labels of both kinds every score is the smoothed share of label 1.  Null ids and repeated rows are kept, each with
     its score; other columns are never read; an empty table gives no rows.
     """
-    hashes, weights, intercept = train(docs, labels, identities)
+    hashes, values = model(docs, labels, identities)
+    return classify.score_documents(docs, features, values, hashes, MODULUS, REMAINDER, THRESHOLD)
 
-    def values(columns: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        return classify.sigmoid(np.bincount(rows, weights[columns], n) + intercept)
 
-    return classify.score_documents(docs, features, values, hashes, MODULUS, REMAINDER, THRESHOLD)
+def keep_clean(docs: DataFrame, labels: DataFrame, identities: list[list[str]] = IDENTITIES) -> DataFrame:
+    """The rows of ``docs`` that ``score`` does not predict to be toxic, with all their columns."""
+    hashes, values = model(docs, labels, identities)
+    return classify.keep_documents(docs, features, values, hashes, lambda x: x < THRESHOLD)
+
+
+def model(docs: DataFrame, labels: DataFrame, identities: list[list[str]]):
+    """(feature hashes, function to scores)."""
+    hashes, weights, intercept = train(docs, labels, identities)
+    return hashes, lambda columns, rows, n: classify.sigmoid(np.bincount(rows, weights[columns], n) + intercept)

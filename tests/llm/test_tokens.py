@@ -158,3 +158,10 @@ def test_packing_groups(spark):
     assert got.filter("start = 0").count() == 900
     assert got.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 4096").count() == 0
     assert got.selectExpr("count(distinct sequence_id >> 32)").first()[0] > 1
+
+
+def test_pieces_that_name_special_tokens():
+    texts = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>c <|startoftext|>", " <|endoftext|>a <|endoftext|>a"]
+    for file, spaced in ((BYTE, True), (WORD, False)):
+        own = pieces.encoder(file, spaced)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [x.ids for x in own.library.encode_batch(texts, add_special_tokens=False)]
