@@ -36,10 +36,8 @@ def test_stages(spark):
 def test_one_of_each_component(spark):
     rows = corpus(5)
     df = spark.createDataFrame([(*x, "a") for x in rows], "doc_id long, text string, _key string").repartition(3)
-    parts = plain_components(rows)
+    found = jaccard.jaccard_components(df).collect()
     got = jaccard.keep_one(df).collect()
-    named = [c for _, n, c in parts if n and c is not None]
-    empty = sum(1 for _, n, _ in parts if not n)
-    nameless = 1  # one component has no id at all
-    assert len(got) == len(set(named)) + empty + nameless
     assert df.columns == got[0].__fields__
+    assert len(got) == len({r.component_key for r in found if r.n_shingles}) + sum(1 for r in found if not r.n_shingles)
+    assert {r.component_id for r in found} == {r.doc_id for r in got}
