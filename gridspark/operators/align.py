@@ -89,6 +89,10 @@ def blocked_product(left: DataFrame, right: DataFrame, spread: str, on: Sequence
     return a.join(b, [*on, "_block"]).drop("_block")
 
 
+#: Rows of a map product that one task makes.
+ROWS_PER_TASK = 2_000_000
+
+
 def outer_scale(pattern: DataFrame, series: DataFrame, on: Sequence[str] = (), slope: str = "slope",
                 driver: str = "driver", intercept: str | None = None, value: str = "value",
                 blocks: int = 16) -> DataFrame:
@@ -97,6 +101,12 @@ def outer_scale(pattern: DataFrame, series: DataFrame, on: Sequence[str] = (), s
     if intercept:
         scaled = scaled + F.col(intercept)
     used = [c for c in (slope, driver, intercept) if c and c != value]
+    pattern, series = settle(pattern, "pattern"), settle(series, "drivers")
+    # adaptive execution would merge a small pattern into one task before it is multiplied out; a stated number is kept
+    steps = series.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-pattern.count() * steps // ROWS_PER_TASK))
+    if parts > 1:
+        pattern = pattern.repartition(parts, "cell_id")
     return blocked_product(pattern, series, "cell_id", on, blocks).withColumn(value, scaled).drop(*used)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import lon_to_180, lon_wrap_180, population_lon
+from gridspark.operators.align import blocked_product
 from gridspark.scratch import settle
 
 _LAT_BIN = 5.0
@@ -123,7 +124,9 @@ def even_axis(index: DataFrame, key: str, low: float, high: float) -> DataFrame:
 
 def bilinear_regrid(df: DataFrame, cells: DataFrame, target_cells: DataFrame, keys: Sequence[str],
                     value: str = "value", period: float = 360.0, even: bool = False) -> DataFrame:
-    """Rectilinear bilinear regrid, periodic in longitude; NULL where a needed source is missing.
+    """Rectilinear bilinear regrid, periodic in longitude; NULL where a needed source is missing or there is none.
+
+    Every key of ``df`` gets a row for every target cell.
 
     The weights are separable: two short axis tables.  Every source value meets the (at most a few)
     target rows and columns that use it, and the weighted products are summed per target cell.
@@ -142,7 +145,10 @@ def bilinear_regrid(df: DataFrame, cells: DataFrame, target_cells: DataFrame, ke
         cells.select("cell_id", "lat_idx", "lon_idx").join(lat_w, "lat_idx").join(lon_w, "lon_idx")
         .join(target_cells.select(F.col("lat_idx").alias("_dlat"), F.col("lon_idx").alias("_dlon"), F.col("cell_id").alias("_dst")), ["_dlat", "_dlon"])
         .select("cell_id", "_dst", (F.col("_wlat") * F.col("_wlon")).alias("_w")), "weights")
-    parts = df.join(weights, "cell_id")
+    # every key meets every target once without a source, so that none is left out
+    frame = blocked_product(target_cells.select(F.col("cell_id").alias("_dst")).distinct(), df.select(*keys).distinct(), "_dst")
+    frame = frame.select(*keys, "_dst", F.lit(0.0).alias("_w"), F.lit(None).cast("double").alias(value))
+    parts = df.join(weights, "cell_id").select(*keys, "_dst", "_w", value).unionByName(frame)
     # a target is complete when its present sources carry the whole weight
     out = parts.groupBy(*keys, F.col("_dst").alias("cell_id")).agg(
         F.sum(F.col("_w") * F.col(value)).alias(value),

@@ -101,10 +101,17 @@ def regional_pvalues(comparison: DataFrame, reference: DataFrame, std: DataFrame
 
     ``reference`` and ``std`` are maps (keys, cell_id, value); ``comparison`` also has years.
     """
-    shared = lambda d: [k for k in [*keys, "cell_id"] if k in d.columns]
     if land is not None:
         comparison = comparison.join(land.select("cell_id").distinct(), "cell_id", "left_semi")
-    dec = decadal_means(comparison, [*keys, "cell_id"], **decades)
+    return decade_pvalues(decadal_means(comparison, [*keys, "cell_id"], **decades), reference, std, None, keys, n)
+
+
+def decade_pvalues(dec: DataFrame, reference: DataFrame, std: DataFrame, land: DataFrame | None,
+                   keys: Sequence[str] = ("variable",), n: int = SAMPLES_PER_GROUP) -> DataFrame:
+    """The same for decadal means that exist already (keys, cell_id, decade_end, value)."""
+    shared = lambda d: [k for k in [*keys, "cell_id"] if k in d.columns]
+    if land is not None:
+        dec = dec.join(land.select("cell_id").distinct(), "cell_id", "left_semi")
     ref = reference.select(*shared(reference), F.col("value").alias("_ref"))
     dev = std.select(*shared(std), F.col("value").alias("_dev"))
     joined = dec.join(ref, shared(reference)).join(dev, shared(std))
@@ -155,9 +162,10 @@ def bootstrap_ols(df: DataFrame, series: DataFrame, keys: Sequence[str] = ("vari
     Drawing with replacement is weighting: a row meets one row of weights per block of replicates and
     feeds all of that block's sums at once, so rows are neither copied per draw nor per replicate, and
     scan tasks pre-aggregate to one row per cell and block.  Small blocks keep the generated code short
-    enough to be compiled.  Scenarios with missing values are skipped.
+    enough to be compiled.  A scenario with missing values is skipped for the variable and model that miss them only.
+    A replicate that draws one driver value alone gets slope 0 and the mean, as least squares of least norm does.
     """
-    complete = skip_missing(df, [*[k for k in keys if k == "model"], scenario], value)
+    complete = skip_missing(df, [*keys, scenario], value)
     x = series.select(scenario, year, F.col(driver).cast("double").alias("_x"))
     draws = settle(bootstrap_draws(x, replicates, scenario, year, per_block).join(x, [scenario, year]), "draws")
     rows = complete.join(draws, [scenario, year])
@@ -172,7 +180,9 @@ def bootstrap_ols(df: DataFrame, series: DataFrame, keys: Sequence[str] = ("vari
     fits = []
     for k in range(width):
         sw, sx, sy, sxx, sxy = (F.col(f"{p}{k}") for p in ("s", "x", "y", "xx", "xy"))
-        slope = F.try_divide(sw * sxy - sx * sy, sw * sxx - sx * sx)
+        spread = sw * sxx - sx * sx
+        # rounding leaves about 1e-16 of the two terms where all draws are the same
+        slope = F.when(F.abs(spread) <= 1e-13 * sw * sxx, F.lit(0.0)).otherwise(F.try_divide(sw * sxy - sx * sy, spread))
         fits.append(F.struct((F.col("block") * per_block + k).alias("replicate"), slope.alias("slope"),
                              F.try_divide(sy - slope * sx, sw).alias("intercept")))
     out = agg.select(*keys, "cell_id", F.inline(F.array(*fits)))

@@ -14,7 +14,7 @@ from gridspark.operators import align, signal, spatial, stats, timeops
 from gridspark.schema import (CANVAS_START_YEAR, DAILY_THRESHOLDS, EXPERIMENT_WINDOW, FIRST_PROJECTED_YEAR, LAST_HISTORICAL_YEAR, PREINDUSTRIAL,
                               REPLICATES, VARIABLES, sql_literal, variable_flag)
 from gridspark.scratch import settle
-from gridspark.sources.grid import write_grid, write_missing
+from gridspark.sources.grid import read_labels, write_grid, write_missing
 
 # -- variables ---------------------------------------------------------------------------------
 
@@ -159,10 +159,23 @@ def fit_delta(annual: DataFrame, cells: DataFrame, targets: Sequence[str] = ("1.
     return slopes, by_lat
 
 
-def fit_all(annual: DataFrame, scenario_maps: DataFrame, series: DataFrame, cells: DataFrame, path: str, **kw) -> None:
-    """Write both kinds of fit for every variable."""
-    write_grid(fit_map(scenario_maps, series, **kw), f"{path}/coef", ["variable", "model"])
-    write_grid(fit_delta(annual, cells)[0], f"{path}/delta_slope", ["variable"])
+def fit_all(annual: DataFrame, scenario_maps: DataFrame, series: DataFrame, cells: DataFrame, path: str, injections: DataFrame | None = None,
+            delta_window: tuple[int, int] = EXPERIMENT_WINDOW, ignore_existing: bool = False, **kw) -> dict[str, bool]:
+    """Write the fits of every variable that are not there yet: map fits, change fits and, if given, injection fits."""
+    spark, done = annual.sparkSession, {}
+    both = ["variable", "model"]
+    done["coef"] = write_missing(
+        spark, scenario_maps.select(*both).distinct(), f"{path}/coef", both,
+        lambda todo: fit_map(scenario_maps.join(todo, both, "left_semi"), series, **kw), ignore_existing)
+    slopes, by_lat = fit_delta(annual, cells, window=delta_window, injections=injections)
+    done["delta_slope"] = write_missing(
+        spark, annual.select("variable").distinct(), f"{path}/delta_slope", ["variable"],
+        lambda todo: slopes.join(todo, "variable", "left_semi"), ignore_existing)
+    if by_lat is not None:
+        done["injection_slope"] = write_missing(
+            spark, injections.select(F.lit("injection").alias("quantity")).distinct(), f"{path}/injection_slope", ["quantity"],
+            lambda todo: by_lat.withColumn("quantity", F.lit("injection")), ignore_existing)
+    return done
 
 
 # -- input series ------------------------------------------------------------------------------
@@ -196,17 +209,31 @@ def controller_injections(table: DataFrame, columns: dict[str, float], window: t
 
 # -- maps --------------------------------------------------------------------------------------
 
-def mean_coefs(coef: DataFrame) -> DataFrame:
-    """Mean over replicates of a*T + b is mean(a)*T + mean(b): predict once instead of per replicate."""
-    return coef.groupBy("variable", "cell_id").agg(F.avg("slope").alias("slope"), F.avg("intercept").alias("intercept"))
+def mean_coefs(coef: DataFrame, model: str | None = None) -> DataFrame:
+    """Mean over replicates of a*T + b is mean(a)*T + mean(b): predict once instead of per replicate.
+
+    Replicates of one model are averaged, never models: name one where there are several, else reading is an error.
+    """
+    own = coef if model is None else coef.filter(F.col("model") == model)
+    one = F.min("model").eqNullSafe(F.max("model"))
+    several = F.raise_error(F.lit("coefficients of several models: name one")).cast("double")
+    return own.groupBy("variable", "cell_id").agg(*[F.when(one, F.avg(c)).otherwise(several).alias(c) for c in ("slope", "intercept")])
 
 
 def predict_map(coef: DataFrame, series: DataFrame, variables: Sequence[str], land: DataFrame, population: DataFrame | None = None,
-                baseline: DataFrame | None = None, first_year: int = FIRST_PROJECTED_YEAR) -> DataFrame:
-    """Projected maps (variable, scenario, year, cell_id, value) from the global series."""
-    drivers = series.filter(F.col("year") >= first_year).select("scenario", "year", "driver")
-    patterns = land_and_people(expand_variables(mean_coefs(coef), variables), land, population, ["slope", "intercept"])
-    out = floor_counts(align.outer_scale(patterns, drivers, intercept="intercept"))
+                baseline: DataFrame | None = None, first_year: int = FIRST_PROJECTED_YEAR, last_year: int = align.LAST_YEAR,
+                model: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Projected maps (variable, scenario, year, cell_id, value) of one model from the global series.
+
+    ``pairs`` (variable, scenario) restricts the product before it is formed.
+    """
+    drivers = series.filter(F.col("year").between(first_year, last_year)).select("scenario", "year", "driver")
+    patterns = land_and_people(expand_variables(mean_coefs(coef, model), variables), land, population, ["slope", "intercept"])
+    if pairs is None:
+        out = align.outer_scale(patterns, drivers, intercept="intercept")
+    else:
+        out = align.outer_scale(patterns, drivers.join(pairs.select("variable", "scenario").distinct(), "scenario"), ["variable"], intercept="intercept")
+    out = floor_counts(out).select("variable", "scenario", "year", "cell_id", "value")
     return subtract_baseline(out, baseline) if baseline is not None else out
 
 
@@ -231,6 +258,14 @@ def pvalue_maps(maps: DataFrame, baseline: DataFrame, variability: DataFrame, la
     return stats.regional_pvalues(full, baseline, std, land, keys, **kw)
 
 
+def decade_pvalues(means: DataFrame, baseline: DataFrame, variability: DataFrame, land: DataFrame, rebased: bool = True,
+                   keys: Sequence[str] = ("variable", "scenario")) -> DataFrame:
+    """p-values of decadal means (keys, cell_id, decade_end, value), as ``pvalue_maps`` has them for yearly maps."""
+    full = subtract_baseline(means, baseline, +1) if rebased else means
+    std = expand_variables(variability, [*VARIABLES]) if "variable" in variability.columns else variability
+    return stats.decade_pvalues(full, baseline, std, land, keys)
+
+
 # -- gap, delta, injection ---------------------------------------------------------------------
 
 def temp_gap(tas_map: DataFrame, cells: DataFrame, target_tenths: tuple[int, int] | Sequence[int]) -> DataFrame:
@@ -248,11 +283,32 @@ def gated_gap(gap: DataFrame, start_year: int, ramp_years: int, keys: Sequence[s
 
 
 def regional_delta(slopes: DataFrame, gap: DataFrame, variables: Sequence[str], land: DataFrame, population: DataFrame | None,
-                   start_year: int, ramp_years: int, **kw) -> DataFrame:
-    """(variable, scenario, target_tenths, year, cell_id, value): slope map times the gated gap."""
+                   start_year: int, ramp_years: int, keys: DataFrame | None = None, **kw) -> DataFrame:
+    """(variable, scenario, target_tenths, year, cell_id, value): slope map times the gated gap.
+
+    ``keys`` (variable, scenario, target_tenths) restricts the product before it is formed.
+    """
     drivers = gated_gap(gap, start_year, ramp_years, **kw)
     patterns = land_and_people(expand_variables(slopes, variables), land, population, ["slope"])
-    return align.outer_scale(patterns, drivers)
+    if keys is None:
+        return align.outer_scale(patterns, drivers)
+    wanted = drivers.join(keys.select("variable", "scenario", "target_tenths").distinct(), ["scenario", "target_tenths"])
+    return align.outer_scale(patterns, wanted, ["variable"])
+
+
+def delta_decades(maps: DataFrame, slopes: DataFrame, gap: DataFrame, variables: Sequence[str], land: DataFrame, population: DataFrame | None,
+                  keys: DataFrame, start_year: int, ramp_years: int, **decades) -> DataFrame:
+    """Decadal means of map plus delta (variable, scenario, target_tenths, cell_id, decade_end, value), without the delta maps.
+
+    Both parts are linear in time: mean(map) + slope * mean(gated gap), over the years that both have.
+    """
+    drivers = gated_gap(gap, start_year, ramp_years)
+    patterns = settle(land_and_people(expand_variables(slopes, variables), land, population, ["slope"]), "pattern")
+    means = timeops.decadal_means(maps.filter(F.col("year") >= start_year), ["variable", "scenario", "cell_id"], **decades)
+    push = timeops.decadal_means(drivers.withColumnRenamed("driver", "value"), ["scenario", "target_tenths"], **decades).withColumnRenamed("value", "_push")
+    push = settle(push.join(keys.select("variable", "scenario", "target_tenths").distinct(), ["scenario", "target_tenths"]), "push")
+    rows = means.join(patterns, ["variable", "cell_id"]).join(push, ["variable", "scenario", "decade_end"])
+    return rows.withColumn("value", F.col("value") + F.col("slope") * F.col("_push")).drop("slope", "_push")
 
 
 def injection_by_latitude(slopes: DataFrame, gap: DataFrame, start_years: tuple[int, int], ramp_years: int = 10,
@@ -401,7 +457,8 @@ def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame,
               injection_slopes: DataFrame | None, annual: DataFrame, variability: DataFrame, cells: DataFrame, land: DataFrame,
               population: DataFrame, variables: Sequence[str], target_tenths: tuple[int, int] | Sequence[int], start_years: tuple[int, int],
               canvas_start: int = CANVAS_START_YEAR, first_year: int = FIRST_PROJECTED_YEAR, last_historical: int = LAST_HISTORICAL_YEAR,
-              base_window: tuple[int, int] = PREINDUSTRIAL, decades: dict | None = None, ignore_existing: bool = False) -> dict[str, bool]:
+              base_window: tuple[int, int] = PREINDUSTRIAL, decades: dict | None = None, ignore_existing: bool = False,
+              model: str | None = None, last_year: int = align.LAST_YEAR) -> dict[str, bool]:
     """Write every product of scenarios x variables x targets that is not there yet.
 
     One plan per product covers all missing keys, so the sweep is partition parallelism, not a loop.
@@ -412,13 +469,11 @@ def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame,
     done = {}
 
     def maps_for(todo: DataFrame) -> DataFrame:
-        wanted = series.join(todo.select("scenario").distinct(), "scenario", "left_semi")
-        maps = predict_map(coef, wanted, variables, land, population, base, first_year)
-        return maps.join(todo.select("scenario", "variable").distinct(), ["scenario", "variable"], "left_semi")
+        return predict_map(coef, series, variables, land, population, base, first_year, model=model, pairs=todo)
 
     singles = work.select("scenario", "variable").distinct()
     done["maps"] = write_missing(spark, singles, f"{path}/maps", ["variable", "scenario"], maps_for, ignore_existing)
-    maps = spark.read.parquet(f"{path}/maps")
+    maps = read_labels(spark, f"{path}/maps", ["variable", "scenario"])
     done["pvalues"] = write_missing(
         spark, singles, f"{path}/pvalues", ["variable", "scenario"],
         lambda todo: pvalue_maps(maps.join(todo, ["scenario", "variable"], "left_semi"), base, variability, land, **decades or {}), ignore_existing)
@@ -428,18 +483,16 @@ def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame,
 
     def deltas_for(todo: DataFrame) -> DataFrame:
         wanted = gap.join(todo.select("scenario", "target_tenths").distinct(), ["scenario", "target_tenths"], "left_semi")
-        out = regional_delta(slopes, wanted, variables, land, population, canvas_start, 0)
-        return out.join(todo, keys, "left_semi")
+        return regional_delta(slopes, wanted, variables, land, population, canvas_start, 0, todo)
 
     done["delta"] = write_missing(spark, targets, f"{path}/delta", keys, deltas_for, ignore_existing)
-    delta = spark.read.parquet(f"{path}/delta")
     done["delta_pvalues"] = write_missing(
         spark, targets, f"{path}/delta_pvalues", keys,
-        lambda todo: pvalue_maps(with_intervention(maps, delta.join(todo, keys, "left_semi"), False), base, variability, land, keys=keys, **decades or {}),
+        lambda todo: decade_pvalues(delta_decades(maps, slopes, gap, variables, land, population, todo, canvas_start, 0, **decades or {}), base, variability, land, keys=keys),
         ignore_existing)
     if injection_slopes is not None:
         done["injection"] = write_missing(
             spark, work.select("scenario", "target_tenths").distinct(), f"{path}/injection", ["scenario", "target_tenths"],
-            lambda todo: injection_by_latitude(injection_slopes, gap.join(todo, ["scenario", "target_tenths"], "left_semi"), start_years),
+            lambda todo: injection_by_latitude(injection_slopes, gap.join(todo, ["scenario", "target_tenths"], "left_semi"), start_years, last_year=last_year),
             ignore_existing)
     return done

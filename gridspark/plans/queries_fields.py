@@ -264,26 +264,25 @@ with rows as (select distinct lat_idx, lat from a_cells), cols as (select distin
   oa as (select tlon, max(s.lon) as o0 from (select distinct tlon from t) x join ring s on s.lon <= tlon group by tlon),
   ob as (select tlon, min(s.lon) as o1 from (select distinct tlon from t) x join ring s on s.lon >= tlon group by tlon),
   w as (select t.tlat, t.tlon, la.l0, lb.l1, oa.o0, ob.o1, (t.tlat - la.l0) / (lb.l1 - la.l0) as fy, (t.tlon - oa.o0) / (ob.o1 - oa.o0) as fx
-        from t join la using (tlat) join lb using (tlat) join oa using (tlon) join ob using (tlon)),
-  v as (select experiment, member, year, lat, lon, tas as value from a_annual_wide join a_cells using (cell_id)),
-  k as (select distinct experiment, member, year from v),
+        from t left join la using (tlat) left join lb using (tlat) left join oa using (tlon) left join ob using (tlon)),
+  v as (select variable, experiment, member, year, lat, lon, value from a_annual join a_cells using (cell_id)),
+  k as (select distinct variable, experiment, member, year from v),
   q as (select k.*, w.*, g00.value as v00, g01.value as v01, g10.value as v10, g11.value as v11 from k cross join w
-    left join v g00 on (g00.experiment, g00.member, g00.year) = (k.experiment, k.member, k.year) and g00.lat = w.l0 and g00.lon = (w.o0 + 360) % 360
-    left join v g01 on (g01.experiment, g01.member, g01.year) = (k.experiment, k.member, k.year) and g01.lat = w.l0 and g01.lon = w.o1 % 360
-    left join v g10 on (g10.experiment, g10.member, g10.year) = (k.experiment, k.member, k.year) and g10.lat = w.l1 and g10.lon = (w.o0 + 360) % 360
-    left join v g11 on (g11.experiment, g11.member, g11.year) = (k.experiment, k.member, k.year) and g11.lat = w.l1 and g11.lon = w.o1 % 360)
-select experiment, member, year, tlat as lat, tlon as lon,
+    left join v g00 on (g00.variable, g00.experiment, g00.member, g00.year) = (k.variable, k.experiment, k.member, k.year) and g00.lat = w.l0 and g00.lon = (w.o0 + 360) % 360
+    left join v g01 on (g01.variable, g01.experiment, g01.member, g01.year) = (k.variable, k.experiment, k.member, k.year) and g01.lat = w.l0 and g01.lon = w.o1 % 360
+    left join v g10 on (g10.variable, g10.experiment, g10.member, g10.year) = (k.variable, k.experiment, k.member, k.year) and g10.lat = w.l1 and g10.lon = (w.o0 + 360) % 360
+    left join v g11 on (g11.variable, g11.experiment, g11.member, g11.year) = (k.variable, k.experiment, k.member, k.year) and g11.lat = w.l1 and g11.lon = w.o1 % 360)
+select variable, experiment, member, year, tlat as lat, tlon as lon,
   {r('(1 - fy) * ((1 - fx) * v00 + fx * v01) + fy * ((1 - fx) * v10 + fx * v11)')} as value
-from q where v00 is not null and v01 is not null and v10 is not null and v11 is not null""")
+from q""")
 def bilinear_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = A.cells(spark, sf_dir)
     # the target grid lies a quarter of a row up and a quarter of a column east; its top row has no source above
     target = cells.select((F.col("cell_id") + 1000).alias("cell_id"), "lat_idx", "lon_idx",
                           (F.col("lat") + 4.5).alias("lat"), (F.col("lon") + 9).alias("lon"))
-    tas = A.annual(spark, sf_dir).filter("variable = 'tas'")
-    out = spatial.bilinear_regrid(tas, cells, target, ["experiment", "member", "year"])
+    out = spatial.bilinear_regrid(A.annual(spark, sf_dir), cells, target, ["variable", "experiment", "member", "year"])
     out = out.join(target.select("cell_id", "lat", "lon"), "cell_id").drop("cell_id")
-    return rounded(out.filter("value is not null"), "value")
+    return rounded(out, "value")
 
 
 # -- calendar ----------------------------------------------------------------------------------

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators import spatial, stats, timeops
+from gridspark.operators.align import blocked_product
 from gridspark.plans import adapters as A
 from gridspark.plans import products as P
-from gridspark.plans.queries_statistics import BAND_PARAMS, KERNEL, band_params, scenario_maps, smooth_sql
+from gridspark.plans.queries_statistics import _DRAWS, _MAPS, BAND_PARAMS, KERNEL, band_params, scenario_maps, smooth_sql
 from gridspark.plans.registry import query, r, rounded
 from gridspark.scratch import scratch_path, settle
 from gridspark.sources import grid
@@ -185,16 +186,34 @@ def fit_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fit_all", f"""
-select 'delta_slope' as product, variable, count(*) as n from h_slopes group by variable
-union all select 'coef', variable, count(distinct (cell_id, member)) * 10 from a_annual group by variable""", **H)
+select 'delta_slope' as product, variable, cast(null as varchar) as model, cast(null as int) as replicate, cast(cell_id as double) as place, {r('slope', 4)} as slope, cast(null as double) as intercept from h_slopes
+union all select 'injection_slope', null, null, null, lat, {r('sum(y * driver) / sum(driver * driver)', 4)}, null from (
+  select target, lat, lat * length(target) / 100 as y from (select distinct lat from a_cells), (select distinct target from h_x)) join h_x using (target) group by lat
+union all select 'coef', variable, model, replicate, cell_id, {r('b', 3)}, {r('(sy - b * sx) / sw', 3)} from (
+  select *, case when abs(sw * sxx - sx * sx) <= 1e-13 * sw * sxx then 0 else (sw * sxy - sx * sy) / (sw * sxx - sx * sx) end as b from (
+    select variable, model, cell_id, replicate, sum(w) as sw, sum(w * x) as sx, sum(w * value) as sy, sum(w * x * x) as sxx, sum(w * x * value) as sxy
+    from h_maps m join (select scenario, year, driver / 0.97e0 as x from a_global_annual) g using (scenario, year) join h_draws d using (scenario, year) where d.replicate < 10
+    group by variable, model, cell_id, replicate) x) y""", **H, h_maps=_MAPS, h_draws=_DRAWS)
 def fit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
     path = scratch_path(spark, "fits")
     maps = scenario_maps(spark, sf_dir)
-    grid.write_grid(P.fit_map(maps, i.series, replicates=10), f"{path}/coef", ["variable", "model"])
-    grid.write_grid(P.fit_delta(i.annual(), i.cells, window=(1997, 2000))[0], f"{path}/delta_slope", ["variable"])
-    count = lambda name: spark.read.parquet(f"{path}/{name}").groupBy("variable").agg(F.count("*").alias("n")).select(F.lit(name).alias("product"), "variable", "n")
-    return count("delta_slope").unionByName(count("coef"))
+    targets = F.explode(F.array(*[F.lit(t) for t in ("1.5", "1.0", "0.5")]))
+    injections = i.cells.select("lat").distinct().withColumn("target", targets).withColumn("value", F.col("lat") * F.length("target") / 100)
+    inputs = dict(injections=injections, delta_window=(1997, 2000), replicates=10)
+    P.fit_all(i.annual().filter("variable = 'tas'"), maps.filter("variable = 'tas'"), i.series, i.cells, path, **inputs)
+    P.fit_all(i.annual(), maps, i.series, i.cells, path, **inputs)  # adds the other variables
+    none = F.lit(None)
+    coef = grid.read_coefs(spark, f"{path}/coef").select(
+        F.lit("coef").alias("product"), "variable", "model", "replicate", F.col("cell_id").cast("double").alias("place"), "slope", "intercept")
+    slopes = grid.read_labels(spark, f"{path}/delta_slope", ["variable"]).select(
+        F.lit("delta_slope").alias("product"), "variable", none.cast("string").alias("model"), none.cast("int").alias("replicate"),
+        F.col("cell_id").cast("double").alias("place"), "slope", none.cast("double").alias("intercept"))
+    by_lat = grid.read_grid(spark, f"{path}/injection_slope").select(
+        F.lit("injection_slope").alias("product"), none.cast("string").alias("variable"), none.cast("string").alias("model"),
+        none.cast("int").alias("replicate"), F.col("lat").alias("place"), "slope", none.cast("double").alias("intercept"))
+    rows = rounded(coef, "slope", "intercept", digits=3).unionByName(rounded(slopes, "slope", digits=4))
+    return rows.unionByName(rounded(by_lat, "slope", digits=4))
 
 
 # -- input series ------------------------------------------------------------------------------
@@ -284,16 +303,16 @@ from h_aod a join h_aod m on m.band = a.band and m.k <= a.k join h_kernel k on k
 @query("custom_injection_delta", f"""
 select v.variable, cast(year as int) as year, c.cell_id, {r('sum(v.s * (c.lat / 50 + length(r.band)) * driver)')} as value
 from h_response r cross join a_cells c, (values ('tas', 1e0), ('pr', 2e0)) v(variable, s) group by v.variable, year, c.cell_id""",
-       h_params=BAND_PARAMS, h_kernel=KERNEL.replace("range(1, 32)", "range(1, 61)"), h_monthly=_MONTHLY_INJECTION, h_response=_ANNUAL_RESPONSE, h_aod="""
+       h_params=BAND_PARAMS, h_kernel=KERNEL.replace("a_injection", "h_monthly"), h_monthly=_MONTHLY_INJECTION, h_response=_ANNUAL_RESPONSE, h_aod="""
 select a.band, a.k, coalesce(sum(beta * m.value * exp(-(alpha + gamma * m.value) * (a.k - m.k + 1))), 0) as value
 from h_monthly a join h_params using (band) left join h_monthly m on m.band = a.band and m.k <= a.k group by a.band, a.k""")
 def custom_injection_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     annual = A.injection(spark, sf_dir).groupBy("band", (F.floor(F.col("k") / 6) + 2035).cast("int").alias("year")).agg(F.sum("value").alias("value"))
-    params = band_params(spark)
+    params = band_params(spark, sf_dir)
     both = F.explode(F.array(F.struct(F.lit("tas").alias("variable"), F.lit(1.0).alias("s")), F.struct(F.lit("pr").alias("variable"), F.lit(2.0).alias("s"))))
     climate = params.select("band", "tau", "mu", both.alias("v")).select("v.variable", "band", "tau", "mu")
-    bands = F.array(*[F.lit(b[0]) for b in [("click",), ("error",), ("purchase",), ("signup",), ("view",)]])
-    patterns = A.cells(spark, sf_dir).select("cell_id", "lat", F.explode(bands).alias("band")).withColumn("v", both) \
+    bands = params.select("band")
+    patterns = blocked_product(A.cells(spark, sf_dir).select("cell_id", "lat"), bands, "cell_id").withColumn("v", both) \
         .select("v.variable", "band", "cell_id", (F.col("v.s") * (F.col("lat") / 50 + F.length("band"))).alias("slope"))
     return rounded(P.custom_injection_delta(annual, params, climate, patterns, 2035), "value")
 
@@ -393,11 +412,28 @@ def variability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- sweep -------------------------------------------------------------------------------------
 
-@query("sweep_all", f"""
-select 'maps' as product, variable, scenario, cast(null as int) as target_tenths, count(*) as n, {r('avg(value)', 3)} as mean from h_map group by variable, scenario
-union all select 'delta', variable, scenario, target_tenths, count(*), {r('avg(value)', 3)} from (
-  {_DELTA.replace('h_ramped d', "(select scenario, target_tenths, year, case when temp_diff > 0 then 0 else temp_diff end as driver from h_gap where year >= 1997) d")}) d
-group by variable, scenario, target_tenths""", **H)
+_UNRAMPED = "(select scenario, target_tenths, year, case when temp_diff > 0 then 0 else temp_diff end as driver from h_gap where year >= 1997) d"
+_P_OF = """case when sd = 0 then (case when m1 = m2 then 1 else 0 end) else greatest(0, 1 - sqrt(r2 / (1 + r2)) * list_sum(list_transform(range(0, 62),
+  lambda k: exp(lgamma(2e0 * k + 1) - 2 * lgamma(k + 1e0) - 2e0 * k * ln(2e0) - k * ln(1 + r2))))) end"""
+_P_SWEPT = """
+select *, {p} as p from (select *, pow((m1 - m2) / (nullif(sd, 0) * sqrt(2e0 / 63)), 2) / 124 as r2 from (
+  select d.*, b.value as m1, s.value as sd from ({means}) d join h_base b using (variable, cell_id)
+  join h_std s on s.cell_id = d.cell_id and s.variable = case when d.variable = 'exposure_above_35' then 'tas_above_35' else d.variable end) y) x where sd is not null"""
+_DECADE = "cast(ceil((year - 1995) / 3e0) * 3 + 1995 as int)"
+_SWEPT = f"""
+select 'maps' as product, variable, scenario, cast(null as int) as target_tenths, cast(cell_id as double) as place, year, {r('value', 3)} as value from h_map
+union all select 'pvalues', variable, scenario, null, cell_id, decade_end, {r('p', 3)} from ({_P_SWEPT.format(p=_P_OF, means=f"""
+  select variable, scenario, cell_id, {_DECADE} as decade_end, avg(value) as m2 from h_rawmap where year between 1996 and 2001 and cell_id in (select cell_id from a_land) group by all""")}) q
+union all select 'delta', variable, scenario, target_tenths, cell_id, year, {r('value', 3)} from h_swept
+union all select 'delta_pvalues', variable, scenario, target_tenths, cell_id, decade_end, {r('p', 3)} from ({_P_SWEPT.format(p=_P_OF, means=f"""
+  select m.variable, m.scenario, d.target_tenths, m.cell_id, {_DECADE.replace('year', 'm.year')} as decade_end, avg(m.value + d.value) as m2
+  from h_rawmap m join h_swept d using (variable, scenario, year, cell_id) where m.year between 1997 and 2001 and m.cell_id in (select cell_id from a_land) group by all""")}) q
+union all select 'injection', concat('from ', start_year), scenario, target_tenths, l.lat, year, {r('''l.lat / 100 * d * case when year - first + 1 between 1 and least(10, 2001 - first)
+  then (year - first + 1) / cast(least(10, 2001 - first) as double) else 1 end''', 3)} from h_started cross join (select distinct lat from a_cells) l"""
+
+
+@query("sweep_all", _SWEPT, **H, h_started=_STARTED, h_swept=_DELTA.replace("h_ramped d", _UNRAMPED),
+       h_std="select variable, cell_id, stddev_pop(value) + 1 as value from h_field where experiment = 'F' group by variable, cell_id")
 def sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
     path = scratch_path(spark, "sweep")
@@ -405,13 +441,23 @@ def sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenarios = i.series.select("scenario").distinct()
     targets = F.explode(F.array(*[F.lit(t) for t in (-20, 0, 25)]))
     work = scenarios.withColumn("variable", F.explode(F.array(*[F.lit(v) for v in VARIABLES]))).withColumn("target_tenths", targets)
-    inputs = dict(coef=settle(i.coef(), "coef"), series=i.series, slopes=settle(i.slopes(), "slopes"), injection_slopes=None, annual=i.annual(),
+    by_lat = i.cells.select("lat", (F.col("lat") / 100).alias("slope")).distinct()
+    inputs = dict(coef=settle(i.coef(), "coef"), series=i.series, slopes=settle(i.slopes(), "slopes"), injection_slopes=by_lat, annual=i.annual(),
                   variability=settle(std, "std"), cells=i.cells, land=i.land, population=i.population, variables=VARIABLES,
                   target_tenths=[-20, 0, 25], start_years=(1996, 2000), canvas_start=1997, first_year=1996, last_historical=1998,
-                  base_window=(1995, 1996), decades=dict(origin=1995, decades=2, width=3))
+                  base_window=(1995, 1996), decades=dict(origin=1995, decades=2, width=3), last_year=2001)
     P.sweep_all(spark, path, work.filter("scenario < '3'"), **inputs)
     P.sweep_all(spark, path, work, **inputs)  # adds what is missing
-    maps = grid.read_grid(spark, f"{path}/maps").groupBy("variable", "scenario").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    delta = grid.read_grid(spark, f"{path}/delta").groupBy("variable", "scenario", "target_tenths").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    maps = maps.select(F.lit("maps").alias("product"), "variable", "scenario", F.lit(None).cast("int").alias("target_tenths"), "n", "mean")
-    return rounded(maps.unionByName(delta.select(F.lit("delta").alias("product"), "variable", "scenario", "target_tenths", "n", "mean")), "mean", digits=3)
+    out = []
+    for product, at, value in (("maps", "year", "value"), ("pvalues", "decade_end", "p_value"), ("delta", "year", "value"),
+                               ("delta_pvalues", "decade_end", "p_value"), ("injection", "year", "value")):
+        df = grid.read_labels(spark, f"{path}/{product}", ["variable", "scenario"])
+        target = F.col("target_tenths") if "target_tenths" in df.columns else F.lit(None).cast("int")
+        variable, place = ("variable", "cell_id") if product != "injection" else (F.concat(F.lit("from "), F.col("start_year")), "lat")
+        variable = F.col(variable) if isinstance(variable, str) else variable
+        out.append(df.select(F.lit(product).alias("product"), variable.alias("variable"), "scenario", target.alias("target_tenths"),
+                             F.col(place).cast("double").alias("place"), F.col(at).alias("year"), F.col(value).alias("value")))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rounded(rows, "value", digits=3)

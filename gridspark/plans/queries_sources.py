@@ -20,7 +20,8 @@ _CASES = {
 def _file_name(stream: Column, field: Column) -> Column:
     case = F.when(F.col("experiment") == "F", F.lit(_CASES["F"])).otherwise(F.lit(_CASES["O"]))
     span = F.when(F.year("date") < 1998, F.lit("20150101-20241231")).otherwise(F.lit("20250102-20341231"))
-    return F.concat_ws(".", case, F.col("member"), F.lit("cam"), stream, field, span)
+    number = F.when(F.col("member") == "A", "001").when(F.col("member") == "N", "002").otherwise("003")
+    return F.concat_ws(".", case, number, F.lit("cam"), stream, field, span)
 
 
 def _stored_fields(spark: SparkSession, sf_dir: str) -> str:
@@ -30,19 +31,22 @@ def _stored_fields(spark: SparkSession, sf_dir: str) -> str:
         F.struct(F.lit("TREFHT").alias("field"), F.col("tas").alias("value")),
         F.struct(F.lit("PRECT").alias("field"), F.col("pr").alias("value")))).alias("x"))
     daily = daily.select(_file_name(F.lit("h1"), F.col("x.field")).alias("file"), "date", "cell_id", "x.value")
-    month = obs.filter(F.dayofmonth("date") == 1).select(
-        _file_name(F.lit("h0"), F.lit("TREFHT")).alias("file"), "date", "cell_id", F.col("tas").alias("value"))
+    monthly = obs.groupBy("experiment", "member", F.trunc("date", "month").alias("date"), "cell_id").agg((F.avg("tas") / F.lit(0.97)).alias("value"))
+    month = monthly.select(_file_name(F.lit("h0"), F.lit("TREFHT")).alias("file"), "date", "cell_id", "value")
     path = scratch_path(spark, "fields")
     grid.write_grid(daily.unionByName(month), path, ["file"])
     return path
 
 
-@query("scan_grid", """
-select case when experiment = 'O' then '1.0' else 'baseline' end as experiment, member, date, cell_id, tas as value
-from a_obs_daily where experiment = 'O' or year(date) < 1998""")
+# the daily baseline has its first member and whole files only, the monthly one its first three members; fields are told apart
+@query("scan_grid", f"""
+with m as (select *, case experiment when 'O' then '1.0' else 'baseline' end as e, case member when 'A' then '001' when 'N' then '002' else '003' end as n from a_obs_daily)
+select 'h1' as stream, e as experiment, n as member, date, cell_id, {r('tas')} as value from m where experiment = 'O' or (year(date) < 1998 and member = 'A')
+union all select 'h0', e, n, cast(date_trunc('month', date) as date), cell_id, {r('avg(tas) / 0.97e0')} from m group by e, n, date_trunc('month', date), cell_id""")
 def scan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = grid.scan_grid(spark, _stored_fields(spark, sf_dir), "TREFHT", daily=True)
-    return grid.file_keys(df).select("experiment", "member", "date", "cell_id", "value")
+    path = _stored_fields(spark, sf_dir)
+    parts = [grid.file_keys(grid.scan_grid(spark, path, "TREFHT", daily=d)).withColumn("stream", F.lit("h1" if d else "h0")) for d in (True, False)]
+    return rounded(parts[0].unionByName(parts[1]).select("stream", "experiment", "member", "date", "cell_id", "value"), "value")
 
 
 _NAMES = """
@@ -119,10 +123,13 @@ def scan_ws_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "controller")
     rows = A.table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(
         F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
-    text = rows.select(F.concat_ws("  ", F.col("y").cast("string"), F.lit("0."), F.col("lo").cast("string"), F.col("hi").cast("string")).alias("value"))
-    head = A.table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(
-        F.lit("Timestamp dT0 30S(Tg) 30N(Tg)"), F.lit(" "))).alias("value"))
-    head.unionByName(text).write.text(path)
+    # two files whose columns stand in another order
+    for odd, header, order in ((0, "Timestamp dT0 30S(Tg) 30N(Tg)", ("lo", "hi")), (1, "Timestamp 30N(Tg) dT0 30S(Tg)", ("hi", "lo"))):
+        cells = [F.col(order[0]).cast("string"), F.col(order[1]).cast("string")]
+        cells.insert(odd, F.lit("0."))
+        text = rows.filter(F.col("y") % 2 == odd).select(F.concat_ws("  ", F.col("y").cast("string"), *cells).alias("value"))
+        head = spark.range(1).select(F.explode(F.array(F.lit(header), F.lit(" "))).alias("value"))
+        head.unionByName(text).coalesce(1).write.mode("append").text(path)
     return tables.scan_ws_table(spark, path, {"30S(Tg)": "lat_m30", "30N(Tg)": "lat_p30"}, years=(1996, 2000)).drop("file")
 
 

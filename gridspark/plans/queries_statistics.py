@@ -58,19 +58,19 @@ select variable, experiment, cell_id, stddev_pop(e) as value from (
 where year between 1997 and 1999 group by variable, experiment, cell_id"""
 
 
-@query("regional_variability", f"select variable, experiment, cell_id, {r('value', 5)} as value from h_regional where value is not null", h_regional=_REGIONAL)
+@query("regional_variability", f"select variable, experiment, cell_id, {r('value', 5)} as value from h_regional", h_regional=_REGIONAL)
 def regional_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.regional_variability(A.annual(spark, sf_dir), ["variable", "experiment", "cell_id"], fit=(1996, 2001), window=(1997, 1999))
-    return rounded(out.filter("value is not null"), "value", digits=5)
+    return rounded(out, "value", digits=5)
 
 
 @query("population_variability", f"""
-select experiment, year, member, {r('value * (select sum(persons) from a_population join a_land using (cell_id)) / 1000000')} as value
-from a_annual where variable = 'tas' and cell_id = 7""")
+select variable, experiment, year, member, cell_id, {r('value * (select sum(persons) from a_population join a_land using (cell_id)) / 1000000', 4)} as value
+from a_annual""")
 def population_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
     land = spatial.land_mask(A.cells(spark, sf_dir), A.region_edges(spark, sf_dir))
-    one = A.annual(spark, sf_dir).filter("variable = 'tas' and cell_id = 7").select("experiment", "member", "year", "value")
-    return rounded(stats.population_variability(one, A.population(spark, sf_dir), land), "value")
+    rows = A.annual(spark, sf_dir).select("variable", "experiment", "member", "year", "cell_id", "value")
+    return rounded(stats.population_variability(rows, A.population(spark, sf_dir), land), "value", digits=4)
 
 
 # -- tests -------------------------------------------------------------------------------------
@@ -81,14 +81,14 @@ _P = """case when sd = 0 then (case when m1 = m2 then 1 else 0 end) else greates
 
 
 @query("ttest_pvalue", f"""
-select experiment, member, year, cell_id, {r(_P)} as p_value from (
+select variable, experiment, member, year, cell_id, {r(_P)} as p_value from (
   select *, pow((m1 - m2) / (nullif(sd, 0) * sqrt(2e0 / 63)), 2) / 124 as r2 from (
-    select experiment, member, year, cell_id, tas as m1, 25e0 as m2, case when cell_id % 10 = 3 then 0e0 else 20 + cell_id end as sd from a_annual_wide) y) x""")
+    select variable, experiment, member, year, cell_id, value as m1, 25e0 as m2, case when cell_id % 10 = 3 then 0e0 else 20 + cell_id end as sd from a_annual) y) x""")
 def ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tas = A.annual(spark, sf_dir).filter("variable = 'tas'")
+    annual = A.annual(spark, sf_dir)
     sd = F.when(F.col("cell_id") % 10 == 3, F.lit(0.0)).otherwise((20 + F.col("cell_id")).cast("double"))
-    out = ttest_pvalue(tas, F.col("value"), F.lit(25.0), sd, 63)
-    return rounded(out.select("experiment", "member", "year", "cell_id", "p_value"), "p_value")
+    out = ttest_pvalue(annual, F.col("value"), F.lit(25.0), sd, 63)
+    return rounded(out.select("variable", "experiment", "member", "year", "cell_id", "p_value"), "p_value")
 
 
 @query("regional_pvalues", f"""
@@ -132,22 +132,22 @@ def has_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAWS = """
 select cast(p.rep as int) as replicate, y.scenario, y.year, count(*) as w
 from (select scenario, count(*) as n from a_global_annual group by scenario) s
-cross join range(0, 20) p(rep) cross join range(0, 100) d(i)
+cross join range(0, 20) p(rep) cross join lateral (select unnest(range(0, s.n)) as i) d
 join (select *, row_number() over (partition by scenario order by year) - 1 as pos from a_global_annual) y
-  on y.scenario = s.scenario and d.i < s.n
- and y.pos = cast(('0x' || substr(md5('b' || cast(p.rep as varchar) || '-' || s.scenario || '-' || cast(d.i as varchar)), 1, 8)) as bigint) % s.n
+  on y.scenario = s.scenario and y.pos = cast(('0x' || substr(md5('b' || cast(p.rep as varchar) || '-' || s.scenario || '-' || cast(d.i as varchar)), 1, 8)) as bigint) % s.n
 group by p.rep, y.scenario, y.year"""
 
 
 @query("bootstrap_ols", f"""
 select variable, model, cell_id, replicate, {r('b', 4)} as slope, {r('(sy - b * sx) / sw', 4)} as intercept from (
-  select *, (sw * sxy - sx * sy) / nullif(case when abs(sw * sxx - sx * sx) > 1e-9 then sw * sxx - sx * sx else 0 end, 0) as b from (
+  select *, case when abs(sw * sxx - sx * sx) <= 1e-13 * sw * sxx then 0 else (sw * sxy - sx * sy) / (sw * sxx - sx * sx) end as b from (
     select variable, model, cell_id, replicate, sum(w) as sw, sum(w * driver) as sx, sum(w * value) as sy, sum(w * driver * driver) as sxx, sum(w * driver * value) as sxy
     from h_maps m join a_global_annual g using (scenario, year) join h_draws d using (scenario, year)
-    where (model, scenario) <> ('A', '5-LOW') group by variable, model, cell_id, replicate) x) y
-where b is not null and abs(sw * sxx - sx * sx) > 1e-3""", h_maps=_MAPS, h_draws=_DRAWS)
+    where (variable, model, scenario) not in (('tas', 'A', '5-LOW'), ('pr', 'N', '1-URGENT')) group by variable, model, cell_id, replicate) x) y""", h_maps=_MAPS, h_draws=_DRAWS)
 def bootstrap_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missing = (F.col("model") == "A") & (F.col("scenario") == "5-LOW") & (F.col("year") == 1998)
+    # each variable misses values in another scenario, and only its own fits go without it
+    missing = (F.col("year") == 1998) & (((F.col("variable") == "tas") & (F.col("model") == "A") & (F.col("scenario") == "5-LOW"))
+                                         | ((F.col("variable") == "pr") & (F.col("model") == "N") & (F.col("scenario") == "1-URGENT")))
     maps = scenario_maps(spark, sf_dir).withColumn("value", F.when(~missing, F.col("value")))
     out = stats.bootstrap_ols(maps, A.global_annual(spark, sf_dir), replicates=20, per_block=8)
     return rounded(out, "slope", "intercept", digits=4)
@@ -189,7 +189,7 @@ def histogram_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pad_series", f"""
 with n as (select scenario, min(k) as t0, max(k) - min(k) + 1 as n, avg(value) as mean from a_global_monthly group by scenario),
-  p as (select n.*, i from n, range(-10, 300) r(i) where i < n + 10)
+  p as (select n.*, unnest(range(-10, n + 10)) as i from n)
 select 'min_norm' as kind, p.scenario, cast(t0 + i as int) as k, {r('coalesce(v.value, mean)')} as value
 from p left join a_global_monthly v on v.scenario = p.scenario and v.k = t0 + i
 union all select 'min_slope', p.scenario, cast(t0 + i as int), {r('v.value')}
@@ -219,8 +219,8 @@ def smooth_sql(source: str, id_: str, t: str, value: str) -> str:
     return f"""
   s0 as (select {id_} as id, {t} as t, {value} as v from {source}),
   n as (select id, min(t) as t0, max(t) - min(t) + 1 as n from s0 group by id),
-  x as (select n.id, n.t0, n.n + 20 as m, i + 10 as j, s0.v from n join range(-10, 400) r(i) on i < n.n + 10
-        join s0 on s0.id = n.id and s0.t - n.t0 = least((i + 40 * n.n) % (2 * n.n), 2 * n.n - 1 - (i + 40 * n.n) % (2 * n.n))),
+  x as (select n.id, n.t0, n.n + 20 as m, n.i + 10 as j, s0.v from (select *, unnest(range(-10, n + 10)) as i from n) n
+        join s0 on s0.id = n.id and s0.t - n.t0 = least((n.i + 40 * n.n) % (2 * n.n), 2 * n.n - 1 - (n.i + 40 * n.n) % (2 * n.n))),
   e as (select id, t0, m, j, v from x
         union all select x.id, x.t0, x.m, -x.j, 2 * z.v - x.v from x join x z on z.id = x.id and z.j = 0 where x.j between 1 and 12
         union all select x.id, x.t0, x.m, 2 * x.m - 2 - x.j, 2 * z.v - x.v from x join x z on z.id = x.id and z.j = x.m - 1 where x.j between x.m - 13 and x.m - 2),
@@ -240,16 +240,16 @@ def smooth_lowpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signal.smooth_lowpass(A.global_monthly(spark, sf_dir), ["scenario"], t="k"), "value")
 
 
-_BANDS = [("click", 0.02, 0.05, 0.4, 20.0, 0.7), ("error", 0.03, 0.02, 0.3, 35.0, 0.5), ("purchase", 0.01, 0.08, 0.2, 12.0, 0.9),
-          ("signup", 0.04, 0.03, 0.1, 50.0, 0.4), ("view", 0.05, 0.01, 0.5, 28.0, 0.6)]
-
-
-def band_params(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, _BANDS, ["band", "beta", "alpha", "gamma", "tau", "mu"])
+def band_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response parameters of every band that the data have, from the length of its name."""
+    bands = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("band")).distinct()
+    n = F.length("band").cast("double")
+    return bands.select("band", (n / 200).alias("beta"), (n / 150).alias("alpha"), (n / 25).alias("gamma"), (10 + n * 3).alias("tau"), (0.3 + n / 20).alias("mu"))
 
 
-BAND_PARAMS = "select band, beta::double as beta, alpha::double as alpha, gamma::double as gamma, tau::double as tau, mu::double as mu from (values %s) x(band, beta, alpha, gamma, tau, mu)" \
-    % ", ".join(map(str, _BANDS))
+BAND_PARAMS = """
+select band, n / 200 as beta, n / 150 as alpha, n / 25 as gamma, 10 + n * 3 as tau, 0.3e0 + n / 20 as mu
+from (select distinct event_type as band, cast(length(event_type) as double) as n from events) x"""
 
 AOD = """
 select a.band, a.k, coalesce(sum(beta * m.value * exp(-(alpha + gamma * m.value) * (a.k - m.k + 1))), 0) as value
@@ -258,18 +258,18 @@ from a_injection a join h_params using (band) left join a_injection m on m.band
 
 @query("convolve_decay", f"select band, k, {r('value', 8)} as value from h_aod", h_params=BAND_PARAMS, h_aod=AOD)
 def convolve_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signal.convolve_decay(A.injection(spark, sf_dir), band_params(spark), block=7), "value", digits=8)
+    return rounded(signal.convolve_decay(A.injection(spark, sf_dir), band_params(spark, sf_dir), block=7), "value", digits=8)
 
 
 # exp(u) erfc(sqrt(u)) = exp(u) - 2/sqrt(pi) * sum_n 2^n x^(2n+1) / (2n+1)!!, x = sqrt(u); all terms are positive
 KERNEL = """
 select p.band, cast(l as int) as lag, mu * (1 / sqrt(pi() * l / tau) - (exp(l / tau) - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90),
   lambda n: exp(n * ln(2e0) + (2 * n + 1) * ln(sqrt(l / tau)) - (lgamma(2e0 * n + 2) - n * ln(2e0) - lgamma(n + 1e0))))))) as h
-from h_params p, range(1, 32) t(l)"""
+from h_params p, (select unnest(range(1, (select cast(max(k) - min(k) as bigint) + 2 from a_injection))) as l) t"""
 
 
 @query("convolve_kernel", f"""
 select a.band, a.k, {r('sum(h * m.value)')} as value from a_injection a join a_injection m on m.band = a.band and m.k <= a.k
 join h_kernel k on k.band = a.band and k.lag = a.k - m.k + 1 group by a.band, a.k""", h_params=BAND_PARAMS, h_kernel=KERNEL)
 def convolve_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signal.convolve_kernel(A.injection(spark, sf_dir), band_params(spark), block=7), "value")
+    return rounded(signal.convolve_kernel(A.injection(spark, sf_dir), band_params(spark, sf_dir), block=7), "value")

@@ -12,11 +12,14 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.schema import EXPERIMENT_LABELS
 
 DAILY_MARK = "h1"
 BASELINE_DAILY_START = "50101"  # only the daily baseline files that start there are complete
+#: Members whose baseline files are used, daily and monthly.
+BASELINE_DAILY_MEMBERS, BASELINE_MONTHLY_MEMBERS = ("001",), ("001", "002", "003")
 
 
 def file_experiment(name: Column) -> Column:
@@ -39,14 +42,20 @@ def file_keys(df: DataFrame, name: str = "file") -> DataFrame:
     })
 
 
-def scan_grid(spark: SparkSession, root: str, field: str, daily: bool) -> DataFrame:
-    """Rows of one field and stream; other files are pruned by name and never opened."""
+def scan_grid(spark: SparkSession, root: str, field: str, daily: bool, members: Sequence[str] | None = None) -> DataFrame:
+    """Rows of one field and stream; other files are pruned by name and never opened.
+
+    Of the baseline only ``members`` are kept (as stated above, if not given); other experiments keep all.
+    """
     df = spark.read.parquet(root)
     if "file" not in df.columns:
         df = spark.read.schema(df.schema).option("pathGlobFilter", f"*.{field}.*").parquet(root) \
             .withColumn("file", F.col("_metadata.file_name"))
     name = F.col("file")
     df = df.filter(name.contains(f".{field}."))
+    used = members if members is not None else BASELINE_DAILY_MEMBERS if daily else BASELINE_MONTHLY_MEMBERS
+    member = F.try_element_at(F.split(F.regexp_replace(name, r"\.(nc|parquet)$", ""), r"\."), F.lit(-5))
+    df = df.filter((file_experiment(name) != "baseline") | member.isin(list(used)))
     if daily:
         whole = (file_experiment(name) != "baseline") | name.contains(BASELINE_DAILY_START)
         return df.filter(name.contains(DAILY_MARK) & whole)
@@ -79,6 +88,12 @@ def read_grid(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
+def read_labels(spark: SparkSession, path: str, labels: Sequence[str]) -> DataFrame:
+    """A written product whose partition folders named in ``labels`` are text, whatever they look like."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name in labels else f.dataType) for f in found])).parquet(path)
+
+
 def write_scenario_dataset(quantities: dict[str, DataFrame], path: str) -> None:
     """Several scenario arrays of different rank as one long table, one partition per quantity."""
     dims = ["scenario", "config", "specie", "layer"]
@@ -95,8 +110,8 @@ def write_coefs(coefs: DataFrame, path: str) -> None:
 
 
 def read_coefs(spark: SparkSession, path: str, variable: str | None = None) -> DataFrame:
-    """All replicates of all models, stacked; one variable prunes to its partitions."""
-    df = spark.read.parquet(path)
+    """All replicates of all models, stacked; one variable prunes to its partitions. Labels such as "001" stay text."""
+    df = read_labels(spark, path, ["variable", "model"])
     return df.filter(F.col("variable") == variable) if variable is not None else df
 
 

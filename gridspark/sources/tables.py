@@ -54,33 +54,39 @@ def scan_species(spark: SparkSession, path: str, requested: DataFrame | Sequence
 
 
 def scan_natural_forcing(spark: SparkSession, solar: str, volcanic: str) -> DataFrame:
-    """(t, volcanic, solar) from (year, erf) and (timebounds, erf); times only one file has keep NULL."""
+    """(t, volcanic, solar) from (year, erf) and (timebounds, erf).
+
+    There is no volcanic forcing past the end of its file; other times that only one file has keep NULL.
+    """
     def series(path: str, time: str, name: str) -> DataFrame:
         raw = spark.read.csv(path, header=True)
         return raw.select(F.col(time).try_cast("double").alias("t"), F.col("erf").try_cast("double").alias(name))
 
-    return series(volcanic, "timebounds", "volcanic").join(series(solar, "year", "solar"), "t", "full_outer")
+    eruptions = series(volcanic, "timebounds", "volcanic")
+    both = eruptions.join(series(solar, "year", "solar"), "t", "full_outer")
+    end = eruptions.agg(F.max("t")).first()[0]
+    return both if end is None else both.withColumn("volcanic", F.when(F.col("t") > end, F.lit(0.0)).otherwise(F.col("volcanic")))
 
 
 def scan_ws_table(spark: SparkSession, path: str | Sequence[str], columns: dict[str, str],
                   first: str = "Timestamp", years: tuple[int, int] | None = None) -> DataFrame:
     """Whitespace-separated tables with a header line: the wanted columns, renamed, with the file name.
 
-    Every file repeats the header; it is recognised by its first word.  Blank lines go.
+    Every file has its own header, recognised by its first word, so columns may stand elsewhere in each.  Blank lines go.
+    A file without a header, or whose header lacks a column, is an error.
     """
     words = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), words.alias("w")) \
         .filter(F.element_at("w", 1) != "")
-    header = lines.filter(F.element_at("w", 1) == first).first()
-    if header is None:
-        raise ValueError(f"no header line starting with {first!r}")
-    position = {name: i for i, name in enumerate(header["w"])}
-    missing = [c for c in columns if c not in position]
-    if missing:
-        raise ValueError(f"columns not found: {missing}")
-    rows = lines.filter(F.element_at("w", 1) != first).select(
-        "file", F.element_at("w", 1).try_cast("int").alias("year"),
-        *[F.try_element_at("w", F.lit(position[c] + 1)).try_cast("double").alias(out) for c, out in columns.items()])
+    heads = lines.filter(F.element_at("w", 1) == first).groupBy("file").agg(F.first("w").alias("_h"))
+    files = lines.select("file").distinct().join(heads, "file", "left")
+    lacking = files.withColumn("_m", F.filter(F.array(*map(F.lit, columns)), lambda c: ~F.coalesce(F.array_contains("_h", c), F.lit(False))))
+    wrong = lacking.filter(F.size("_m") > 0).first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['file']}: no header line starting with {first!r} has the columns {wrong['_m']}")
+    rows = lines.filter(F.element_at("w", 1) != first).join(heads, "file")
+    cell = lambda name: F.try_element_at("w", F.array_position("_h", name).cast("int")).try_cast("double")
+    rows = rows.select("file", F.element_at("w", 1).try_cast("int").alias("year"), *[cell(c).alias(out) for c, out in columns.items()])
     return rows.filter(F.col("year").between(*years)) if years else rows
 
 

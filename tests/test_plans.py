@@ -59,3 +59,30 @@ def test_no_forced_broadcast_in_the_library():
     text = "".join(p.read_text() for p in root.rglob("*.py"))
     for word in ("broadcast(", "crossJoin", "localCheckpoint", "toPandas(", ".rdd"):
         assert word not in text
+
+
+def test_map_products_spread_with_their_size(spark, monkeypatch):
+    """A small pattern is dealt out before it is multiplied, by the rows of the product, and nothing shuffles above it."""
+    monkeypatch.setattr(align, "ROWS_PER_TASK", 1000)
+    pattern = spark.range(500).selectExpr("cast(id as int) as cell_id", "'tas' as variable", "1.0D as slope")
+    sizes = []
+    for years in (4, 40):
+        out = align.outer_scale(pattern, spark.range(years).selectExpr("id as year", "2.0D as driver"))
+        sizes.append(out.rdd.getNumPartitions())
+        text = out._jdf.queryExecution().toString()
+        assert "Semi" not in text and text.split("== Physical Plan ==")[1].split("BroadcastHashJoin")[0].count("Exchange") == 0
+    assert sizes == [2, 20]
+
+
+def test_predictions_take_one_model(spark):
+    from pyspark.errors import PySparkException
+
+    from gridspark.plans import products as P
+    coef = spark.createDataFrame([("tas", "001", 0, 1, 1.0, 0.0), ("tas", "002", 0, 1, 3.0, 0.0)],
+                                 "variable string, model string, replicate int, cell_id int, slope double, intercept double")
+    assert P.mean_coefs(coef, "001").first()["slope"] == 1.0
+    with pytest.raises(PySparkException, match="several models"):
+        P.mean_coefs(coef).collect()
+    series = spark.createDataFrame([("s", y, 1.0) for y in (2099, 2100, 2101)], "scenario string, year int, driver double")
+    land = spark.createDataFrame([(1,)], "cell_id int")
+    assert {r["year"] for r in P.predict_map(coef, series, ["tas"], land, model="002").collect()} == {2099, 2100}

@@ -104,3 +104,30 @@ def test_scratch_folder_comes_from_the_session(spark, frame, tmp_path, monkeypat
     root = scratch.scratch_root(spark)
     df = scratch.settle(frame([(1, None)], "a int, b double"), "t")
     assert df.collect()[0][:] == (1, None) and df.inputFiles()[0].startswith(f"file://{root}/t-")
+
+
+def test_labels_of_digits_stay_text(spark, tmp_path):
+    coef = spark.createDataFrame([("tas", "001", 0, 1, 1.0, 2.0), ("tas", "119", 0, 1, 3.0, 4.0)],
+                                 "variable string, model string, replicate int, cell_id int, slope double, intercept double")
+    grid.write_coefs(coef, str(tmp_path / "coef"))
+    back = grid.read_coefs(spark, str(tmp_path / "coef"))
+    assert sorted(r["model"] for r in back.collect()) == ["001", "119"]
+
+
+def test_baseline_members(spark, tmp_path):
+    names = [f"b.e21.BWSSP245.f09.{m}.cam.{h}.TREFHT.{span}" for m in ("001", "003", "004") for h, span in (("h0", "201501-206412"), ("h1", "20150101-20241231"), ("h1", "20250101-20341231"))]
+    rows = [(i, n) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "cell_id int, file string").write.partitionBy("file").parquet(str(tmp_path / "f"))
+    member = lambda d, **kw: sorted({r["file"].split(".")[4] for r in grid.scan_grid(spark, str(tmp_path / "f"), "TREFHT", d, **kw).collect()})
+    assert member(False) == ["001", "003"] and member(True) == ["001"]
+    assert member(False, members=["004"]) == ["004"]
+
+
+def test_table_headers_differ_by_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Timestamp x y\n2035 1 2\n")
+    (tmp_path / "b.txt").write_text("Timestamp y z x\n2036 5 0 6\n")
+    out = tables.scan_ws_table(spark, str(tmp_path), {"x": "x", "y": "y"})
+    assert {(r["year"], r["x"], r["y"]) for r in out.collect()} == {(2035, 1.0, 2.0), (2036, 6.0, 5.0)}
+    (tmp_path / "c.txt").write_text("2036 5 0 6\n")
+    with pytest.raises(ValueError, match="c.txt"):
+        tables.scan_ws_table(spark, str(tmp_path), {"x": "x"})

@@ -133,3 +133,19 @@ def test_population_variability(frame):
     one = frame([("tas", 0.5)], "variable string, value double")
     assert stats.population_variability(one, people).first()["value"] == 2.5
     assert stats.population_variability(one, people, frame([(2,)], "cell_id int")).first()["value"] == 1.5
+
+
+def test_bootstrap_skips_scenarios_per_variable(frame):
+    """A gap in one variable leaves the other variable's fits as they are."""
+    rows = [(v, "m", "s", y, 1, None if v == "pr" and y == 2002 else 2.0 * y) for v in ("tas", "pr") for y in range(2000, 2006)]
+    df = frame(rows, "variable string, model string, scenario string, year int, cell_id int, value double")
+    series = frame([("s", y, float(y)) for y in range(2000, 2006)], "scenario string, year int, driver double")
+    got = stats.bootstrap_ols(df, series, replicates=5).collect()
+    assert {r["variable"] for r in got} == {"tas"} and len(got) == 5
+    assert all(r["slope"] == pytest.approx(2.0, abs=1e-6) for r in got)
+
+
+def test_bootstrap_of_one_year_is_its_value(frame):
+    df = frame([("tas", "m", "s", 2000, 1, 7.5)], "variable string, model string, scenario string, year int, cell_id int, value double")
+    series = frame([("s", 2000, 1.3)], "scenario string, year int, driver double")
+    assert {(r["slope"], r["intercept"]) for r in stats.bootstrap_ols(df, series, replicates=3).collect()} == {(0.0, 7.5)}
