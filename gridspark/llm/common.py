@@ -21,8 +21,8 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into steps of bounded rows and bytes of ``column``."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into steps of bounded rows and of at most ``most`` bytes of ``column`` (or one row)."""
     for batch in batches:
         sizes = batch.column(column)
         lengths = np.zeros(len(sizes), np.int64)
@@ -33,7 +33,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
         ends = np.cumsum(lengths)
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            to = int(np.searchsorted(ends, done + STEP_BYTES, side="right"))
+            to = int(np.searchsorted(ends, done + most, side="right"))
             to = min(max(to, at + 1), at + STEP_ROWS, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to

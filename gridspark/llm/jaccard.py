@@ -33,8 +33,10 @@ from gridspark.scratch import settle
 CELL_BITS, FREQUENT, CELLS_USED = 20, 0.005, 1 << 16
 #: Classes and shingles of a chunk, about, and random cuts of a large group.
 CHUNK, CHUNK_SHINGLES, CUTS = 2048, 4_000_000, 3
+#: Bytes of text that become shingles at a time (arrays take about a hundred times as much).
+STEP = 500_000
 #: Shingles that a task gathers before it sends them on, and bits of a filter at most.
-SENT, FILTER_BITS = 1 << 20, 1 << 26
+SENT, FILTER_BITS = 1 << 19, 1 << 26
 MEMBERS = "doc_id long, n int, k long, sig binary, cell int, count long"
 LISTS = "list long, part int, size long, weight long, members array<long>"
 
@@ -43,7 +45,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text: size and key of its set, and the set's bitmap where the key is new to the task; then counts of frequent cells."""
     seen: set[int] = set()
     counts, texts_read = np.zeros(1 << CELL_BITS, np.int64), 0
-    for step in steps(batches):
+    for step in steps(batches, most=STEP):
         h, cut = ordered_sets(*shingles(texts_of(step)), step.num_rows)
         keys, n = set_keys(h, cut).view(np.int64), np.diff(cut)
         counts += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
@@ -89,7 +91,7 @@ def prefix_lists(docs: DataFrame, cells: np.ndarray, counts: np.ndarray, parts:
                 ["bucket", "tokens", "ks", "ns", "each"])
 
         waiting = 0
-        for step in steps(batches):
+        for step in steps(batches, most=STEP):
             h, cut = ordered_sets(*shingles(texts_of(step)), step.num_rows, weight)
             # keys don't depend on the order in a set
             keys, n = set_keys(h, cut), np.diff(cut)
@@ -206,9 +208,10 @@ def connect_groups(members: DataFrame, payload: DataFrame, sets: bool) -> DataFr
     ``payload`` (k, n, data) has bitmaps, or sets where links are to be verified.  Groups of any size are cut into chunks.
     """
     parts = shuffle_parts(members.sparkSession)
-    rows = settle(members.join(payload.dropDuplicates(["k"]), "k"), "groups")
     chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
-    rows = rows.withColumn("chunks", chunks)
+    members = members.withColumn("chunks", chunks)
+    payload = payload.dropDuplicates(["k"])
+    rows = members.join(payload, "k")
 
     def run(df: DataFrame) -> DataFrame:
         dealt = df.select("grp", "chunk", "side", "label", "k", "n", "data").repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
@@ -217,7 +220,7 @@ def connect_groups(members: DataFrame, payload: DataFrame, sets: bool) -> DataFr
     cuts = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(CUTS))))
     once = rows.withColumn("cut", F.explode(cuts)).withColumn("chunk", F.col("cut") * F.col("chunks") + F.pmod(F.xxhash64("grp", "cut", "k"), F.col("chunks")).cast("int"))
     found = settle(run(once.withColumns({"side": F.lit(0), "label": F.lit(None).cast("long")})), "links")
-    large = rows.filter("chunks > 1")
+    large = members.filter("chunks > 1")
     if large.isEmpty():
         return found
     # what the chunks of a large group have not connected: all outside its largest part meet all of the group
@@ -229,7 +232,7 @@ def connect_groups(members: DataFrame, payload: DataFrame, sets: bool) -> DataFr
     most = settle(most, "rest")
     if most.isEmpty():
         return found
-    large = large.join(most.select("grp", "main", "blocks"), "grp")
+    large = large.join(most.select("grp", "main", "blocks"), "grp").join(payload, "k")
     block = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     chunk = F.pmod(F.xxhash64("grp", "k"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -264,7 +267,7 @@ def candidate_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.unpackbits(bits, bitorder="little").view(bool)
         last, seen = np.uint64(len(on) - 1), set()
-        for step in steps(batches):
+        for step in steps(batches, most=STEP):
             h, cut = ordered_sets(*shingles(texts_of(step)), step.num_rows)
             k, n = set_keys(h, cut), np.diff(cut)
             near = (n > 3) & on[(k & last).astype(np.int64)] & on[(k >> np.uint64(30) & last).astype(np.int64)]
@@ -324,7 +327,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = settle(first.select(F.col("f.doc_id").alias("_kept"), F.col("f.set_key").alias("_key")), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches):
+        for step in steps(batches, most=STEP):
             h, cut = ordered_sets(*shingles(texts_of(step)), step.num_rows)
             keys = pa.array(set_keys(h, cut).view(np.int64), mask=np.diff(cut) == 0)
             yield pa.RecordBatch.from_arrays([*step.columns, keys], [*step.schema.names, "_set_of_row"])
