@@ -119,9 +119,9 @@ def _fold_blocks(cut: DataFrame, source: DataFrame, keys: Sequence[str], k: str,
     pairs = target.join(source, [*keys, "_b"])
     if tiles is not None:
         pairs = pairs.withColumn("_d", F.col("_tb") - F.col("_b")).join(tiles, [*tile_keys, "_d"])
-    rows = pairs.withColumn(k, F.explode("_ks"))
-    at = F.col(k)
-    part = F.aggregate("_src", F.lit(0.0), lambda acc, s: acc + F.when(s["k"] <= at, term(s, at)).otherwise(F.lit(0.0)))
-    partial = rows.select(*keys, k, part.alias(value))
+    # the fold runs over a block's arrays where they are; only its results are exploded
+    fold = lambda at: F.aggregate("_src", F.lit(0.0), lambda acc, s: acc + F.when(s["k"] <= at, term(s, at)).otherwise(F.lit(0.0)))
+    done = F.transform("_ks", lambda at: F.struct(at.alias(k), fold(at).alias(value)))
+    partial = pairs.select(*keys, F.inline(done))
     zero = cut.select(*keys, k, F.lit(0.0).alias(value))
     return partial.unionByName(zero).groupBy(*keys, k).agg(F.sum(value).alias(value))

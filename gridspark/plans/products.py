@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -343,11 +343,51 @@ def custom_injection_delta(injection: DataFrame, aod_params: DataFrame, climate_
 
 # -- summary -----------------------------------------------------------------------------------
 
-@dataclass
 class Summary:
-    maps: DataFrame        # (keys, cell_id, mean, delta_mean, inside)
-    series: DataFrame      # (keys, kind, year, value)
-    histograms: DataFrame  # (keys, kind, bin, lo, hi, frac)
+    """Parts of a summary, each built when it is first asked for, so that reading one starts no job of another."""
+
+    def __init__(self, **parts: Callable[[], DataFrame]):
+        self._parts = parts
+
+    def _part(self, name: str) -> DataFrame:
+        if name not in self._parts:
+            raise ValueError(f"the inputs of {name!r} were not given")
+        return self._parts[name]()
+
+    @cached_property
+    def maps(self) -> DataFrame:
+        """(keys, cell_id, mean, delta_mean, inside)"""
+        return self._part("maps")
+
+    @cached_property
+    def series(self) -> DataFrame:
+        """(keys, kind, year, value)"""
+        return self._part("series")
+
+    @cached_property
+    def histograms(self) -> DataFrame:
+        """(keys, kind, bin, lo, hi, frac)"""
+        return self._part("histograms")
+
+    @cached_property
+    def pvalues(self) -> DataFrame:
+        """(keys, cell_id, kind, p_value): without and with intervention, at the decade's end"""
+        return self._part("pvalues")
+
+    @cached_property
+    def variability(self) -> DataFrame:
+        """(variable, value)"""
+        return self._part("variability")
+
+    @cached_property
+    def gap(self) -> DataFrame:
+        """(scenario, target_tenths, year, temp_diff)"""
+        return self._part("gap")
+
+    @cached_property
+    def injection(self) -> DataFrame:
+        """(scenario, target_tenths, start_year, year, lat, value)"""
+        return self._part("injection")
 
 
 def map_summary(maps: DataFrame, delta: DataFrame, decade: tuple[int, int], keys: Sequence[str], region: DataFrame | None = None) -> DataFrame:
@@ -413,34 +453,62 @@ def series_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None,
 def histogram_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None, decade: tuple[int, int], keys: Sequence[str],
                       history_window: tuple[int, int] = (1950, 1960)) -> DataFrame:
     """Distributions over cells and years of a decade: equal bins, or fixed edges for day counts."""
-    base = ["variable", "scenario"]
     now = maps.filter(F.col("year").between(*decade))
-    labels = delta.select(*keys).distinct()
-    parts = {"no_sai": now.join(labels, base).select(*keys, "value"),
-             "with_sai": with_intervention(now, delta, floor=False).select(*keys, "value")}
-    if history is not None:
-        past = history.filter(F.col("year").between(*history_window))
-        parts["historical"] = past.join(labels, "variable").select(*keys, "value")
-    rows = align.stack_dim(parts, "kind")
+    labels = settle(delta.select(*keys).distinct(), "labels")
     count = variable_flag(F.col("variable"), "is_count")
-    by = [*keys, "kind"]
-    return stats.histogram_equal(rows.filter(~count), by).unionByName(stats.histogram_edges(rows.filter(count & (F.col("value") > 0)), by))
+
+    def bins(rows: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
+        rows = rows.select(*by, "value")
+        both = stats.histogram_equal(rows.filter(~count), by).unionByName(stats.histogram_edges(rows.filter(count & (F.col("value") > 0)), by))
+        missing = [k for k in keys if k not in by]
+        # values without a target are binned once, and the bins get the targets
+        named = both.join(labels, list(by)) if missing else both
+        return named.select(*keys, F.lit(kind).alias("kind"), "bin", "lo", "hi", "frac")
+
+    out = bins(now, ["variable", "scenario"], "no_sai").unionByName(bins(with_intervention(now, delta, floor=False), keys, "with_sai"))
+    if history is not None:
+        out = out.unionByName(bins(history.filter(F.col("year").between(*history_window)), ["variable"], "historical"))
+    return out
 
 
 def scenario_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None, cells: DataFrame, start_year: int,
                      decade: tuple[int, int], region: DataFrame | None = None, starts: DataFrame | None = None,
-                     obs: DataFrame | None = None, smooth: bool = True, history_window: tuple[int, int] = (1950, 1960)) -> Summary:
-    """Maps, series and histograms of one or many scenarios and targets.
-
-    ``maps`` and ``history`` are already rebased; with ``region`` series and histograms use its cells only.
+                     obs: DataFrame | None = None, smooth: bool = True, history_window: tuple[int, int] = (1950, 1960),
+                     tests: dict | None = None, natural: DataFrame | None = None, population: DataFrame | None = None,
+                     gap: DataFrame | None = None, injection_slopes: DataFrame | None = None, injection: dict | None = None) -> Summary:
+    """Maps, series, histograms and more of one or many scenarios and targets.
+
+    ``maps`` and ``history`` are already rebased; with ``region`` series, histograms and variability use its cells only.
+    ``tests`` has what the p-values need: baseline, variability, land, decades (arguments of the decadal means) and
+    decade_end.  ``natural`` (with ``population``), ``gap`` and ``injection_slopes`` (with ``injection``, arguments of
+    ``injection_by_latitude``) are for the other parts.
     """
     keys = [c for c in delta.columns if c not in ("year", "cell_id", "value")]
     cut = (lambda d: d) if region is None else (lambda d: spatial.clip_to_land(d, region))
     past = cut(history) if history is not None else None
-    return Summary(
-        map_summary(maps, delta, decade, keys, region),
-        series_summary(cut(maps), cut(delta), past, cells, start_year, keys, smooth, starts, obs),
-        histogram_summary(cut(maps), cut(delta), past, decade, keys, history_window))
+    parts = {
+        "maps": lambda: map_summary(maps, delta, decade, keys, region),
+        "series": lambda: series_summary(cut(maps), cut(delta), past, cells, start_year, keys, smooth, starts, obs),
+        "histograms": lambda: histogram_summary(cut(maps), cut(delta), past, decade, keys, history_window)}
+    if tests is not None:
+        parts["pvalues"] = lambda: decade_end_pvalues(maps, delta, keys, **tests)
+    if natural is not None:
+        names = lambda: [r["variable"] for r in maps.select("variable").distinct().collect()]
+        parts["variability"] = lambda: variability_summary(natural, names(), population, region)
+    if gap is not None:
+        parts["gap"] = lambda: gap
+        if injection_slopes is not None:
+            parts["injection"] = lambda: injection_by_latitude(injection_slopes, gap, **injection or {})
+    return Summary(**parts)
+
+
+def decade_end_pvalues(maps: DataFrame, delta: DataFrame, keys: Sequence[str], baseline: DataFrame, variability: DataFrame, land: DataFrame,
+                       decades: dict, decade_end: int) -> DataFrame:
+    """p-values per cell of one decade, without and with intervention (kind), for all ``keys``."""
+    end = lambda d: d.filter(F.col("decade_end") == decade_end).drop("decade_end")
+    without = end(pvalue_maps(maps, baseline, variability, land, **decades)).join(delta.select(*keys).distinct(), ["variable", "scenario"])
+    with_ = end(pvalue_maps(with_intervention(maps, delta, floor=False), baseline, variability, land, keys=keys, **decades))
+    return align.stack_dim({"no_sai": without.select(*keys, "cell_id", "p_value"), "with_sai": with_.select(*keys, "cell_id", "p_value")}, "kind")
 
 
 def variability_summary(natural: DataFrame, variables: Sequence[str], population: DataFrame, region: DataFrame | None = None) -> DataFrame:

@@ -343,7 +343,12 @@ def summary(spark: SparkSession, sf_dir: str, region: bool = False) -> P.Summary
     delta = settle(i.delta(maps), "delta")
     obs = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.year("o_orderdate").alias("year")).agg((F.avg("o_totalprice") / 101300).alias("value"))
     mask = i.land if region else None
-    return P.scenario_summary(maps, delta, past, i.cells, 1997, (1998, 2000), mask, obs=obs, history_window=(1995, 1995))
+    std = i.field().filter("experiment = 'F'").groupBy("variable", "cell_id").agg((F.stddev_pop("value") + 1).alias("value"))
+    tests = dict(baseline=base, variability=std, land=i.land, decades=dict(origin=1995, decades=2, width=3), decade_end=2001)
+    return P.scenario_summary(maps, delta, past, i.cells, 1997, (1998, 2000), mask, obs=obs, history_window=(1995, 1995), tests=tests,
+                              natural=i.field().groupBy("variable").agg(F.stddev_pop("value").alias("value")), population=i.population,
+                              gap=settle(i.gap(maps), "gap"), injection_slopes=i.cells.select("lat", (F.col("lat") / 100).alias("slope")).distinct(),
+                              injection=dict(start_years=(1996, 2000), last_year=2001))
 
 
 @query("summary_maps", f"""
@@ -410,6 +415,29 @@ def variability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.variability_summary(natural, ["tas", "tas_above_35", "exposure_above_35"], i.population, i.land), "value")
 
 
+# -- further parts of the summary --------------------------------------------------------------
+
+@query("summary_gap", f"select scenario, target_tenths, year, {r('temp_diff', 5)} as temp_diff from h_gap", **H)
+def summary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary(spark, sf_dir).gap, "temp_diff", digits=5)
+
+
+@query("summary_injection", f"""
+select scenario, target_tenths, start_year, year, l.lat, {r('''l.lat / 100 * d * case when year - first + 1 between 1 and least(10, 2001 - first)
+  then (year - first + 1) / cast(least(10, 2001 - first) as double) else 1 end''', 5)} as value
+from h_started cross join (select distinct lat from a_cells) l""", **H, h_started=_STARTED)
+def summary_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary(spark, sf_dir).injection, "value", digits=5)
+
+
+@query("summary_variability", f"""
+select v.variable, {r('case when v.people then x.value * (select sum(persons) from a_population join a_land using (cell_id)) / 1000000 else x.value end')} as value
+from (select variable, stddev_pop(value) as value from h_field group by variable) x join (values ('tas', 'tas', false), ('pr', 'pr', false),
+  ('tas_above_35', 'tas_above_35', false), ('exposure_above_35', 'tas_above_35', true)) v(variable, source, people) on x.variable = v.source""", **H)
+def summary_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary(spark, sf_dir, region=True).variability, "value")
+
+
 # -- sweep -------------------------------------------------------------------------------------
 
 _UNRAMPED = "(select scenario, target_tenths, year, case when temp_diff > 0 then 0 else temp_diff end as driver from h_gap where year >= 1997) d"
@@ -461,3 +489,15 @@ def sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     for more in out[1:]:
         rows = rows.unionByName(more)
     return rounded(rows, "value", digits=3)
+
+
+@query("summary_pvalues", f"""
+with l as (select distinct variable, scenario, target_tenths from h_delta)
+select l.variable, l.scenario, l.target_tenths, 'no_sai' as kind, q.cell_id, {r('q.p', 3)} as p_value from l join ({_P_SWEPT.format(p=_P_OF, means="""
+  select variable, scenario, cell_id, avg(value) as m2 from h_rawmap where year between 1999 and 2001 and cell_id in (select cell_id from a_land) group by all""")}) q using (variable, scenario)
+union all select variable, scenario, target_tenths, 'with_sai', cell_id, {r('p', 3)} from ({_P_SWEPT.format(p=_P_OF, means="""
+  select m.variable, m.scenario, d.target_tenths, m.cell_id, avg(m.value + d.value) as m2 from h_rawmap m join h_delta d using (variable, scenario, year, cell_id)
+  where m.year between 1999 and 2001 and m.cell_id in (select cell_id from a_land) group by all""")}) q""", **H,
+       h_std="select variable, cell_id, stddev_pop(value) + 1 as value from h_field where experiment = 'F' group by variable, cell_id")
+def summary_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary(spark, sf_dir).pvalues, "p_value", digits=3)
