@@ -208,11 +208,15 @@ def attach_species_params(df: DataFrame, species: DataFrame, overrides: DataFram
 
 def scale_forcing_by_config(natural: DataFrame, configs: DataFrame, t: str = "t", trend_start: float = 1750,
                             trend_years: float = 270, key: str = "config") -> DataFrame:
-    """Volcanic and solar forcing of each config: amplitude, plus a linear trend up to 1 for solar."""
+    """Volcanic and solar forcing of each config: amplitude, plus a linear trend up to 1 for solar.
+
+    Further columns of ``natural``, such as a scenario, stay.
+    """
+    more = [c for c in natural.columns if c not in (t, "volcanic", "solar")]
     scales = configs.select(key, "fscale_volcanic", "fscale_solar_amplitude", "fscale_solar_trend")
     rows = blocked_product(natural, scales, t)
     ramp = F.least((F.col(t) - trend_start) / F.lit(float(trend_years)), F.lit(1.0))
-    return rows.select(key, t, (F.col("volcanic") * F.col("fscale_volcanic")).alias("volcanic"),
+    return rows.select(key, *more, t, (F.col("volcanic") * F.col("fscale_volcanic")).alias("volcanic"),
                        (F.col("solar") * F.col("fscale_solar_amplitude") + ramp * F.col("fscale_solar_trend")).alias("solar"))
 
 

@@ -74,22 +74,22 @@ def shift_lon(spark: SparkSession, sf_dir: str) -> DataFrame:
                         C.lon_wrap_180("lon").alias("lon_country"))
 
 
-@query("tag_dims", f"select 'ssp245' as scenario, 'M' as model, year, cell_id, {r('value')} as amount from a_annual where variable = 'tas'")
+@query("tag_dims", f"select 'ssp245' as scenario, 'M' as model, variable, year, cell_id, {r('value')} as amount from a_annual")
 def tag_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tas = rounded(A.annual(spark, sf_dir).filter("variable = 'tas'"), "value")
-    return align.tag_dims(tas, {"scenario": "ssp245", "model": "M"}, {"value": "amount"}, ["variable", "experiment", "member"],
-                          ["scenario", "model", "year", "cell_id", "amount"])
+    annual = rounded(A.annual(spark, sf_dir), "value")
+    return align.tag_dims(annual, {"scenario": "ssp245", "model": "M"}, {"value": "amount"}, ["experiment", "member"],
+                          ["scenario", "model", "variable", "year", "cell_id", "amount"])
 
 
 # -- joins -------------------------------------------------------------------------------------
 
 @query("align_binary", f"""
-select experiment, member, year, a.cell_id, {r('a.value * p.persons / 1000')} as value
-from a_annual a join a_population p on a.cell_id = p.cell_id where variable = 'tas'""")
+select variable, experiment, member, year, a.cell_id, {r('a.value * p.persons / 1013', 5)} as value
+from a_annual a join a_population p on a.cell_id = p.cell_id""")
 def align_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tas = A.annual(spark, sf_dir).filter("variable = 'tas'").drop("variable")
-    people = A.population(spark, sf_dir).withColumn("value", F.col("persons") / 1000).drop("persons")
-    return rounded(align.align_binary(tas, people, "*"), "value")
+    annual = A.annual(spark, sf_dir)
+    people = A.population(spark, sf_dir).withColumn("value", F.col("persons") / 1013).drop("persons")
+    return rounded(align.align_binary(annual, people, "*"), "value", digits=5)
 
 
 @query("sum_components", f"""

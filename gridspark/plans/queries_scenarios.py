@@ -56,12 +56,12 @@ def attach_species_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scale_forcing_by_config", f"""
 select c.config, g.scenario, g.t, {r('-g.co2 / 1000 * fscale_volcanic')} as volcanic,
   {r('g.n2o / 100 * fscale_solar_amplitude + least((g.t - 1995) / 4e0, 1) * fscale_solar_trend')} as solar
-from (select *, '1-URGENT' as s from a_three_gas where scenario = '1-URGENT') g cross join a_configs c""")
+from a_three_gas g cross join a_configs c""")
 def scale_forcing_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    natural = A.three_gas(spark, sf_dir).filter("scenario = '1-URGENT'") \
-        .select("t", (-F.col("co2") / 1000).alias("volcanic"), (F.col("n2o") / 100).alias("solar"))
+    natural = A.three_gas(spark, sf_dir) \
+        .select("scenario", "t", (-F.col("co2") / 1000).alias("volcanic"), (F.col("n2o") / 100).alias("solar"))
     out = S.scale_forcing_by_config(natural, A.configs(spark, sf_dir), trend_start=1995, trend_years=4)
-    return rounded(out, "volcanic", "solar").withColumn("scenario", F.lit("1-URGENT"))
+    return rounded(out, "volcanic", "solar")
 
 
 @query("sector_sum", f"""

@@ -209,26 +209,26 @@ def write_scenario_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("quantity", "scenario", "config", "specie", "layer", "t", "value")
 
 
-@query("write_coefs", f"""
-select variable, member as model, cell_id, {r('regr_slope(value, year)')} as slope, {r('regr_intercept(value, year - 1995)')} as intercept
-from a_annual where experiment = 'O' group by variable, member, cell_id having count(*) > 1""")
+_FITTED = f"""
+select variable, concat(member, '-', experiment) as model, cell_id, {r('coalesce(regr_slope(value, year), 0)')} as slope,
+  {r('coalesce(regr_intercept(value, year - 1995), avg(value))')} as intercept from a_annual {{where}} group by variable, member, experiment, cell_id"""
+
+
+@query("write_coefs", _FITTED.format(where=""))
 def write_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coefs(spark, sf_dir, None)
 
 
-@query("read_coefs", f"""
-select variable, member as model, cell_id, {r('regr_slope(value, year)')} as slope, {r('regr_intercept(value, year - 1995)')} as intercept
-from a_annual where experiment = 'O' and variable = 'tas' group by variable, member, cell_id having count(*) > 1""")
+@query("read_coefs", _FITTED.format(where="where variable = 'tas'"))  # pruning to one variable is the feature
 def read_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coefs(spark, sf_dir, "tas")
 
 
 def _coefs(spark: SparkSession, sf_dir: str, variable: str | None) -> DataFrame:
-    rows = A.annual(spark, sf_dir).filter("experiment = 'O'").withColumn("year", F.col("year") - 1995)
-    several = rows.groupBy("variable", "member", "cell_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    fit = timeops.linear_fit(rows.join(several, ["variable", "member", "cell_id"], "left_semi"), ["variable", "member", "cell_id"])
+    rows = A.annual(spark, sf_dir).withColumns({"year": F.col("year") - 1995, "model": F.concat_ws("-", "member", "experiment")})
+    fit = timeops.linear_fit(rows, ["variable", "model", "cell_id"])
     path = scratch_path(spark, "coef")
-    grid.write_coefs(fit.withColumnRenamed("member", "model"), path)
+    grid.write_coefs(fit, path)
     back = grid.read_coefs(spark, path, variable).select("variable", "model", "cell_id", "slope", "intercept")
     return rounded(back, "slope", "intercept")
 
