@@ -30,7 +30,7 @@ IDENTITIES = [
 STARTS = (4, 5, 6)
 MODULUS, REMAINDER, THRESHOLD = 4, 2, 0.3
 #: Weight of the squared weights, weight of the squared score changes, and steps of the fit.
-RIDGE, FAIRNESS, STEPS = 1e-4, 1.0, 300
+RIDGE, FAIRNESS, STEPS = 1e-5, 1.0, 800
 #: Least signed root of the likelihood ratio statistic of a feature that is kept.
 LEAST_Z = 4.0
 
