@@ -53,7 +53,12 @@ def closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op7_bit_sliced_top_k")
+@query("op7_bit_sliced_top_k", """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""")
 def bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslices.top_inner_products(table(spark, sf_dir, "embeddings"), every=20, k=20)
 

@@ -16,7 +16,7 @@ PAGES = "page_id long, url string, host string, path int, _t0 string, bad int"
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_sql(spark, name, sf):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '/root/testdata/{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, f"/root/testdata/{sf}")
     cur = con.execute(queries.ORACLES[name])
