@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import steps, texts_of
-from gridspark.llm.pieces import encoder
+from gridspark.llm.pieces import STEP, encoder
 
 #: Tokens of a sequence, and documents of a group on average.
 CAPACITY, GROUP_DOCS = 4096, 4096
@@ -46,7 +46,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CA
     """Pieces of at most ``capacity`` ids of every text, each text followed by ``end_id``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, row = encoder(vocabulary, False), np.array([end_id], "<u4").tobytes(), 0
-        for step in steps(batches):
+        for step in steps(batches, most=STEP):
             out = []
             for doc_id, ids in zip(step.column("doc_id").to_pylist(), own.encode(texts_of(step)), strict=True):
                 ids, row = ids + end, row + 1

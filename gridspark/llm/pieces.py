@@ -17,6 +17,8 @@ from gridspark.llm.hashing import span_hashes
 
 #: Places in the table, and ids and pieces it keeps at most (it starts again beyond that; this bounds memory only).
 PLACES, KEPT_IDS, KEPT_PIECES = 1 << 21, 8_000_000, 1_400_000
+#: Bytes of text that are encoded at a time (the arrays for it take about a hundred times as much).
+STEP = 500_000
 #: A special token that stands between new pieces, so that many of them are one text for the library.
 SENTINEL, JOINED = "<|endoftext|>", 64
 #: White space of one byte besides space and line feed, and of more bytes by the first two: fixed values of Unicode.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import in_order, shuffle_parts, steps, texts_of
-from gridspark.llm.pieces import encoder
+from gridspark.llm.pieces import STEP, encoder
 
 #: Fixed values of the framing.
 CASTAGNOLI, MASK = 0x82F63B78, 0xA282EAD8
@@ -133,7 +133,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
         own = encoder(vocabulary, True)
         wide = own.library.get_vocab_size() > 1 << 16
         end, out, offset, tokens, name = np.array([end_id], "<u4").tobytes(), None, 0, 0, ""
-        for step in steps(batches):
+        for step in steps(batches, most=STEP):
             doc_ids, part = step.column("doc_id").to_pylist(), step.column("_part")
             ids = [x + end for x in own.encode(texts_of(step))]
             records = frame([to_data(d, x, wide) for d, x in zip(doc_ids, ids, strict=True)])
