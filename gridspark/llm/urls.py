@@ -1,9 +1,9 @@
 """Operator 4: a URL filter with a path-template tree, with DataFrame functions only.
 
 Rules decide the URLs that they fit.  For the others, each host has a tree of path segments.  Level by level, digits
-become a wildcard, rare segments join the wildcard branch, and so do branches whose share of bad labelled pages is not
-above their parent's beyond chance; a worse one stays a branch.  A template, the path from the root, is rejected
-if its smoothed share of good labelled pages is too small.
+become a wildcard, rare segments join the wildcard branch, and so do branches whose share of bad labelled pages differs
+from the others' by no more than chance; a worse or a better one stays a branch.  A template, the path from the root, is
+rejected if its smoothed share of good labelled pages is too small.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from gridspark.scratch import settle
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Levels with segments of their own (deeper ones are one wildcard), and URLs that a branch of its own needs.
 LEVELS, LEAST_URLS = 4, 5
-#: Labelled pages that a branch needs to be worse, standard errors by which it must be, weight of the overall share in the
+#: Labelled pages that a branch needs to differ, standard errors by which it must, weight of the overall share in the
 #: smoothing, and the purity below which a template is rejected.
 LEAST_LABELLED, WORSE, PRIOR, PURITY = 10, 2.58, 10.0, 0.5
 END, DEEPER, ANY = "$", "**", "*"
@@ -49,6 +49,28 @@ def raw_branches(urls: DataFrame) -> DataFrame:
     return urls.withColumns(names | {f"_t{LEVELS}": F.when(F.size(parts) > LEVELS + 1, F.lit(DEEPER)).otherwise(F.lit(END))})
 
 
+def with_own(children: DataFrame, key: str) -> DataFrame:
+    """(host, template, ``key``, own): which ``children`` (host, template, key, n, lab, bad) stay branches of their own.
+
+    First those go that are worse than their parent, then, until none is left, those that differ either way from what
+    the wildcard branch still holds.  So a clean branch leaves a bad host, and good siblings of a bad branch stay together.
+    """
+    at = ["host", "template"]
+    share = F.try_divide("pbad", "plab")
+    gap = F.try_divide("bad", "lab") - share
+    chance = WORSE * F.sqrt(F.try_divide(share * (1 - share), F.col("lab")))
+    children, owned, first = settle(children.withColumn("own", F.col(key) == END), "children"), -1, True
+    while True:
+        pool = (children if first else children.filter("not own")).groupBy(*at).agg(F.sum("lab").alias("plab"), F.sum("bad").alias("pbad"))
+        differs = (F.col("n") >= LEAST_URLS) & (F.col("lab") >= LEAST_LABELLED) & ((gap if first else F.abs(gap)) > chance)
+        children = children.join(pool, at, "left").withColumn("own", F.col("own") | F.coalesce(differs, F.lit(False))).drop("plab", "pbad")
+        children = settle(children, "children")
+        before, owned = owned, children.filter("own").count()
+        if not first and owned == before:
+            return children.select(*at, key, "own")
+        first = False
+
+
 def template_tree(urls: DataFrame, labelled: DataFrame) -> DataFrame:
     """(host, _t0.., template, n, labelled, bad, purity): every kind of path, and what its template has.
 
@@ -63,13 +85,8 @@ def template_tree(urls: DataFrame, labelled: DataFrame) -> DataFrame:
     counts = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
     for level in range(LEVELS):
         at = ["host", "template"]
-        children = kinds.groupBy(*at, raw[level]).agg(*counts)
-        parents = kinds.groupBy(*at).agg(F.sum("lab").alias("plab"), F.sum("bad").alias("pbad"))
-        share = F.try_divide("pbad", "plab")
-        worse = (F.col("lab") >= LEAST_LABELLED) & \
-            (F.try_divide("bad", "lab") - share > WORSE * F.sqrt(F.try_divide(share * (1 - share), F.col("lab"))))
-        own = (F.col(raw[level]) == END) | ((F.col("n") >= LEAST_URLS) & F.coalesce(worse, F.lit(False)))
-        chosen = children.join(parents, at).select(*at, raw[level], F.when(own, F.col(raw[level])).otherwise(F.lit(ANY)).alias("_as"))
+        own = with_own(kinds.groupBy(*at, raw[level]).agg(*counts), raw[level])
+        chosen = own.select(*at, raw[level], F.when(F.col("own"), F.col(raw[level])).otherwise(F.lit(ANY)).alias("_as"))
         kinds = kinds.join(chosen, [*at, raw[level]]).withColumn("template", F.concat("template", F.lit("/"), "_as")).drop("_as")
         kinds = settle(kinds, "kinds")
     kinds = kinds.withColumn("template", F.concat("template", F.lit("/"), raw[LEVELS]))

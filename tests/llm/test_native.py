@@ -96,6 +96,14 @@ def test_templates_are_rejected_by_purity(spark):
     assert found == {"/=spam/*/$/$/$", "/*/*/$/$/$"}
 
 
+def test_clean_branch_of_a_bad_host_stays(spark):
+    """Ten bad branches and a good one: too few bad pages to be worse than their parent, but the good one differs."""
+    pages = [(i, f"http://h.org/{'fine' if i % 11 == 10 else f'b{chr(97 + i % 11)}'}/{i}.html") for i in range(440)]
+    labels = [(i, int("/fine/" not in url)) for i, url in pages]
+    judged = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"))
+    assert {(r.verdict, "/fine/" in r.path) for r in judged.collect()} == {("allow", True), ("block", False)}
+
+
 def test_native_plans(spark):
     for name in ("op3_extendible_hashing", "op4_path_templates"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
