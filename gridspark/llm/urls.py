@@ -8,6 +8,8 @@ rejected if its smoothed share of good labelled pages is too small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from gridspark.scratch import settle
 
 #: (verdict, host, start of the path); the longest rule that fits decides.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Levels with segments of their own (deeper ones are one wildcard), and URLs that a branch of its own needs.
+#: Levels of the SQL (there deeper segments are one wildcard), and URLs that a branch of its own needs.
 LEVELS, LEAST_URLS = 4, 5
 #: Labelled pages that a branch needs to differ, standard errors by which it must, weight of the overall share in the
 #: smoothing, and the purity below which a template is rejected.
@@ -42,11 +44,9 @@ def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def raw_branches(urls: DataFrame) -> DataFrame:
-    """``urls`` with a segment column per level: digits as ``{n}``, the end of a path, and whether it goes deeper."""
-    parts = F.split("path", "/", -1)
-    names = {f"_t{i}": F.coalesce(F.concat(F.lit("="), F.regexp_replace(F.get(parts, F.lit(i + 1)), "[0-9]+", "{n}")), F.lit(END)) for i in range(LEVELS)}
-    return urls.withColumns(names | {f"_t{LEVELS}": F.when(F.size(parts) > LEVELS + 1, F.lit(DEEPER)).otherwise(F.lit(END))})
+def with_kind(urls: DataFrame) -> DataFrame:
+    """``urls`` with the kind of path, all of its segments with digits as ``{n}``."""
+    return urls.withColumn("_kind", F.regexp_replace("path", "[0-9]+", "{n}"))
 
 
 def with_own(children: DataFrame, key: str) -> DataFrame:
@@ -72,29 +72,42 @@ def with_own(children: DataFrame, key: str) -> DataFrame:
 
 
 def template_tree(urls: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(host, _t0.., template, n, labelled, bad, purity): every kind of path, and what its template has.
+    """(host, _kind, template, n, labelled, bad, purity): every kind of path, and what its template has.
 
     ``urls`` (page_id, host, path), ``labelled`` (page_id, bad 0 or 1).  The tree is built from counts per kind of path,
-    not from URLs.
+    not from URLs, and goes down as far as paths do.  A node is closed, with wildcards for what follows, once nothing
+    below can split: too few pages or labels, labels of one sort, or no further segment.  A template has LEVELS + 1
+    parts at least.
     """
-    raw = [f"_t{i}" for i in range(LEVELS + 1)]
+    at = ["host", "template"]
     labels = labelled.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    kinds = raw_branches(urls).join(labels, "page_id", "left").groupBy("host", *raw) \
+    kinds = with_kind(urls).join(labels, "page_id", "left").groupBy("host", "_kind") \
         .agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    kinds = settle(kinds.withColumn("template", F.lit("")), "kinds")
+    kinds = settle(kinds.withColumns({"_segments": F.split("_kind", "/", -1), "template": F.lit("")}), "kinds")
+    kinds = kinds.withColumn("_depth", F.size("_segments") - 1)
+    total, all_bad = kinds.agg(F.sum("lab"), F.sum("bad")).first()
+    prior = (total - all_bad) / total if total else 1.0
     counts = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
-    for level in range(LEVELS):
-        at = ["host", "template"]
-        own = with_own(kinds.groupBy(*at, raw[level]).agg(*counts), raw[level])
-        chosen = own.select(*at, raw[level], F.when(F.col("own"), F.col(raw[level])).otherwise(F.lit(ANY)).alias("_as"))
-        kinds = kinds.join(chosen, [*at, raw[level]]).withColumn("template", F.concat("template", F.lit("/"), "_as")).drop("_as")
-        kinds = settle(kinds, "kinds")
-    kinds = kinds.withColumn("template", F.concat("template", F.lit("/"), raw[LEVELS]))
-    total, bad = kinds.agg(F.sum("lab"), F.sum("bad")).first()
-    prior = (total - bad) / total if total else 1.0
-    stats = kinds.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("lab").alias("labelled"), F.sum("bad").alias("bad"))
+    level, done = 0, []
+    while True:
+        nodes = kinds.groupBy(*at).agg(*counts, F.max("_depth").alias("_depth"))
+        may_split = (F.col("n") >= LEAST_URLS) & (F.col("lab") >= LEAST_LABELLED) & (F.col("bad") > 0) & (F.col("bad") < F.col("lab"))
+        kinds = settle(kinds.join(nodes.select(*at, (may_split & (F.col("_depth") > level)).alias("_open")), at), "kinds")
+        reached = F.greatest("_depth", F.lit(level))
+        rest = F.concat(F.repeat(F.lit("/" + ANY), reached - level), F.repeat(F.lit("/" + END), F.greatest(F.col("_depth") + 1, F.lit(LEVELS + 1)) - reached))
+        done.append(kinds.filter("not _open").select("host", "_kind", "n", "lab", "bad", F.concat("template", rest).alias("template")))
+        kinds = kinds.filter("_open").drop("_open")
+        if kinds.isEmpty():
+            break
+        kinds = kinds.withColumn("_part", F.coalesce(F.concat(F.lit("="), F.get("_segments", F.lit(level + 1))), F.lit(END)))
+        own = with_own(kinds.groupBy(*at, "_part").agg(*counts), "_part")
+        chosen = own.select(*at, "_part", F.when(F.col("own"), F.col("_part")).otherwise(F.lit(ANY)).alias("_as"))
+        kinds = kinds.join(chosen, [*at, "_part"]).withColumn("template", F.concat("template", F.lit("/"), "_as")).drop("_part", "_as")
+        level += 1
+    kinds = reduce(DataFrame.unionByName, done)
+    stats = kinds.groupBy(*at).agg(F.sum("n").alias("n"), F.sum("lab").alias("labelled"), F.sum("bad").alias("bad"))
     stats = stats.withColumn("purity", (F.col("labelled") - F.col("bad") + PRIOR * prior) / (F.col("labelled") + PRIOR))
-    return kinds.select("host", *raw, "template").join(stats, ["host", "template"])
+    return kinds.select("host", "_kind", "template").join(stats, at)
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES, purity: float = PURITY) -> DataFrame:
@@ -105,10 +118,9 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str
     are ignored; an empty table gives no rows.
     """
     urls = split_url(pages)
-    raw = [f"_t{i}" for i in range(LEVELS + 1)]
-    rejected = template_tree(urls, labelled).filter(F.col("purity") < purity).select("host", *raw, F.lit("block").alias("_method"))
+    rejected = template_tree(urls, labelled).filter(F.col("purity") < purity).select("host", "_kind", F.lit("block").alias("_method"))
     rule, verdict = rule_columns(rules)
-    judged = raw_branches(urls).join(rejected, ["host", *raw], "left").withColumns({"rule": rule, "_verdict": verdict})
+    judged = with_kind(urls).join(rejected, ["host", "_kind"], "left").withColumns({"rule": rule, "_verdict": verdict})
     return judged.select("page_id", "host", "path", "rule", F.coalesce("_verdict", "_method", F.lit("allow")).alias("verdict"))
 
 

@@ -104,6 +104,19 @@ def test_clean_branch_of_a_bad_host_stays(spark):
     assert {(r.verdict, "/fine/" in r.path) for r in judged.collect()} == {("allow", True), ("block", False)}
 
 
+@pytest.mark.parametrize("above", ["/2024/05/12/news", "/a/b/c/d/e/f/g"])
+def test_deep_branches_are_told_apart(spark, above):
+    """Bad and good branches at the fifth and at the eighth segment."""
+    pages = [(i, f"http://h.org{above}/{['spam', 'fine', 'good'][i % 3]}/x/{i}.html") for i in range(300)]
+    pages += [(1000 + i, f"http://h.org/{'q/' * i}") for i in range(12)]
+    labels = [(i, int("/spam/" in url)) for i, url in pages if i < 300]
+    schemas = "page_id long, url string", "page_id long, bad int"
+    judged = urls.judge_urls(spark.createDataFrame(pages, schemas[0]), spark.createDataFrame(labels, schemas[1])).collect()
+    assert len(judged) == len(pages)
+    for r in judged:
+        assert r.verdict == ("block" if "/spam/" in r.path else "allow")
+
+
 def test_native_plans(spark):
     for name in ("op3_extendible_hashing", "op4_path_templates"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
