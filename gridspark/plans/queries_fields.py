@@ -209,6 +209,20 @@ def overlay_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(align.overlay_override(series, path, ["specie", "t"], zero=zero, factor=-0.28), "value")
 
 
+@query("overlay_override_by_scenario", f"""
+select p.path, s.scenario, s.specie, s.config, s.t, {r("case when s.specie = 'Brand#1' and s.t >= 1998 then 0 else coalesce(-0.28 * o.co2, s.emissions) end")} as value
+from a_scenario_series s cross join (select distinct scenario as path from a_three_gas) p
+left join (select scenario as path, cast(t as int) as t, co2 from a_three_gas where t between 1998 and 2000) o
+on p.path = o.path and s.t = o.t and s.specie = 'Brand#2'""")
+def overlay_override_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gas = A.three_gas(spark, sf_dir).withColumnRenamed("scenario", "path")
+    series = A.scenario_series(spark, sf_dir).withColumnRenamed("emissions", "value").drop("concentration") \
+        .crossJoin(gas.select("path").distinct())
+    paths = gas.filter("t between 1998 and 2000").select("path", F.lit("Brand#2").alias("specie"), "t", F.col("co2").alias("value"))
+    zero = (F.col("specie") == "Brand#1") & (F.col("t") >= 1998)
+    return rounded(align.overlay_override(series, paths, ["path", "specie", "t"], zero=zero, factor=-0.28), "value")
+
+
 @query("splice_before", f"""
 with w as (select experiment, member, year, cell_id, value from a_annual where variable = 'tas'),
      n as (select experiment, member, year, cell_id, value from a_annual where variable = 'pr'),

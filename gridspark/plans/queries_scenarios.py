@@ -185,3 +185,13 @@ def check_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     need = A.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'").select(F.col("l_returnflag").alias("member"), F.year("l_shipdate").alias("year"))
     have = A.table(spark, sf_dir, "orders").filter("o_totalprice > 499500 and o_orderstatus = 'P'").select(F.lit("N").alias("member"), F.year("o_orderdate").alias("year"))
     return S.check_inputs(have, need, ["member", "year"])
+
+
+@query("check_inputs_by_member", """
+select distinct l_returnflag as member, cast(l_shipdate as date) as date from lineitem
+except select case o_orderstatus when 'F' then 'A' when 'O' then 'N' else 'R' end, cast(o_orderdate as date) from orders""")
+def check_inputs_by_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    need = A.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("member"), F.to_date("l_shipdate").alias("date"))
+    member = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
+    have = A.table(spark, sf_dir, "orders").select(member.alias("member"), F.to_date("o_orderdate").alias("date"))
+    return S.check_inputs(have, need, ["member", "date"])

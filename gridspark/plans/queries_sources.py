@@ -116,6 +116,18 @@ def scan_natural_forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_natural_forcing(spark, solar, volcanic)
 
 
+@query("scan_natural_forcing_by_scenario", """
+select coalesce(v.scenario, s.scenario) as scenario, coalesce(v.t, s.t) as t, v.erf as volcanic, s.erf as solar
+from (select scenario, t + 0e0 as t, co2 as erf from a_three_gas where t > 1995) v
+full outer join (select scenario, t + 0e0 as t, ch4 as erf from a_three_gas where t < 2001) s on v.scenario = s.scenario and v.t = s.t""")
+def scan_natural_forcing_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gas = A.three_gas(spark, sf_dir)
+    solar, volcanic = scratch_path(spark, "solar-csv"), scratch_path(spark, "volcanic-csv")
+    gas.filter("t < 2001").select("scenario", F.col("t").alias("year"), F.col("ch4").alias("erf")).write.csv(solar, header=True)
+    gas.filter("t > 1995").select("scenario", F.col("t").alias("timebounds"), F.col("co2").alias("erf")).write.csv(volcanic, header=True)
+    return tables.scan_natural_forcing(spark, solar, volcanic, ["scenario"])
+
+
 @query("scan_ws_table", """
 select cast(year(o_orderdate) as int) as year, min(o_totalprice) as lat_m30, max(o_totalprice) as lat_p30
 from orders where year(o_orderdate) between 1996 and 2000 group by year(o_orderdate)""")

@@ -53,17 +53,22 @@ def scan_species(spark: SparkSession, path: str, requested: DataFrame | Sequence
     return out.filter(F.col("specie").isin(list(requested)))
 
 
-def scan_natural_forcing(spark: SparkSession, solar: str, volcanic: str) -> DataFrame:
-    """(t, volcanic, solar) from (year, erf) and (timebounds, erf).
+def scan_natural_forcing(spark: SparkSession, solar: str, volcanic: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, t, volcanic, solar) from (*keys, year, erf) and (*keys, timebounds, erf).
 
-    There is no volcanic forcing past the end of its file; other times that only one file has keep NULL.
+    There is no volcanic forcing past the end of its file (with ``keys``, of the key's rows in it); other times that only
+    one file has keep NULL, and so do keys that only the solar file has.
     """
     def series(path: str, time: str, name: str) -> DataFrame:
         raw = spark.read.csv(path, header=True)
-        return raw.select(F.col(time).try_cast("double").alias("t"), F.col("erf").try_cast("double").alias(name))
+        return raw.select(*keys, F.col(time).try_cast("double").alias("t"), F.col("erf").try_cast("double").alias(name))
 
     eruptions = series(volcanic, "timebounds", "volcanic")
-    both = eruptions.join(series(solar, "year", "solar"), "t", "full_outer")
+    both = eruptions.join(series(solar, "year", "solar"), [*keys, "t"], "full_outer")
+    if keys:
+        ends = eruptions.groupBy(*keys).agg(F.max("t").alias("_end"))
+        past = both.join(ends, list(keys), "left")
+        return past.withColumn("volcanic", F.when(F.col("t") > F.col("_end"), F.lit(0.0)).otherwise(F.col("volcanic"))).drop("_end")
     end = eruptions.agg(F.max("t")).first()[0]
     return both if end is None else both.withColumn("volcanic", F.when(F.col("t") > end, F.lit(0.0)).otherwise(F.col("volcanic")))
 

@@ -4,6 +4,8 @@ import pytest
 from conftest import as_dict
 
 from gridspark import scratch
+from gridspark.plans import load_queries
+from gridspark.plans.registry import QUERIES
 from gridspark.sources import grid, tables
 
 CASE = "b.e21.BWSSP245.f09_g17.release-cesm2.1.3.WACCM-MA-1deg"
@@ -74,6 +76,27 @@ def test_controller_tables(spark, tmp_path):
         tables.scan_ws_table(spark, str(tmp_path), {"60S": "x"})
 
 
+def test_natural_forcing_of_every_scenario(spark, frame, tmp_path):
+    """Each scenario has its own rows, and its own end of the volcanic file."""
+    frame([("a", 1, 1.0), ("a", 3, 3.0), ("b", 3, 5.0), ("c", 3, 7.0)], "scenario string, year int, erf double").write.csv(str(tmp_path / "s"), header=True)
+    frame([("a", 2, 10.0), ("b", 3, 20.0), ("b", 4, 30.0)], "scenario string, timebounds int, erf double").write.csv(str(tmp_path / "v"), header=True)
+    rows = tables.scan_natural_forcing(spark, str(tmp_path / "s"), str(tmp_path / "v"), ["scenario"]).collect()
+    assert {(r.scenario, r.t): (r.volcanic, r.solar) for r in rows} == {
+        ("a", 1.0): (None, 1.0), ("a", 2.0): (10.0, None), ("a", 3.0): (0.0, 3.0), ("b", 3.0): (20.0, 5.0), ("b", 4.0): (30.0, None), ("c", 3.0): (None, 7.0)}
+    assert len(rows) == 6
+
+
+def test_queries_cover_every_scenario(spark):
+    """Whole-table queries beside those whose SQL keeps one member or scenario."""
+    load_queries()
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    scenarios = {r[0] for r in orders.select("o_orderpriority").distinct().collect()}
+    for name, key in (("scan_natural_forcing_by_scenario", "scenario"), ("overlay_override_by_scenario", "path")):
+        assert {r[0] for r in QUERIES[name](spark, "/root/testdata/sf0.001").select(key).distinct().collect()} == scenarios
+    found = {r.member for r in QUERIES["check_inputs_by_member"](spark, "/root/testdata/sf0.001").select("member").distinct().collect()}
+    assert found == {"A", "N", "R"}
+
+
 def test_observed_series(spark, tmp_path):
     (tmp_path / "obs.txt").write_text("% Year, Anomaly\n%\n \n  1850   -0.461  0.2  NaN\n  1851   NaN  0.2 NaN\n")
     assert as_dict(tables.scan_commented_text(spark, str(tmp_path / "obs.txt")), "year") == {1850: -0.461, 1851: None}
