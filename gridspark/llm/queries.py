@@ -50,7 +50,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_closed_syncmers")
 def closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmers.compare_documents(table(spark, sf_dir, "documents"))
+    return syncmers.compare_documents(table(spark, sf_dir, "documents"), whole=True)
 
 
 @query("op7_bit_sliced_top_k", """

@@ -59,9 +59,14 @@ def anchors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def smallest(hashes: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """The smallest distinct hashes, ascending, as unsigned 32-bit."""
+    return np.unique((hashes >> np.uint64(32)).astype(">u4"))[:kept]
+
+
 def fingerprints(texts: list[str], kept: int = KEPT) -> list[np.ndarray]:
-    """Each text's smallest distinct anchor hashes, ascending, as unsigned 32-bit."""
-    return [np.unique((h >> np.uint64(32)).astype(">u4"))[:kept] for _, h in anchors(texts)]
+    """Each text's smallest distinct anchor hashes."""
+    return [smallest(h, kept) for _, h in anchors(texts)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
@@ -79,6 +84,13 @@ def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
     return 2 * both / (len(low) + both)
 
 
+def whole_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """The same share, exact: from the distinct hashes of all anchors of both texts."""
+    if not len(a) + len(b):
+        return 1.0
+    return 2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b))
+
+
 def document_anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, positions, hashes) of every text: its anchors with their code-point positions.
 
@@ -119,13 +131,20 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     return rows.sortWithinPartitions("_part", "_extra", "doc_id", "text")
 
 
-def compare_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def compare_documents(docs: DataFrame, parts: int | None = None, whole: bool = False) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness; and its likeness to the next text's.
 
     The edited text has the last quarter of the code points replaced by as many of the next document, in ascending
     order of doc_id (nulls first, rows with the same id by text, after the last the first).  Null texts count as
     empty; repeated rows are kept; a single row is its own next; other columns are ignored; an empty table gives none.
+    With ``whole`` likenesses come from all anchors of both texts, else from their fingerprints.
     """
+    def prints_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(fingerprint, what is compared) of each text."""
+        found = [(smallest(h), h) for _, h in anchors(texts)]
+        return [(f, np.unique(h) if whole else f) for f, h in found]
+
+    alike = whole_likeness if whole else likeness
     rows = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts or shuffle_parts(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +156,19 @@ def compare_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
             ids, texts, extra = step.column("doc_id").to_pylist(), texts_of(step), step.column("_extra").to_pylist()
             n = extra.index(True) + 1 if True in extra else len(ids)
             over = n < len(ids) or extra[n - 1]
-            rows = held + list(zip(ids[:n], texts[:n], fingerprints(texts[:n]), strict=True))
+            rows = held + list(zip(ids[:n], texts[:n], prints_of(texts[:n]), strict=True))
             held = rows[-1:]
             if len(rows) < 2:
                 continue
             edited = [t[:len(t) - len(t) // 4] + after[:len(t) // 4] for (_, t, _), (_, after, _) in zip(rows, rows[1:])]
-            prints = fingerprints(edited)
+            prints = prints_of(edited)
             own = rows[:-1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d for d, _, _ in own], pa.int64()), pa.array([len(t) for _, t, _ in own], pa.int64()),
                  pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                 pa.array([f.tobytes().hex() for *_, f in own], pa.string()), pa.array([f.tobytes().hex() for f in prints], pa.string()),
-                 pa.array([likeness(f, g) for (*_, f), g in zip(own, prints, strict=True)], pa.float64()),
-                 pa.array([likeness(a[2], b[2]) for a, b in zip(rows, rows[1:])], pa.float64())],
+                 pa.array([f.tobytes().hex() for *_, (f, _) in own], pa.string()), pa.array([f.tobytes().hex() for f, _ in prints], pa.string()),
+                 pa.array([alike(f, g) for (*_, (_, f)), (_, g) in zip(own, prints, strict=True)], pa.float64()),
+                 pa.array([alike(a[2][1], b[2][1]) for a, b in zip(rows, rows[1:])], pa.float64())],
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return rows.mapInArrow(run, RESULT)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from gridspark.llm import syncmers
+from gridspark.llm import queries, syncmers
 from gridspark.llm.syncmers import K, KEPT, SMALL
 
 SCHEMA = "doc_id long, text string, _part string, _extra int, first int"
@@ -69,6 +69,17 @@ def test_compare_documents(spark, parts):
     assert syncmers.document_anchors(df).count() == len(rows)
 
 
+def test_query_compares_all_anchors(spark, tmp_path):
+    """A passage that two long texts share, too short a part of both for a common hash among the smallest."""
+    passage = words(7, 10)
+    texts = [words(8, 9000) + passage, passage + words(9, 9000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kinds = [set(h.tolist()) for _, h in syncmers.anchors(texts)]
+    expected = 2 * len(kinds[0] & kinds[1]) / (len(kinds[0]) + len(kinds[1]))
+    got = queries.QUERIES["op1_closed_syncmers"](spark, str(tmp_path)).collect()
+    assert 0 < expected < 0.01 and [r.near_next for r in got] == [expected, expected]
+
+
 def test_compare_few(spark):
     assert syncmers.compare_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     one = syncmers.compare_documents(spark.createDataFrame([(1, "abcdefgh", None, None, None)], SCHEMA)).first()
