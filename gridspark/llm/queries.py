@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bitslices, bpe, jaccard, packing, quality, records, sharding, syncmers, toxicity, urls
+from gridspark.llm import bitslices, bpe, collocations, jaccard, packing, quality, records, sharding, syncmers, toxicity, urls
 from gridspark.llm.common import steps, table
 from gridspark.scratch import scratch_path
 
@@ -87,3 +87,8 @@ def path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_signature_trees")
 def signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op12_dynamic_collocations", collocations.oracle())
+def dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
