@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bitslices, bpe, collocations, jaccard, packing, quality, records, sharding, syncmers, toxicity, urls
+from gridspark.llm import bitslices, bpe, collocations, jaccard, language, packing, quality, records, sharding, syncmers, toxicity, urls, whitening
 from gridspark.llm.common import steps, table
 from gridspark.scratch import scratch_path
 
@@ -92,3 +92,13 @@ def signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_dynamic_collocations", collocations.oracle())
 def dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_byte_convolution")
+def byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def whitening_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
