@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridspark.functions.kernels import semi_infinite_kernel, zero_phase_lowpass
+from gridspark.functions.kernels import lowpass_coefficients, semi_infinite_kernel
+from gridspark.scratch import settle
 
 PAD_KINDS = ("min_norm", "min_slope", "min_roughness")
 
@@ -44,23 +45,86 @@ def pad_series(df: DataFrame, keys: Sequence[str], kind: str, width: int = 10, t
 
 
 def smooth_lowpass(df: DataFrame, keys: Sequence[str], kind: str = "min_roughness", width: int = 10, order: int = 3,
-                   cutoff: float = 0.1, t: str = "year", value: str = "value") -> DataFrame:
+                   cutoff: float = 0.1, t: str = "year", value: str = "value", block: int = 256) -> DataFrame:
     """Zero-phase Butterworth low-pass of each padded series, cropped to its own times.
 
-    The recursion is sequential, so a series (one value per year, a few hundred points) is one pandas
-    group; different series run in parallel.
+    The recursion s' = A s + g x is a chain of affine maps.  A series is cut into blocks; every block is folded once from
+    a zero state, the end states are carried to the blocks behind them by powers of A, and every block is folded again
+    from its own start.  ``A`` to the power of a block's length has all but died out, so a block's state only reaches a
+    few blocks (``reach``, from the filter's poles) and rows of a long series spread over all tasks.  A series with a
+    missing point has no smooth value.
     """
-    padded = pad_series(df, keys, kind, width, t, value)
-    schema = T.StructType([*[padded.schema[k] for k in keys], T.StructField(t, T.IntegerType()),
-                           T.StructField(value, T.DoubleType())])
-    columns = [*keys, t, value]
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(t)
-        smooth = zero_phase_lowpass(group[value].to_numpy(float), order, cutoff)
-        return group.assign(**{value: smooth}).iloc[width:len(group) - width][columns]
-
-    return padded.select(*columns).groupBy(*keys).applyInPandas(one, schema)
+    b, a, rest = lowpass_coefficients(order, cutoff)
+    edge = 3 * (order + 1)
+    if 2 * width + 1 <= edge:
+        raise ValueError(f"the padded series must be longer than {edge} points")
+    blocks = _extended_blocks(pad_series(df, keys, kind, width, t, value), keys, edge, t, value, block)
+    ahead = _filter_blocks(blocks, keys, b, a, rest, block, forward=True)
+    back = _filter_blocks(ahead, keys, b, a, rest, block, forward=False)
+    at = F.posexplode("_x").alias("_i", value)
+    rows = back.select(*keys, "_t0", "_n", "_b", "_ok", at).withColumn("_p", F.col("_b") * block + F.col("_i") - edge)
+    rows = rows.filter(F.col("_p").between(width, F.col("_n") - 1 - width))
+    return rows.select(*keys, (F.col("_t0") + F.col("_p")).cast("int").alias(t), F.when(F.col("_ok"), F.col(value)).alias(value))
+
+
+def _extended_blocks(padded: DataFrame, keys: Sequence[str], edge: int, t: str, value: str, block: int) -> DataFrame:
+    """(keys, _t0, _n, _ok, _b, _x): the series extended oddly by ``edge`` points on both sides, as arrays of blocks."""
+    ends = settle(padded.groupBy(*keys).agg(
+        F.min(t).alias("_t0"), F.count("*").alias("_n"), F.min_by(value, t).alias("_first"), F.max_by(value, t).alias("_last"),
+        (F.count(value) == F.count("*")).alias("_ok")), "ends")
+    j, n, v = F.col("_j"), F.col("_n"), F.col(value)
+    points = padded.join(ends, list(keys)).withColumn("_j", (F.col(t) - F.col("_t0")).cast("bigint"))
+    here = F.struct(j.alias("p"), v.alias("v"))
+    before = F.when(j.between(1, edge), F.struct((-j).alias("p"), (2 * F.col("_first") - v).alias("v")))
+    after = F.when(j.between(n - 1 - edge, n - 2), F.struct((2 * (n - 1) - j).alias("p"), (2 * F.col("_last") - v).alias("v")))
+    rows = points.select(*keys, "_t0", "_n", "_ok", F.explode(F.array_compact(F.array(here, before, after))).alias("_x"))
+    place = F.struct((F.col("_x.p") + edge).alias("p"), F.col("_x.v").alias("v"))
+    cut = rows.groupBy(*keys, "_t0", "_n", "_ok", F.floor((F.col("_x.p") + edge) / block).cast("int").alias("_b")) \
+        .agg(F.array_sort(F.collect_list(place)).alias("_x"))
+    return cut.withColumn("_x", F.col("_x.v")).withColumn("_blocks", F.ceil((F.col("_n") + 2 * edge) / block).cast("int"))
+
+
+def _filter_blocks(blocks: DataFrame, keys: Sequence[str], b: np.ndarray, a: np.ndarray, rest: np.ndarray, block: int, forward: bool) -> DataFrame:
+    """One direction of the recursive filter over (keys, _b, _x); the arrays are replaced by the filter's output."""
+    order = len(rest)
+    step = np.diag(np.ones(order - 1), 1)
+    step[:, 0] = -a[1:]
+    gain = b[1:] - a[1:] * b[0]
+    reach = _reach(step, block)
+    # the chain ends nowhere: every table is written, as both folds and the carried states read it
+    blocks = settle(blocks, "blocks")
+    first = F.col("_b") == (F.lit(0) if forward else F.col("_blocks") - 1)
+    x = F.col("_x") if forward else F.reverse("_x")
+    names = [f"s{i}" for i in range(order)]
+    state = lambda values: F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
+    own = [F.when(first, float(r) * x[0]).otherwise(F.lit(0.0)) for r in rest]
+
+    def move(s: Column, v: Column) -> list[Column]:
+        """The state after input ``v``."""
+        return [(s[names[i + 1]] if i + 1 < order else F.lit(0.0)) - float(a[i + 1]) * s[names[0]] + float(gain[i]) * v for i in range(order)]
+
+    # end states, carried to each of the next blocks
+    ends = blocks.select(*keys, "_b", "_blocks", F.aggregate(x, state(own), lambda s, v: state(move(s, v))).alias("_e"))
+    carried = []
+    for k in range(reach):
+        m = np.linalg.matrix_power(step, k * block)
+        to = F.col("_b") + (k + 1 if forward else -k - 1)
+        carried.append(F.struct(to.alias("_b"), *[reduce(Column.__add__, [float(m[i, j]) * F.col("_e")[names[j]] for j in range(order)]).alias(names[i]) for i in range(order)]))
+    starts = ends.select(*keys, F.inline(F.array(*carried))).groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names])
+    begin = blocks.join(starts, [*keys, "_b"], "left")
+    begin = begin.withColumn("_s", state([F.when(first, float(r) * x[0]).otherwise(F.col(n)) for r, n in zip(rest, names, strict=True)])).drop(*names)
+    none = F.array().cast("array<double>")
+    fold = F.aggregate(x, F.struct(F.col("_s").alias("s"), none.alias("y")), lambda acc, v: F.struct(
+        state(move(acc["s"], v)).alias("s"), F.concat(acc["y"], F.array(acc["s"][names[0]] + float(b[0]) * v)).alias("y")), lambda acc: acc["y"])
+    return begin.withColumn("_x", fold if forward else F.reverse(fold)).drop("_s")
+
+
+def _reach(step: np.ndarray, block: int) -> int:
+    """Over how many blocks a state matters to double precision."""
+    k, power, whole = 1, np.linalg.matrix_power(step, block), np.linalg.matrix_power(step, block)
+    while np.abs(power).max() > 1e-18 and k < 10_000:
+        power, k = power @ whole, k + 1
+    return k
 
 
 def convolve_decay(df: DataFrame, params: DataFrame, keys: Sequence[str] = ("band",), k: str = "k",

@@ -91,24 +91,44 @@ def axis_weights(source: DataFrame, target: DataFrame, periodic: float | None =
     """(dst, src, w): the one or two source points around each target point of one axis.
 
     ``source`` is (src, x) and ``target`` (dst, x).  With ``periodic`` the axis wraps around; otherwise a
-    target outside the source range has no weights.  Axes are a few hundred points long.
+    target outside the source range has no weights.
+
+    The axis is cut into bins of even width, about as many as it has points.  Neighbours inside a bin come from a window
+    over the bin; those in other bins from the ends of dyadic runs of bins, of which a target asks one per level.
     """
-    points = source.select("x", F.col("src"), F.lit(None).cast("int").alias("dst"))
+    points = source.select("x", "src")
     if periodic:
         ends = source.agg(F.min_by("src", "x").alias("s0"), F.min("x").alias("x0"),
                           F.max_by("src", "x").alias("s1"), F.max("x").alias("x1"))
         wrap = ends.select(F.inline(F.array(
             F.struct((F.col("x1") - periodic).alias("x"), F.col("s1").alias("src")),
             F.struct((F.col("x0") + periodic).alias("x"), F.col("s0").alias("src")))))
-        points = points.unionByName(wrap.withColumn("dst", F.lit(None).cast("int")))
-    wanted = target.select("x", F.lit(None).cast("int").alias("src"), F.col("dst"))
-    both = points.unionByName(wanted).withColumn("_axis", F.lit(0))
-    here = F.when(F.col("src").isNotNull(), F.struct("x", "src"))
-    order = W.partitionBy("_axis").orderBy("x")
+        points = points.unionByName(wrap.filter(F.col("src").isNotNull()))
+    points = settle(points, "axis")
+    low, high, n = points.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    levels = max(1, int(n).bit_length())
+    last = (1 << levels) - 1
+    share = (F.col("x") - F.lit(low)) / F.lit((high - low) or 1.0) if n else F.lit(0.0)
+    bin_ = F.least(F.greatest(F.floor(share * (last + 1)), F.lit(0)), F.lit(last)).cast("long")
+    here = F.struct(F.col("x").alias("x"), F.col("src").alias("src"))
+    own = points.withColumn("_bin", bin_)
+    asked = target.select("x", "dst").withColumn("_bin", bin_)
+    # neighbours in the same bin
+    both = own.select("_bin", "x", here.alias("_p"), F.lit(None).cast(target.schema["dst"].dataType).alias("dst")).unionByName(
+        asked.select("_bin", "x", F.lit(None).cast(own.select(here.alias("p")).schema["p"].dataType).alias("_p"), "dst"))
+    order = W.partitionBy("_bin").orderBy("x")
     near = both.withColumns({
-        "_lo": F.last(here, True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow)),
-        "_hi": F.first(here, True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))})
-    near = near.filter(F.col("dst").isNotNull() & F.col("_lo").isNotNull() & F.col("_hi").isNotNull())
+        "_in_lo": F.last("_p", True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow)),
+        "_in_hi": F.first("_p", True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))}).filter(F.col("dst").isNotNull())
+    # ends of runs of 2^level bins; the runs that make up all bins before (after) a bin, one per set (unset) digit
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    runs = own.withColumn("_level", level).groupBy("_level", F.expr("shiftright(_bin, _level)").alias("_run")).agg(F.min(here).alias("_first"), F.max(here).alias("_last"))
+    bins = asked.select("_bin").distinct().withColumn("_level", level)
+    digit = F.expr("shiftright(_bin, _level) & 1") == 1
+    ask = bins.select("_bin", "_level", digit.alias("_before"), F.expr("shiftright(_bin, _level) ^ 1").alias("_run")).join(runs, ["_level", "_run"])
+    carried = ask.groupBy("_bin").agg(F.max(F.when(F.col("_before"), F.col("_last"))).alias("_out_lo"), F.min(F.when(~F.col("_before"), F.col("_first"))).alias("_out_hi"))
+    near = near.join(carried, "_bin", "left").select("dst", "x", F.coalesce("_in_lo", "_out_lo").alias("_lo"), F.coalesce("_in_hi", "_out_hi").alias("_hi"))
+    near = near.filter(F.col("_lo").isNotNull() & F.col("_hi").isNotNull())
     f = F.coalesce(F.try_divide(F.col("x") - F.col("_lo.x"), F.col("_hi.x") - F.col("_lo.x")), F.lit(0.0))
     pair = F.array(F.struct(F.col("_lo.src").alias("src"), (1 - f).alias("w")),
                    F.struct(F.col("_hi.src").alias("src"), f.alias("w")))

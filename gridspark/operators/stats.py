@@ -159,24 +159,45 @@ def bootstrap_ols(df: DataFrame, series: DataFrame, keys: Sequence[str] = ("vari
                   value: str = "value", driver: str = "driver", per_block: int = 10) -> DataFrame:
     """Slope and intercept of value on the global series, per replicate and cell.
 
-    Drawing with replacement is weighting: a row meets one row of weights per block of replicates and
-    feeds all of that block's sums at once, so rows are neither copied per draw nor per replicate, and
-    scan tasks pre-aggregate to one row per cell and block.  Small blocks keep the generated code short
-    enough to be compiled.  A scenario with missing values is skipped for the variable and model that miss them only.
+    Drawing with replacement is weighting.  Every cell of a complete series has the same weights and drivers, so the
+    moments of the drivers are summed once per scenario, and a cell's rows only meet the draw matrix for their two
+    products with it: sum(w y) and sum(w x y).  Rows are neither copied per draw nor per replicate, and scan tasks
+    pre-aggregate to one row per cell and block of replicates.  Cells that lack rows of a year get moments of their own.
+    A scenario with missing values is skipped for the variable and model that miss them only.
     A replicate that draws one driver value alone gets slope 0 and the mean, as least squares of least norm does.
     """
-    complete = skip_missing(df, [*keys, scenario], value)
+    state = settle(df.groupBy(*keys, scenario).agg(F.count_if(F.col(value).isNull()).alias("_missing")), "complete")
+    used = state.filter("_missing = 0").drop("_missing")
+    complete = df.join(used, [*keys, scenario], "left_semi")
     x = series.select(scenario, year, F.col(driver).cast("double").alias("_x"))
-    draws = settle(bootstrap_draws(x, replicates, scenario, year, per_block).join(x, [scenario, year]), "draws")
-    rows = complete.join(draws, [scenario, year])
     width = min(per_block, replicates)
-    w = [F.col(f"w{k}") for k in range(width)]
-    y, xc = F.col(value), F.col("_x")
-    sums = []
-    for k in range(width):
-        sums += [F.sum(w[k]).alias(f"s{k}"), F.sum(w[k] * xc).alias(f"x{k}"), F.sum(w[k] * y).alias(f"y{k}"),
-                 F.sum(w[k] * xc * xc).alias(f"xx{k}"), F.sum(w[k] * xc * y).alias(f"xy{k}")]
-    agg = rows.groupBy(*keys, "cell_id", "block").agg(*sums)
+    draws = bootstrap_draws(x, replicates, scenario, year, per_block).join(x, [scenario, year])
+    draws = settle(draws.withColumns({f"v{k}": F.col(f"w{k}") * F.col("_x") for k in range(width)}), "draws")
+
+    def moments(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        sums = [a for k in range(width) for a in (F.sum(f"w{k}").alias(f"s{k}"), F.sum(f"v{k}").alias(f"x{k}"), F.sum(F.col(f"v{k}") * F.col("_x")).alias(f"xx{k}"))]
+        return rows.groupBy(*by, "block").agg(*sums)
+
+    per_scenario = moments(draws, [scenario])
+    shared = used.join(per_scenario, scenario).groupBy(*keys, "block").agg(*[F.sum(f"{p}{k}").alias(f"{p}{k}") for k in range(width) for p in ("s", "x", "xx")])
+    shared = settle(shared, "moments")
+    # cells without a row for every year of their scenarios
+    wanted = used.join(x.groupBy(scenario).agg(F.count("*").alias("_n")), scenario).groupBy(*keys).agg(F.sum("_n").alias("_wanted"))
+    have = complete.join(x.select(scenario, year), [scenario, year], "left_semi").groupBy(*keys, "cell_id").agg(F.count("*").alias("_have"))
+    partial = settle(have.join(wanted, list(keys)).filter(F.col("_have") != F.col("_wanted")).select(*keys, "cell_id"), "partial-cells")
+
+    def products(rows: DataFrame) -> DataFrame:
+        sums = [a for k in range(width) for a in (F.sum(F.col(f"w{k}") * F.col(value)).alias(f"y{k}"), F.sum(F.col(f"v{k}") * F.col(value)).alias(f"xy{k}"))]
+        return rows.join(draws, [scenario, year]).groupBy(*keys, "cell_id", "block").agg(*sums)
+
+    if partial.isEmpty():
+        agg = products(complete).join(shared, [*keys, "block"])
+    else:
+        whole, rest = (complete.join(partial, [*keys, "cell_id"], how) for how in ("left_anti", "left_semi"))
+        own = moments(rest.select(*keys, "cell_id", scenario, year).join(draws, [scenario, year]), [*keys, "cell_id"])
+        both = products(rest).join(own, [*keys, "cell_id", "block"])
+        agg = products(whole).join(shared, [*keys, "block"])
+        agg = agg.unionByName(both.select(*agg.columns))
     fits = []
     for k in range(width):
         sw, sx, sy, sxx, sxy = (F.col(f"{p}{k}") for p in ("s", "x", "y", "xx", "xy"))

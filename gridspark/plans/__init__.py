@@ -3,5 +3,5 @@
 
 def load_queries() -> None:
     """Import the modules that register queries."""
-    from gridspark.plans import (queries_fields, queries_forcing, queries_products, queries_scenarios,  # noqa: F401
+    from gridspark.plans import (queries_fields, queries_forcing, queries_jobs, queries_products, queries_scenarios,  # noqa: F401
                                  queries_sources, queries_statistics)

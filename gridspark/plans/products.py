@@ -9,12 +9,13 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.columns import check_variable, floor_zero, flux_to_mm_day
+from gridspark.functions.columns import check_variable, floor_zero, flux_to_mm_day, lat_weight
 from gridspark.operators import align, signal, spatial, stats, timeops
-from gridspark.schema import (CANVAS_START_YEAR, DAILY_THRESHOLDS, EXPERIMENT_WINDOW, FIRST_PROJECTED_YEAR, LAST_HISTORICAL_YEAR, PREINDUSTRIAL,
-                              REPLICATES, VARIABLES, sql_literal, variable_flag)
+from gridspark.schema import (CANVAS_START_YEAR, DAILY_THRESHOLDS, EXPERIMENT_WINDOW, FIRST_PROJECTED_YEAR, FIRST_START_YEAR, FIT_VARIABLES,
+                              LAST_HISTORICAL_YEAR, LAST_START_YEAR, PREINDUSTRIAL, REPLICATES, SWEEP_VARIABLES, TARGET_TENTHS, VARIABLES, sql_literal,
+                              variable_flag)
 from gridspark.scratch import settle
-from gridspark.sources.grid import read_labels, write_grid, write_missing
+from gridspark.sources.grid import BATCH_ROWS, read_labels, write_missing
 
 # -- variables ---------------------------------------------------------------------------------
 
@@ -160,9 +161,10 @@ def fit_delta(annual: DataFrame, cells: DataFrame, targets: Sequence[str] = ("1.
 
 
 def fit_all(annual: DataFrame, scenario_maps: DataFrame, series: DataFrame, cells: DataFrame, path: str, injections: DataFrame | None = None,
-            delta_window: tuple[int, int] = EXPERIMENT_WINDOW, ignore_existing: bool = False, **kw) -> dict[str, bool]:
-    """Write the fits of every variable that are not there yet: map fits, change fits and, if given, injection fits."""
+            delta_window: tuple[int, int] = EXPERIMENT_WINDOW, ignore_existing: bool = False, variables: Sequence[str] = tuple(FIT_VARIABLES), **kw) -> dict[str, bool]:
+    """Write the fits of every one of ``variables`` that are not there yet: map fits, change fits and, if given, injection fits."""
     spark, done = annual.sparkSession, {}
+    annual, scenario_maps = (d.filter(F.col("variable").isin(list(variables))) for d in (annual, scenario_maps))
     both = ["variable", "model"]
     done["coef"] = write_missing(
         spark, scenario_maps.select(*both).distinct(), f"{path}/coef", both,
@@ -276,6 +278,31 @@ def temp_gap(tas_map: DataFrame, cells: DataFrame, target_tenths: tuple[int, int
         .select("scenario", "target_tenths", "year", (F.col("target_tenths") / F.lit(10.0) - F.col("value")).alias("temp_diff"))
 
 
+def pattern_gap(coef: DataFrame, series: DataFrame, cells: DataFrame, target_tenths: tuple[int, int] | Sequence[int], baseline: DataFrame | None = None,
+                model: str | None = None, first_year: int = FIRST_PROJECTED_YEAR, last_year: int = align.LAST_YEAR) -> DataFrame:
+    """(scenario, target_tenths, year, temp_diff) as ``temp_gap`` has it of the temperature map.
+
+    The area mean of the map is mean slope * driver + mean intercept - mean base: only the coefficients are read.
+    """
+    tas = coef.filter(F.col("variable") == "tas")
+    if tas.isEmpty():
+        raise ValueError("the gap to a target needs fits of 'tas'")
+    if baseline is not None and baseline.filter(F.col("variable") == "tas").isEmpty():
+        raise ValueError("the gap to a target needs the baseline of 'tas'")
+    own = mean_coefs(tas, model)
+    base = baseline.filter(F.col("variable") == "tas").select("cell_id", F.col("value").alias("base")) if baseline is not None else None
+    own = own.join(base, "cell_id", "left") if base is not None else own.withColumn("base", F.lit(0.0))
+    own = own.join(cells.select("cell_id", "lat"), "cell_id")
+    level = F.col("intercept") - F.col("base")
+    w = F.when(F.col("slope").isNotNull() & level.isNotNull(), lat_weight("lat"))
+    mean = settle(own.agg(F.try_divide(F.sum(w * F.col("slope")), F.sum(w)).alias("_a"), F.try_divide(F.sum(w * level), F.sum(w)).alias("_b")), "mean-pattern")
+    drivers = series.filter(F.col("year").between(first_year, last_year)).select("scenario", "year", "driver")
+    rows = align.blocked_product(drivers, mean, "year")
+    tenths = F.explode(F.sequence(*map(F.lit, target_tenths)) if isinstance(target_tenths, tuple) else F.array(*map(F.lit, target_tenths)))
+    return rows.withColumn("target_tenths", tenths).select(
+        "scenario", "target_tenths", "year", (F.col("target_tenths") / F.lit(10.0) - (F.col("_a") * F.col("driver") + F.col("_b"))).alias("temp_diff"))
+
+
 def gated_gap(gap: DataFrame, start_year: int, ramp_years: int, keys: Sequence[str] = ("scenario", "target_tenths"), **kw) -> DataFrame:
     """The gap from the start year on, gated and ramped: both only depend on time, so they come before the map product."""
     g = gap.filter(F.col("year") >= start_year).withColumn("driver", F.col("temp_diff"))
@@ -321,13 +348,13 @@ def injection_by_latitude(slopes: DataFrame, gap: DataFrame, start_years: tuple[
     return rows.select(*keys, "year", "lat", (F.col("slope") * F.col("driver")).alias("value"))
 
 
-def custom_injection_delta(injection: DataFrame, aod_params: DataFrame, climate_params: DataFrame, patterns: DataFrame,
-                           first_year: int, co2_forcing: DataFrame | None = None, co2_band: str = "co2") -> DataFrame:
-    """(variable, year, cell_id, value) from annual injections per latitude band.
+def injection_drivers(injection: DataFrame, aod_params: DataFrame, climate_params: DataFrame, first_year: int,
+                      co2_forcing: DataFrame | None = None, co2_band: str = "co2") -> DataFrame:
+    """(variable, band, year, driver): annual response of each variable to the injections of each latitude band.
 
-    Annual amounts are spread over months, turned into optical depth, then into a response per variable;
-    the annual mean is taken before the product with the patterns (both are linear), and bands add up.
-    ``co2_forcing`` (k, value) enters the response directly, with its own parameters and pattern.
+    Annual amounts are spread over months, turned into optical depth, then into a response per variable; the annual
+    mean is taken before any product with patterns (both are linear).  ``co2_forcing`` (k, value) enters the response
+    directly, with its own parameters.
     """
     monthly = timeops.monthly_expand(injection).withColumn("k", ((F.col("year") - first_year) * 12 + F.col("month") - 1).cast("int"))
     forcing = signal.convolve_decay(monthly.select("band", "k", "value"), aod_params)
@@ -336,7 +363,27 @@ def custom_injection_delta(injection: DataFrame, aod_params: DataFrame, climate_
     per_variable = forcing.join(climate_params.select("variable", "band"), "band")
     response = signal.convolve_kernel(per_variable.select("variable", "band", "k", "value"), climate_params, ["variable", "band"])
     annual = timeops.annual_mean_12(response, ["variable", "band"], start_year=first_year)
-    drivers = annual.withColumnRenamed("value", "driver")
+    return annual.withColumnRenamed("value", "driver")
+
+
+def add_precipitation_minus_evaporation(terms: DataFrame, value: str | None = None, first: str = "pr", second: str = "e") -> DataFrame:
+    """Terms (variable, band, ..) of p-e next to those of pr and e: the bands of both, with ``value`` of e negated."""
+    parts = [terms]
+    for name, sign in ((first, 1.0), (second, -1.0)):
+        own = terms.filter(F.col("variable") == name).withColumns({"variable": F.lit("p-e"), "band": F.concat(F.lit(f"{name}:"), "band")})
+        parts.append(own.withColumn(value, F.col(value) * sign) if value else own)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def custom_injection_delta(injection: DataFrame, aod_params: DataFrame, climate_params: DataFrame, patterns: DataFrame,
+                           first_year: int, co2_forcing: DataFrame | None = None, co2_band: str = "co2", p_minus_e: bool = False) -> DataFrame:
+    """(variable, year, cell_id, value) from annual injections per latitude band; bands add up.
+
+    With ``p_minus_e`` there is also the difference of the responses of pr and e, as bands of opposite sign.
+    """
+    drivers = injection_drivers(injection, aod_params, climate_params, first_year, co2_forcing, co2_band)
+    if p_minus_e:
+        drivers, patterns = add_precipitation_minus_evaporation(settle(drivers, "responses")), add_precipitation_minus_evaporation(patterns, "slope")
     scaled = align.outer_scale(patterns, drivers, ["variable", "band"])
     return scaled.groupBy("variable", "year", "cell_id").agg(F.sum("value").alias("value"))
 
@@ -420,28 +467,32 @@ def with_intervention(maps: DataFrame, delta: DataFrame, floor: bool) -> DataFra
 
 def series_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None, cells: DataFrame, start_year: int,
                    keys: Sequence[str], smooth: bool = True, starts: DataFrame | None = None, obs: DataFrame | None = None) -> DataFrame:
-    """Series of history, without and with intervention: (keys, kind, year, value).
+    """Series of history, without and with intervention: (keys, kind, year, value)."""
+    without = aggregate_series(maps, cells, ["variable", "scenario"])
+    with_ = aggregate_series(with_intervention(maps.filter(F.col("year") >= start_year), delta, floor=True), cells, keys)
+    past = aggregate_series(history, cells, ["variable"]) if history is not None else None
+    return compose_series(without, with_, past, delta.select(*keys).distinct(), start_year, keys, smooth, starts, obs)
+
+
+def compose_series(without: DataFrame, with_: DataFrame, past: DataFrame | None, labels: DataFrame, start_year: int, keys: Sequence[str],
+                   smooth: bool = True, starts: DataFrame | None = None, obs: DataFrame | None = None, splice_at: int | None = None) -> DataFrame:
+    """(keys, kind, year, value) from area series without (variable, scenario) and with intervention (keys).
 
-    History and projection are smoothed as one series and cut again; before its first injection the
-    intervention follows the series without it.
+    History (``past``, by variable) and projection are smoothed as one series and cut again; before its first injection
+    the intervention follows the series without it: from ``splice_at``, ``starts`` or the start year.
     """
     base = ["variable", "scenario"]
-    without = aggregate_series(maps, cells, base)
-    if history is not None:
-        scenarios = maps.select("scenario").distinct()
-        past = aggregate_series(history, cells, ["variable"])
-        past = align.blocked_product(past, scenarios, "year").select(*without.columns)
+    if past is not None:
+        past = align.blocked_product(past, without.select("scenario").distinct(), "year").select(*without.columns)
         without = align.join_series(past, without)
     full = signal.smooth_lowpass(without, base) if smooth else without
     full = settle(full.select(*base, "year", "value"), "series")
     before, after = align.split_series(full, start_year - 1)
-    future = maps.filter(F.col("year") >= start_year)
-    with_ = aggregate_series(with_intervention(future, delta, floor=True), cells, keys)
     extra = [k for k in keys if k not in base]
-    labels = delta.select(*keys).distinct()
     spread = lambda d: d.join(labels, base).select(*keys, "year", "value")
     before, after = spread(before), spread(after)
-    with_ = align.splice_before(with_.select(*keys, "year", "value"), after, keys, start_year if starts is None else None, starts)
+    at = splice_at if splice_at is not None else start_year if starts is None else None
+    with_ = align.splice_before(with_.select(*keys, "year", "value"), after, keys, at, starts if splice_at is None else None)
     out = align.stack_dim({"historical_model": before, "no_sai": after, "with_sai": with_}, "kind")
     if obs is not None:
         tas = labels.filter(F.col("variable") == "tas")
@@ -454,7 +505,13 @@ def histogram_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | No
                       history_window: tuple[int, int] = (1950, 1960)) -> DataFrame:
     """Distributions over cells and years of a decade: equal bins, or fixed edges for day counts."""
     now = maps.filter(F.col("year").between(*decade))
-    labels = settle(delta.select(*keys).distinct(), "labels")
+    past = history.filter(F.col("year").between(*history_window)) if history is not None else None
+    return compose_histograms(now, with_intervention(now, delta, floor=False), past, delta.select(*keys).distinct(), keys)
+
+
+def compose_histograms(without: DataFrame, with_: DataFrame, past: DataFrame | None, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Histograms (keys, kind, bin, lo, hi, frac) of values without, with intervention and of the past."""
+    labels = settle(labels, "labels")
     count = variable_flag(F.col("variable"), "is_count")
 
     def bins(rows: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
@@ -465,10 +522,8 @@ def histogram_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | No
         named = both.join(labels, list(by)) if missing else both
         return named.select(*keys, F.lit(kind).alias("kind"), "bin", "lo", "hi", "frac")
 
-    out = bins(now, ["variable", "scenario"], "no_sai").unionByName(bins(with_intervention(now, delta, floor=False), keys, "with_sai"))
-    if history is not None:
-        out = out.unionByName(bins(history.filter(F.col("year").between(*history_window)), ["variable"], "historical"))
-    return out
+    out = bins(without, ["variable", "scenario"], "no_sai").unionByName(bins(with_, keys, "with_sai"))
+    return out.unionByName(bins(past, ["variable"], "historical")) if past is not None else out
 
 
 def scenario_summary(maps: DataFrame, delta: DataFrame, history: DataFrame | None, cells: DataFrame, start_year: int,
@@ -521,31 +576,44 @@ def variability_summary(natural: DataFrame, variables: Sequence[str], population
 
 # -- sweep -------------------------------------------------------------------------------------
 
+SWEPT = ("maps", "pvalues", "delta", "delta_pvalues", "injection")
+
+
 def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame, series: DataFrame, slopes: DataFrame,
               injection_slopes: DataFrame | None, annual: DataFrame, variability: DataFrame, cells: DataFrame, land: DataFrame,
-              population: DataFrame, variables: Sequence[str], target_tenths: tuple[int, int] | Sequence[int], start_years: tuple[int, int],
+              population: DataFrame, variables: Sequence[str] = tuple(SWEEP_VARIABLES), target_tenths: tuple[int, int] | Sequence[int] = TARGET_TENTHS,
+              start_years: tuple[int, int] = (FIRST_START_YEAR, LAST_START_YEAR),
               canvas_start: int = CANVAS_START_YEAR, first_year: int = FIRST_PROJECTED_YEAR, last_historical: int = LAST_HISTORICAL_YEAR,
               base_window: tuple[int, int] = PREINDUSTRIAL, decades: dict | None = None, ignore_existing: bool = False,
-              model: str | None = None, last_year: int = align.LAST_YEAR) -> dict[str, bool]:
+              model: str | None = None, last_year: int = align.LAST_YEAR, products: Sequence[str] = SWEPT, batch_rows: int = BATCH_ROWS) -> dict[str, bool]:
     """Write every product of scenarios x variables x targets that is not there yet.
 
-    One plan per product covers all missing keys, so the sweep is partition parallelism, not a loop.
-    Written maps feed the later products.  Ramp-up is left out of the cached deltas.
+    One plan covers many missing keys, so the sweep is partition parallelism, not a loop; keys go in batches of about
+    ``batch_rows`` estimated rows, each committed to the product's ledger, and a stopped sweep goes on behind the last
+    one.  Written maps feed the p-values.  The gap comes from the fits of ``tas``, whether or not it is swept; without
+    them or its baseline the sweep is an error.  Ramp-up is left out of the cached deltas.
     """
-    history = historical_map(annual, variables, land, population, last_historical)
+    unknown = set(products) - set(SWEPT)
+    if unknown:
+        raise ValueError(f"unknown products {sorted(unknown)}")
+    history = historical_map(annual, list(dict.fromkeys([*variables, "tas"])), land, population, last_historical)
     base = settle(baseline_map(history, base_window), "baseline")
+    years, n_cells, n_decades = last_year - first_year + 1, cells.count(), (decades or {}).get("decades", 6)
     done = {}
 
-    def maps_for(todo: DataFrame) -> DataFrame:
-        return predict_map(coef, series, variables, land, population, base, first_year, model=model, pairs=todo)
-
-    singles = work.select("scenario", "variable").distinct()
-    done["maps"] = write_missing(spark, singles, f"{path}/maps", ["variable", "scenario"], maps_for, ignore_existing)
-    maps = read_labels(spark, f"{path}/maps", ["variable", "scenario"])
-    done["pvalues"] = write_missing(
-        spark, singles, f"{path}/pvalues", ["variable", "scenario"],
-        lambda todo: pvalue_maps(maps.join(todo, ["scenario", "variable"], "left_semi"), base, variability, land, **decades or {}), ignore_existing)
-    gap = settle(temp_gap(maps.filter("variable = 'tas'"), cells, target_tenths), "gap")
+    def write(name: str, todo: DataFrame, keys: Sequence[str], rows: int, build: Callable[[DataFrame], DataFrame]) -> None:
+        done[name] = write_missing(spark, todo, f"{path}/{name}", keys, build, ignore_existing, F.lit(rows), batch_rows)
+
+    singles, pair = work.select("scenario", "variable").distinct(), ["variable", "scenario"]
+    if "maps" in products or {"pvalues", "delta_pvalues"} & set(products):
+        write("maps", singles, pair, n_cells * years, lambda todo: predict_map(coef, series, variables, land, population, base, first_year, model=model, pairs=todo))
+        maps = read_labels(spark, f"{path}/maps", pair)
+    if "pvalues" in products:
+        write("pvalues", singles, pair, n_cells * n_decades,
+              lambda todo: pvalue_maps(maps.join(todo, ["scenario", "variable"], "left_semi"), base, variability, land, **decades or {}))
+    if not {"delta", "delta_pvalues", "injection"} & set(products):
+        return done
+    gap = settle(pattern_gap(coef, series, cells, target_tenths, base, model, first_year), "gap")
     keys = ["variable", "scenario", "target_tenths"]
     targets = work.select(*keys).distinct()
 
@@ -553,14 +621,13 @@ def sweep_all(spark: SparkSession, path: str, work: DataFrame, coef: DataFrame,
         wanted = gap.join(todo.select("scenario", "target_tenths").distinct(), ["scenario", "target_tenths"], "left_semi")
         return regional_delta(slopes, wanted, variables, land, population, canvas_start, 0, todo)
 
-    done["delta"] = write_missing(spark, targets, f"{path}/delta", keys, deltas_for, ignore_existing)
-    done["delta_pvalues"] = write_missing(
-        spark, targets, f"{path}/delta_pvalues", keys,
-        lambda todo: decade_pvalues(delta_decades(maps, slopes, gap, variables, land, population, todo, canvas_start, 0, **decades or {}), base, variability, land, keys=keys),
-        ignore_existing)
-    if injection_slopes is not None:
-        done["injection"] = write_missing(
-            spark, work.select("scenario", "target_tenths").distinct(), f"{path}/injection", ["scenario", "target_tenths"],
-            lambda todo: injection_by_latitude(injection_slopes, gap.join(todo, ["scenario", "target_tenths"], "left_semi"), start_years, last_year=last_year),
-            ignore_existing)
+    if "delta" in products:
+        write("delta", targets, keys, n_cells * years, deltas_for)
+    if "delta_pvalues" in products:
+        write("delta_pvalues", targets, keys, n_cells * n_decades, lambda todo: decade_pvalues(
+            delta_decades(maps, slopes, gap, variables, land, population, todo, canvas_start, 0, **decades or {}), base, variability, land, keys=keys))
+    if "injection" in products and injection_slopes is not None:
+        both = ["scenario", "target_tenths"]
+        write("injection", work.select(*both).distinct(), both, injection_slopes.count() * years * (start_years[1] - start_years[0] + 1),
+              lambda todo: injection_by_latitude(injection_slopes, gap.join(todo, both, "left_semi"), start_years, last_year=last_year))
     return done

@@ -216,8 +216,8 @@ left join (select scenario as path, cast(t as int) as t, co2 from a_three_gas wh
 on p.path = o.path and s.t = o.t and s.specie = 'Brand#2'""")
 def overlay_override_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     gas = A.three_gas(spark, sf_dir).withColumnRenamed("scenario", "path")
-    series = A.scenario_series(spark, sf_dir).withColumnRenamed("emissions", "value").drop("concentration") \
-        .crossJoin(gas.select("path").distinct())
+    series = A.scenario_series(spark, sf_dir).withColumnRenamed("emissions", "value").drop("concentration")
+    series = align.blocked_product(series, gas.select("path").distinct(), "specie")
     paths = gas.filter("t between 1998 and 2000").select("path", F.lit("Brand#2").alias("specie"), "t", F.col("co2").alias("value"))
     zero = (F.col("specie") == "Brand#1") & (F.col("t") >= 1998)
     return rounded(align.overlay_override(series, paths, ["path", "specie", "t"], zero=zero, factor=-0.28), "value")

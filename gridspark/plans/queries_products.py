@@ -9,6 +9,7 @@ from gridspark.operators import spatial, stats, timeops
 from gridspark.operators.align import blocked_product
 from gridspark.plans import adapters as A
 from gridspark.plans import products as P
+from gridspark.plans import vectors as V
 from gridspark.plans.queries_statistics import _DRAWS, _MAPS, BAND_PARAMS, KERNEL, band_params, scenario_maps, smooth_sql
 from gridspark.plans.registry import query, r, rounded
 from gridspark.scratch import scratch_path, settle
@@ -76,6 +77,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._field: DataFrame | None = None
+        self._coef: DataFrame | None = None
         self.cells, self.population = A.cells(spark, sf_dir), A.population(spark, sf_dir)
         self.land = settle(spatial.land_mask(self.cells, A.region_edges(spark, sf_dir)), "land")
         self.series = A.global_annual(spark, sf_dir).withColumn("driver", F.col("driver") / F.lit(0.97))
@@ -104,8 +106,11 @@ class Inputs:
         return mean.select(*keys).unionByName(one.select(*keys)).unionByName(runs.select(*keys))
 
     def coef(self) -> DataFrame:
-        rows = self.field().filter("experiment = 'F'").withColumn("x", F.col("year") - 1995)
-        return timeops.linear_fit(rows, ["variable", "member", "cell_id"], "x").withColumnRenamed("member", "replicate").withColumn("model", F.lit("M"))
+        if self._coef is None:
+            rows = self.field().filter("experiment = 'F'").withColumn("x", F.col("year") - 1995)
+            fits = timeops.linear_fit(rows, ["variable", "member", "cell_id"], "x").withColumnRenamed("member", "replicate")
+            self._coef = settle(fits.withColumn("model", F.lit("M")), "coef")
+        return self._coef
 
     def history(self) -> DataFrame:
         return P.historical_map(self.annual(), VARIABLES, self.land, self.population, 1998)
@@ -116,15 +121,15 @@ class Inputs:
     def maps(self, base: DataFrame | None = None) -> DataFrame:
         return P.predict_map(self.coef(), self.series, VARIABLES, self.land, self.population, base or self.base(), first_year=1996)
 
-    def gap(self, maps: DataFrame) -> DataFrame:
-        gap = P.temp_gap(maps.filter("variable = 'tas'"), self.cells, [-20, 0, 25])
+    def gap(self, base: DataFrame | None = None) -> DataFrame:
+        gap = P.pattern_gap(self.coef(), self.series, self.cells, [-20, 0, 25], base or self.base(), first_year=1996)
         return gap.withColumn("temp_diff", F.round("temp_diff", 9))
 
     def slopes(self) -> DataFrame:
         return P.fit_delta(self.annual(), self.cells, window=(1997, 2000))[0]
 
-    def delta(self, maps: DataFrame) -> DataFrame:
-        return P.regional_delta(self.slopes(), settle(self.gap(maps), "gap"), VARIABLES, self.land, self.population, 1997, 3, last_year=2001)
+    def delta(self) -> DataFrame:
+        return P.regional_delta(self.slopes(), settle(self.gap(), "gap"), VARIABLES, self.land, self.population, 1997, 3, last_year=2001)
 
 
 # -- jobs --------------------------------------------------------------------------------------
@@ -265,13 +270,13 @@ def historical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("temp_gap", f"select scenario, target_tenths, year, {r('temp_diff', 5)} as temp_diff from h_gap", **H)
 def temp_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return rounded(i.gap(i.maps()), "temp_diff", digits=5)
+    return rounded(i.gap(), "temp_diff", digits=5)
 
 
 @query("regional_delta", f"select variable, scenario, target_tenths, year, cell_id, {r('value', 4)} as value from h_delta", **H)
 def regional_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return rounded(i.delta(i.maps()), "value", digits=4)
+    return rounded(i.delta(), "value", digits=4)
 
 
 _STARTED = """
@@ -288,7 +293,7 @@ from h_started cross join (select distinct lat from a_cells) l""", **H, h_starte
 def injection_by_latitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
     slopes = i.cells.select("lat", (F.col("lat") / 100).alias("slope")).distinct()
-    out = P.injection_by_latitude(slopes, settle(i.gap(i.maps()), "gap"), (1996, 2000), last_year=2001)
+    out = P.injection_by_latitude(slopes, settle(i.gap(), "gap"), (1996, 2000), last_year=2001)
     return rounded(out, "value", digits=5)
 
 
@@ -338,17 +343,17 @@ def pvalue_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary(spark: SparkSession, sf_dir: str, region: bool = False) -> P.Summary:
     i = Inputs(spark, sf_dir)
     base = i.base()
-    maps = settle(i.maps(base), "maps")
-    past = settle(P.subtract_baseline(i.history().filter("year < 1996"), base), "history")
-    delta = settle(i.delta(maps), "delta")
+    past = P.subtract_baseline(i.history().filter("year < 1996"), base)
     obs = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.year("o_orderdate").alias("year")).agg((F.avg("o_totalprice") / 101300).alias("value"))
-    mask = i.land if region else None
     std = i.field().filter("experiment = 'F'").groupBy("variable", "cell_id").agg((F.stddev_pop("value") + 1).alias("value"))
-    tests = dict(baseline=base, variability=std, land=i.land, decades=dict(origin=1995, decades=2, width=3), decade_end=2001)
-    return P.scenario_summary(maps, delta, past, i.cells, 1997, (1998, 2000), mask, obs=obs, history_window=(1995, 1995), tests=tests,
-                              natural=i.field().groupBy("variable").agg(F.stddev_pop("value").alias("value")), population=i.population,
-                              gap=settle(i.gap(maps), "gap"), injection_slopes=i.cells.select("lat", (F.col("lat") / 100).alias("slope")).distinct(),
-                              injection=dict(start_years=(1996, 2000), last_year=2001))
+    gap = settle(i.gap(base), "gap")
+    pushes = i.slopes().withColumn("component", F.lit("gap"))
+    v = V.vectors(i.coef(), i.series, VARIABLES, i.cells, i.land, i.population, base, pushes, V.target_gates(gap, 1997, 3, last_year=2001), first_year=1996)
+    by_lat = i.cells.select("lat", (F.col("lat") / 100).alias("slope")).distinct()
+    return V.pattern_summary(v, i.cells, 1997, (1998, 2000), past, i.land if region else None, obs, history_window=(1995, 1995),
+                             tests=dict(baseline=base, variability=std, land=i.land, decades=dict(origin=1995, decades=2, width=3), decade_end=2001),
+                             natural=i.field().groupBy("variable").agg(F.stddev_pop("value").alias("value")), population=i.population, gap=gap,
+                             injection=P.injection_by_latitude(by_lat, gap, (1996, 2000), last_year=2001))
 
 
 @query("summary_maps", f"""
@@ -448,47 +453,87 @@ select *, {p} as p from (select *, pow((m1 - m2) / (nullif(sd, 0) * sqrt(2e0 / 6
   select d.*, b.value as m1, s.value as sd from ({means}) d join h_base b using (variable, cell_id)
   join h_std s on s.cell_id = d.cell_id and s.variable = case when d.variable = 'exposure_above_35' then 'tas_above_35' else d.variable end) y) x where sd is not null"""
 _DECADE = "cast(ceil((year - 1995) / 3e0) * 3 + 1995 as int)"
-_SWEPT = f"""
-select 'maps' as product, variable, scenario, cast(null as int) as target_tenths, cast(cell_id as double) as place, year, {r('value', 3)} as value from h_map
-union all select 'pvalues', variable, scenario, null, cell_id, decade_end, {r('p', 3)} from ({_P_SWEPT.format(p=_P_OF, means=f"""
-  select variable, scenario, cell_id, {_DECADE} as decade_end, avg(value) as m2 from h_rawmap where year between 1996 and 2001 and cell_id in (select cell_id from a_land) group by all""")}) q
-union all select 'delta', variable, scenario, target_tenths, cell_id, year, {r('value', 3)} from h_swept
-union all select 'delta_pvalues', variable, scenario, target_tenths, cell_id, decade_end, {r('p', 3)} from ({_P_SWEPT.format(p=_P_OF, means=f"""
-  select m.variable, m.scenario, d.target_tenths, m.cell_id, {_DECADE.replace('year', 'm.year')} as decade_end, avg(m.value + d.value) as m2
-  from h_rawmap m join h_swept d using (variable, scenario, year, cell_id) where m.year between 1997 and 2001 and m.cell_id in (select cell_id from a_land) group by all""")}) q
-union all select 'injection', concat('from ', start_year), scenario, target_tenths, l.lat, year, {r('''l.lat / 100 * d * case when year - first + 1 between 1 and least(10, 2001 - first)
-  then (year - first + 1) / cast(least(10, 2001 - first) as double) else 1 end''', 3)} from h_started cross join (select distinct lat from a_cells) l"""
-
-
-@query("sweep_all", _SWEPT, **H, h_started=_STARTED, h_swept=_DELTA.replace("h_ramped d", _UNRAMPED),
-       h_std="select variable, cell_id, stddev_pop(value) + 1 as value from h_field where experiment = 'F' group by variable, cell_id")
-def sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+_STD = "select variable, cell_id, stddev_pop(value) + 1 as value from h_field where experiment = 'F' group by variable, cell_id"
+_SWEEP = dict(**H, h_std=_STD, h_swept=_DELTA.replace("h_ramped d", _UNRAMPED))
+
+
+def swept(spark: SparkSession, sf_dir: str, *products: str, batch_rows: int = 20_000) -> tuple[str, list[dict[str, bool]]]:
+    """(folder, what each of three runs wrote) of a sweep that starts with some scenarios, goes on with all, and has nothing left."""
     i = Inputs(spark, sf_dir)
     path = scratch_path(spark, "sweep")
     std = i.field().filter("experiment = 'F'").groupBy("variable", "cell_id").agg((F.stddev_pop("value") + 1).alias("value"))
     scenarios = i.series.select("scenario").distinct()
     targets = F.explode(F.array(*[F.lit(t) for t in (-20, 0, 25)]))
-    work = scenarios.withColumn("variable", F.explode(F.array(*[F.lit(v) for v in VARIABLES]))).withColumn("target_tenths", targets)
+    work = settle(scenarios.withColumn("variable", F.explode(F.array(*[F.lit(v) for v in VARIABLES]))).withColumn("target_tenths", targets), "work")
     by_lat = i.cells.select("lat", (F.col("lat") / 100).alias("slope")).distinct()
-    inputs = dict(coef=settle(i.coef(), "coef"), series=i.series, slopes=settle(i.slopes(), "slopes"), injection_slopes=by_lat, annual=i.annual(),
+    inputs = dict(coef=i.coef(), series=i.series, slopes=settle(i.slopes(), "slopes"), injection_slopes=by_lat, annual=i.annual(),
                   variability=settle(std, "std"), cells=i.cells, land=i.land, population=i.population, variables=VARIABLES,
                   target_tenths=[-20, 0, 25], start_years=(1996, 2000), canvas_start=1997, first_year=1996, last_historical=1998,
-                  base_window=(1995, 1996), decades=dict(origin=1995, decades=2, width=3), last_year=2001)
-    P.sweep_all(spark, path, work.filter("scenario < '3'"), **inputs)
-    P.sweep_all(spark, path, work, **inputs)  # adds what is missing
+                  base_window=(1995, 1996), decades=dict(origin=1995, decades=2, width=3), last_year=2001, products=products, batch_rows=batch_rows)
+    return path, [P.sweep_all(spark, path, some, **inputs) for some in (work.filter("scenario < '3'"), work)]
+
+
+def swept_product(spark: SparkSession, sf_dir: str, product: str) -> DataFrame:
+    path, _ = swept(spark, sf_dir, product)
+    return grid.read_labels(spark, f"{path}/{product}", ["variable", "scenario"])
+
+
+@query("sweep_maps", f"select variable, scenario, year, cell_id, {r('value', 4)} as value from h_map", **H)
+def sweep_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(swept_product(spark, sf_dir, "maps"), "value", digits=4).select("variable", "scenario", "year", "cell_id", "value")
+
+
+@query("sweep_pvalues", f"""
+select variable, scenario, cell_id, decade_end, {r('p', 4)} as p_value from ({_P_SWEPT.format(p=_P_OF, means=f"""
+  select variable, scenario, cell_id, {_DECADE} as decade_end, avg(value) as m2 from h_rawmap where year between 1996 and 2001 and cell_id in (select cell_id from a_land) group by all""")}) q""", **_SWEEP)
+def sweep_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(swept_product(spark, sf_dir, "pvalues"), "p_value", digits=4).select("variable", "scenario", "cell_id", "decade_end", "p_value")
+
+
+@query("sweep_delta", f"select variable, scenario, target_tenths, year, cell_id, {r('value', 4)} as value from h_swept", **_SWEEP)
+def sweep_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(swept_product(spark, sf_dir, "delta"), "value", digits=4).select("variable", "scenario", "target_tenths", "year", "cell_id", "value")
+
+
+# the means of map and delta are formed each for itself, then added: both have the same years
+@query("sweep_delta_pvalues", f"""
+select variable, scenario, target_tenths, cell_id, decade_end, {r('p', 4)} as p_value from ({_P_SWEPT.format(p=_P_OF, means=f"""
+  select m.variable, m.scenario, d.target_tenths, m.cell_id, m.decade_end, m.value + d.value as m2 from (
+    select variable, scenario, cell_id, {_DECADE} as decade_end, avg(value) as value from h_rawmap where year between 1997 and 2001 and cell_id in (select cell_id from a_land) group by all) m
+  join (select variable, scenario, target_tenths, cell_id, {_DECADE} as decade_end, avg(value) as value from h_swept where year between 1997 and 2001 group by all) d
+    on (d.variable, d.scenario, d.cell_id, d.decade_end) = (m.variable, m.scenario, m.cell_id, m.decade_end)""")}) q""", **_SWEEP)
+def sweep_delta_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rounded(swept_product(spark, sf_dir, "delta_pvalues"), "p_value", digits=4)
+    return out.select("variable", "scenario", "target_tenths", "cell_id", "decade_end", "p_value")
+
+
+@query("sweep_injection", f"""
+select scenario, target_tenths, start_year, year, l.lat, {r('''l.lat / 100 * d * case when year - first + 1 between 1 and least(10, 2001 - first)
+  then (year - first + 1) / cast(least(10, 2001 - first) as double) else 1 end''', 4)} as value from h_started cross join (select distinct lat from a_cells) l""", **H, h_started=_STARTED)
+def sweep_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rounded(swept_product(spark, sf_dir, "injection"), "value", digits=4)
+    return out.select("scenario", "target_tenths", "start_year", "year", "lat", "value")
+
+
+# the restart: rows of every key of maps and deltas, and whether a run was needed for them
+@query("sweep_all", """
+with v as (select * from (values ('tas', false), ('pr', true), ('tas_above_35', true), ('exposure_above_35', true)) t(variable, land)),
+  c as (select v.variable, s.scenario, s.years, s.later, (select count(*) from a_cells x where not v.land or x.cell_id in (select cell_id from a_land)) as n from v,
+    (select scenario, count(*) filter (year >= 1996) as years, count(*) filter (year >= 1997) as later from a_global_annual group by scenario) s)
+select 'maps' as product, variable, scenario, cast(null as int) as target_tenths, n * years as n_rows, scenario < '3' as first_run from c
+union all select 'delta', variable, scenario, cast(t as int), n * later, scenario < '3' from c, (values (-20), (0), (25)) x(t)""")
+def sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, runs = swept(spark, sf_dir, "maps", "delta")
     out = []
-    for product, at, value in (("maps", "year", "value"), ("pvalues", "decade_end", "p_value"), ("delta", "year", "value"),
-                               ("delta_pvalues", "decade_end", "p_value"), ("injection", "year", "value")):
-        df = grid.read_labels(spark, f"{path}/{product}", ["variable", "scenario"])
-        target = F.col("target_tenths") if "target_tenths" in df.columns else F.lit(None).cast("int")
-        variable, place = ("variable", "cell_id") if product != "injection" else (F.concat(F.lit("from "), F.col("start_year")), "lat")
-        variable = F.col(variable) if isinstance(variable, str) else variable
-        out.append(df.select(F.lit(product).alias("product"), variable.alias("variable"), "scenario", target.alias("target_tenths"),
-                             F.col(place).cast("double").alias("place"), F.col(at).alias("year"), F.col(value).alias("value")))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rounded(rows, "value", digits=3)
+    for product, keys in (("maps", ["variable", "scenario"]), ("delta", ["variable", "scenario", "target_tenths"])):
+        rows = grid.read_labels(spark, f"{path}/{product}", ["variable", "scenario"]).groupBy(*keys).agg(F.count("*").alias("n_rows"))
+        done = grid.finished_keys(spark, f"{path}/{product}", rows, keys)
+        target = F.col("target_tenths") if "target_tenths" in keys else F.lit(None).cast("int")
+        # commits are named in the order of their time
+        first = done.filter("scenario < '3'").agg(F.max("commit").alias("_until"))
+        named = blocked_product(done, first, "variable").select(*keys, (F.col("commit") <= F.col("_until")).alias("first_run"))
+        out.append(rows.join(named, keys).select(F.lit(product).alias("product"), "variable", "scenario", target.alias("target_tenths"), "n_rows", "first_run"))
+    return out[0].unionByName(out[1]).filter(F.lit(all(runs[0].values())))
 
 
 @query("summary_pvalues", f"""

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.schema import EXPERIMENT_LABELS
+from gridspark.scratch import settle
+from gridspark.sources import ledger
 
 DAILY_MARK = "h1"
 BASELINE_DAILY_START = "50101"  # only the daily baseline files that start there are complete
@@ -83,13 +85,18 @@ def write_grid(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def read_grid(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A written product. With ``schema`` key labels such as "1.0" or "001" stay text."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    """A written product; of one with a ledger the finished keys. With ``schema`` key labels such as "1.0" or "001" stay text."""
+    rows = ledger.read(spark, path)
+    if rows is None:
+        rows = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+    return rows
 
 
 def read_labels(spark: SparkSession, path: str, labels: Sequence[str]) -> DataFrame:
     """A written product whose partition folders named in ``labels`` are text, whatever they look like."""
+    rows = ledger.read(spark, path)
+    if rows is not None:
+        return rows
     found = spark.read.parquet(path).schema
     return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name in labels else f.dataType) for f in found])).parquet(path)
 
@@ -116,13 +123,14 @@ def read_coefs(spark: SparkSession, path: str, variable: str | None = None) -> D
 
 
 def existing_keys(spark: SparkSession, path: str, like: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Key combinations already written (typed as in ``like``), or None when there is nothing yet."""
-    try:
-        return read_grid(spark, path, like.select(*keys).schema).distinct()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    """Finished key combinations (typed as in ``like``) by the product's ledger, or None when there is nothing yet."""
+    done = finished_keys(spark, path, like, keys)
+    return done.select(*keys) if done is not None else None
+
+
+def finished_keys(spark: SparkSession, path: str, like: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """(keys, commit, rows) of the finished keys."""
+    return ledger.finished(spark, path, {k: like.schema[k].dataType for k in keys})
 
 
 def materialize_missing(work: DataFrame, done: DataFrame | None, keys: Sequence[str], ignore_existing: bool = False) -> DataFrame:
@@ -132,11 +140,42 @@ def materialize_missing(work: DataFrame, done: DataFrame | None, keys: Sequence[
     return work.join(done.select(*keys), list(keys), "left_anti")
 
 
+#: Estimated rows of one commit of ``write_missing``.
+BATCH_ROWS = 500_000_000
+
+
 def write_missing(spark: SparkSession, work: DataFrame, path: str, keys: Sequence[str],
-                  build: Callable[[DataFrame], DataFrame], ignore_existing: bool = False) -> bool:
-    """Build and write the missing products; false when there was nothing to do."""
-    todo = materialize_missing(work, existing_keys(spark, path, work, keys), keys, ignore_existing)
-    if todo.isEmpty():
-        return False
-    write_grid(build(todo), path, keys)
-    return True
+                  build: Callable[[DataFrame], DataFrame], ignore_existing: bool = False,
+                  rows: Column | None = None, batch_rows: int = BATCH_ROWS) -> bool:
+    """Build and write the missing products; false when there was nothing to do.
+
+    The finished keys come from the product's ledger, not from its rows.  With ``rows``, an estimate of what a key
+    of the work list gives, keys are built in batches of about ``batch_rows`` (or one key), each a commit of its own:
+    a stopped run goes on behind the last one.  One writer at a time works on a product.
+    """
+    todo = materialize_missing(work, None if ignore_existing else existing_keys(spark, path, work, keys), keys)
+    todo = settle(todo.select(*keys, (rows if rows is not None else F.lit(0)).cast("double").alias("_rows")).distinct(), "work")
+    batches = _batches(todo, keys, batch_rows)
+    for batch in batches:
+        part = todo.join(batch, list(keys), "left_semi").select(*keys)
+        ledger.commit(build(part), path, keys, part)
+    return bool(batches)
+
+
+def _batches(todo: DataFrame, keys: Sequence[str], batch_rows: int) -> list[DataFrame]:
+    """The work list cut into parts of about ``batch_rows`` estimated rows, in the order of the keys.
+
+    Running totals are formed within the first key, and the driver only sees the cuts.
+    """
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy(keys[0]).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    cut = settle(todo.withColumn("_cut", F.floor(before / batch_rows).cast("long")), "cuts")
+    runs: list[list[tuple]] = []
+    size = 0.0
+    for r in cut.groupBy(keys[0], "_cut").agg(F.sum("_rows").alias("_rows")).orderBy(keys[0], "_cut").collect():
+        if not runs or size + r["_rows"] > batch_rows:
+            runs.append([])
+            size = 0.0
+        runs[-1].append((r[0], r["_cut"]))
+        size += r["_rows"]
+    hit = lambda run: reduce(Column.__or__, [F.col(keys[0]).eqNullSafe(F.lit(k)) & (F.col("_cut") == c) for k, c in run])
+    return [cut.filter(hit(run)).select(*keys) for run in runs]
