@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, low digits left out of the bitmaps, and the range to which scaled components saturate.
-BLOCK_ROWS, LEFT_OUT, LARGEST = 16384, 1, 1 << 26
-FOUND = "query_id long, vec_id long, score long"
+from gridspark.scratch import settle
+
+#: Rows of a block, queries that a task asks of it, low digits left out of the bitmaps, and the largest scaled component that is sliced.
+BLOCK_ROWS, CHUNK_QUERIES, LEFT_OUT, LARGEST = 16384, 1024, 1, 1 << 26
+FOUND = "query_id long, vec_id long, score long, copies long"
+LONGEST = (1 << 63) - 1
 
 
 class SlicedBlock:
@@ -85,6 +88,11 @@ class SlicedBlock:
 
     def top(self, query_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows but the query's own, ties to the smaller id."""
+        rows, scores = self.top_rows(query_id, weights, k)
+        return self.ids[rows], scores
+
+    def top_rows(self, query_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same as numbers of rows in the order of ids."""
         live = self.all
         a, b = np.searchsorted(self.ids, query_id), np.searchsorted(self.ids, query_id, side="right")
         if a < b:
@@ -102,7 +110,7 @@ class SlicedBlock:
             kept = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
             rows, scores = rows[kept], scores[kept]
         best = np.lexsort((rows, -scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        return rows[best], scores[best]
 
     def _near_top(self, live: np.ndarray, slices: list[np.ndarray], weight: int, k: int) -> np.ndarray:
         """Rows that may be among the k best: from the top slice down, then as many steps lower as digits are missing."""
@@ -125,10 +133,65 @@ class SlicedBlock:
         return above | even
 
 
+def exact_top(ids: np.ndarray, vectors: np.ndarray, query_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+    """(rows, scores) of the k best rows but the query's own for whole numbers of any size, held as floating-point numbers.
+
+    Products in floating point with a bound of their error leave the rows that may be among the best; those are scored
+    with Python's integers.
+    """
+    rows = np.flatnonzero(ids != query_id)
+    if not len(rows):
+        return rows, []
+    own = vectors[rows]
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = own @ weights
+        error = (np.abs(own) @ np.abs(weights)) * (len(weights) + 4) * 2.0 ** -52
+        low, high = near - error, near + error
+    low, high = np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
+    if len(rows) > k:
+        some = high >= np.partition(low, len(rows) - k)[len(rows) - k]
+        rows, own = rows[some], own[some]
+    w = [int(x) for x in weights.tolist()]
+    scores = [sum(int(a) * b for a, b in zip(x, w, strict=True)) for x in own.tolist()]
+    best = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
+    return rows[best], [scores[i] for i in best]
+
+
+class Block:
+    """A block's rows of one length: the sliced ones, and the few with components beyond them."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bool, int]], n: int, left_out: int):
+        small, large = ([r for r in rows if r[2] == big] for big in (False, True))
+        column = lambda some, i: np.array([r[i] for r in some], np.int64)
+        order = np.argsort(column(small, 0), kind="stable")
+        small = [small[i] for i in order]
+        self.sliced = SlicedBlock(column(small, 0), np.frombuffer(b"".join(r[1] for r in small), "<i8").reshape(len(small), n), left_out) if small else None
+        self.copies = column(small, 3)
+        self.ids, self.large_copies = column(large, 0), column(large, 3)
+        self.large = np.frombuffer(b"".join(r[1] for r in large), "<f8").reshape(len(large), n)
+
+    def top(self, query_id: int, data: bytes, big: bool, k: int) -> list[tuple[int, int, int]]:
+        """(id, score, copies) of the k best rows and perhaps some more."""
+        out = []
+        weights = np.frombuffer(data, "<f8" if big else "<i8")
+        if self.sliced is not None:
+            if big:
+                rows, scores = exact_top(self.sliced.ids, self.sliced.exact, query_id, weights, k)
+            else:
+                rows, scores = self.sliced.top_rows(query_id, weights, k)
+                scores = scores.tolist()
+            out += zip(self.sliced.ids[rows].tolist(), scores, self.copies[rows].tolist(), strict=True)
+        if len(self.ids):
+            rows, scores = exact_top(self.ids, self.large, query_id, weights.astype(np.float64), k)
+            out += zip(self.ids[rows].tolist(), scores, self.large_copies[rows].tolist(), strict=True)
+        return out
+
+
 def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, n, v): valid vectors with every component floor(scale * x), packed as 64-bit integers.
+    """(vec_id, n, v, big): valid vectors with every component floor(scale * x), packed as 64-bit integers.
 
-    Vectors without id, null, or with a null or non-finite component take no part; components saturate at +-2^26.
+    Vectors without id, null, or with a null or non-finite component take no part.  A vector with a component beyond
+    ``LARGEST`` is ``big`` and packed as floating-point numbers, which hold these whole numbers exactly.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,53 +203,58 @@ def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
             ends = np.cumsum(np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0))
             starts = ends - np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
             with np.errstate(invalid="ignore", over="ignore"):
-                whole = np.clip(np.nan_to_num(np.floor(x * scale), posinf=LARGEST, neginf=-LARGEST), -LARGEST, LARGEST).astype("<i8")
+                whole = np.floor(x * scale)
+                wide = np.append(0, np.cumsum(np.abs(whole) > LARGEST))
+                narrow = np.where(np.abs(whole) <= LARGEST, whole, 0).astype("<i8")
             ok = column.is_valid().to_numpy(zero_copy_only=False) & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False) & (bad[ends] == bad[starts])
             keep = np.flatnonzero(ok)
+            big = (wide[ends] != wide[starts])[keep]
+            packed = [(whole if b else narrow)[starts[i]:ends[i]].tobytes() for i, b in zip(keep.tolist(), big.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(keep)), pa.array((ends - starts)[keep], pa.int32()),
-                 pa.array([whole[starts[i]:ends[i]].tobytes() for i in keep], pa.binary())], ["vec_id", "n", "v"])
+                [batch.column("vec_id").take(pa.array(keep)), pa.array((ends - starts)[keep], pa.int32()), pa.array(packed, pa.binary()), pa.array(big)],
+                ["vec_id", "n", "v", "big"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")) \
-        .mapInArrow(run, "vec_id long, n int, v binary")
+        .mapInArrow(run, "vec_id long, n int, v binary, big boolean")
 
 
-def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = BLOCK_ROWS, left_out: int = LEFT_OUT) -> DataFrame:
+def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = BLOCK_ROWS, left_out: int = LEFT_OUT,
+                       chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each query, the rows whose vec_id is divisible by ``every``.
 
-    Rows are dealt evenly into blocks of about ``block_rows``; every block gets the set of queries, and keeps its k best
-    rows for each, which are merged by query.  Vectors meet only those of their length.  Rows with the query's
-    vec_id are its own and no candidates.  Rows repeated under another vec_id are candidates each; equal rows under one
-    vec_id are one row.  Other columns are ignored; an empty table gives no rows.
+    Rows are dealt evenly into blocks of about ``block_rows``, queries into chunks; a task asks one chunk of one block,
+    and the k best rows of each are merged by query.  Vectors meet only those of their length.  Rows with the query's
+    vec_id are its own and no candidates.  Every row is a candidate for itself: one that stands twice is found twice,
+    and a query that stands twice finds each row twice.  Scores are exact; one that is no long is given as the nearest
+    long.  Other columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    blocks = max(1, -(-vectors.count() // block_rows))
-    rows = integer_vectors(vectors).distinct()
-    own = rows.select((F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))).cast("int").alias("_block"), F.lit(0).alias("_query"), "vec_id", "n", "v")
-    asked = rows.filter(F.col("vec_id") % every == 0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.lit(1).alias("_query"), "vec_id", "n", "v")
-    dealt = own.unionByName(asked).repartitionById(blocks, F.col("_block")).sortWithinPartitions("_block", "_query", "n", "vec_id")
+    rows = settle(integer_vectors(vectors).groupBy("vec_id", "n", "v", "big").agg(F.count("*").alias("times")), "vectors")
+    asking = rows.filter(F.col("vec_id") % every == 0)
+    blocks, chunks = max(1, -(-rows.count() // block_rows)), max(1, -(-asking.count() // chunk_queries))
+    columns = ["vec_id", "n", "v", "big", "times"]
+    part = lambda salt, many: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(many)).cast("int")
+    every_of = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    own = rows.select(part(0, blocks).alias("_block"), every_of(chunks).alias("_chunk"), F.lit(0).alias("_query"), *columns)
+    asked = asking.select(part(1, chunks).alias("_chunk"), every_of(blocks).alias("_block"), F.lit(1).alias("_query"), *columns)
+    dealt = own.unionByName(asked).withColumn("_task", F.col("_block") * chunks + F.col("_chunk")).drop("_block", "_chunk")
+    dealt = dealt.repartitionById(blocks * chunks, F.col("_task")).sortWithinPartitions("_task", "_query", "n", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: dict[int, tuple[list, list]] = {}
-        made: dict[int, SlicedBlock] = {}
+        gathered: dict[int, list] = {}
+        made: dict[int, Block] = {}
         for batch in batches:
             at, out = batch.to_pydict(), []
-            for query, vec_id, n, v in zip(at["_query"], at["vec_id"], at["n"], at["v"], strict=True):
+            for query, vec_id, n, v, big, times in zip(*(at[c] for c in ("_query", *columns)), strict=True):
                 if not query:
-                    ids, values = gathered.setdefault(n, ([], []))
-                    ids.append(vec_id)
-                    values.append(v)
+                    gathered.setdefault(n, []).append((vec_id, v, big, times))
                     continue
                 if n in gathered:
-                    ids, values = gathered.pop(n)
-                    made[n] = SlicedBlock(np.array(ids, np.int64), np.frombuffer(b"".join(values), "<i8").reshape(len(ids), n), left_out)
+                    made[n] = Block(gathered.pop(n), n, left_out)
                 if n in made:
-                    found, scores = made[n].top(vec_id, np.frombuffer(v, "<i8"), k)
-                    out.append((np.full(len(found), vec_id), found, scores))
+                    out += [(vec_id, i, max(-LONGEST - 1, min(LONGEST, s)), min(k, c * times)) for i, s, c in made[n].top(vec_id, v, big, k)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score", "copies"])
 
-    found = dealt.mapInArrow(run, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(run, FOUND).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

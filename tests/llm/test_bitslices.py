@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridspark.llm.bitslices import LARGEST, SlicedBlock, top_inner_products
+from gridspark.llm.bitslices import SlicedBlock, top_inner_products
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n int, rank int, score double"
 
@@ -42,14 +42,15 @@ def test_top_inner_products(spark, block_rows):
     rows += [(i, rows[7][1]) for i in range(300, 420)]  # a large tie
     rows += [(500, None), (520, [1.0, None] * 4), (540, [float("nan")] * 8), (560, [float("inf")] * 8), (None, [1.0] * 8), (580, []), (600, [1.0, 2.0]),
              (601, [3.0, -1.0]), (620, [1e30, -1e30]), (20, rows[20][1]), (640, [])]
+    rows += [(641, rows[9][1])] * 3 + [(660, [2.0 ** 21] * 3), (661, [2.0 ** 21 + 5, 2.0 ** 21, -7.5]), (662, [2.0 ** 21, 2.0 ** 20, 2.0 ** 22]), (663, [1.0, 2.0, 3.0])] + [(664, [2.0 ** 24] * 3)] * 2
     df = spark.createDataFrame([(*x, 1, 1, 1, 1.0) for x in rows], SCHEMA).repartition(5)
-    scaled = {(i, tuple(max(-LARGEST, min(LARGEST, math.floor(64 * float(np.float32(v))))) for v in x)) for i, x in rows
-              if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)}
+    scaled = [(i, tuple(math.floor(64 * float(np.float32(v))) for v in x)) for i, x in rows
+              if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
     expected = []
-    for i, x in sorted(scaled):
-        if i % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in scaled if len(y) == len(x) and j != i)[:20]
-            expected += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    whole = lambda s: max(-2 ** 63, min(2 ** 63 - 1, s))
+    for i in sorted({i for i, _ in scaled if i % 20 == 0}):  # all rows of a query's id ask, and every row is found for itself
+        best = sorted((-whole(sum(a * b for a, b in zip(x, y, strict=True))), j) for q, x in scaled if q == i for j, y in scaled if len(y) == len(x) and j != i)[:20]
+        expected += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
     assert sorted(map(tuple, top_inner_products(df, block_rows=block_rows).collect())) == sorted(expected)
 
 
