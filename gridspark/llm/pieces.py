@@ -3,13 +3,13 @@
 Both vocabularies used here cut a text before a space that follows a character other than white space, whatever
 stands around it.  So a text is encoded piece by piece between such spaces, and only pieces that a worker hasn't seen
 go to the library.  The cache is a hash table in arrays, from a piece's 64-bit hash to its ids, and is asked for all
-pieces of many texts at once.  Texts with other white space, or with runs of it, are encoded whole.
+pieces of many texts at once.  Texts with other white space, with runs of it, or with the string of a special token
+(which gives that token's id, as in the library's plain call) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
@@ -37,9 +37,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)))
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.sentinel = self.library.token_to_id(SENTINEL)
         self.spaced = spaced
         self._clear()
@@ -54,19 +52,11 @@ class PieceEncoder:
 
     def _new(self, pieces: list[str]) -> list[np.ndarray]:
         """ids of pieces, many at a time: the library cuts texts at special tokens before anything else."""
-        clean = not self.special.search("\n".join(pieces))
-        plain = [i for i, p in enumerate(pieces) if clean or not self.special.search(p)]
-        out: list = [None] * len(pieces)
-        self.library.encode_special_tokens = False
-        joined = [SENTINEL.join([pieces[i] for i in plain[at:at + JOINED]]) for at in range(0, len(plain), JOINED)]
-        for at, ids in zip(range(0, len(plain), JOINED), self._ids(joined), strict=True):
+        out: list = []
+        joined = [SENTINEL.join(pieces[at:at + JOINED]) for at in range(0, len(pieces), JOINED)]
+        for ids in self._ids(joined):
             cut = np.flatnonzero(ids == self.sentinel).tolist()
-            for i, a, b in zip(plain[at:at + JOINED], [-1, *cut], [*cut, len(ids)], strict=True):
-                out[i] = ids[a + 1:b]
-        self.library.encode_special_tokens = True
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._ids([pieces[i] for i in rest]), strict=True):
-            out[i] = ids
+            out += [ids[a + 1:b] for a, b in zip([-1, *cut], [*cut, len(ids)], strict=True)]
         return out
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
@@ -103,14 +93,14 @@ class PieceEncoder:
             at = np.where(self.keys[at] != 0, at + 1 & PLACES - 1, at)
 
     def _odd(self, datas: list[bytes]) -> np.ndarray:
-        """Texts with white space other than single spaces between words, and line feeds."""
+        """Texts with white space other than single spaces between words, and line feeds, or with a special token's string."""
         data = np.frombuffer(b"\xff".join([*datas, b""]), np.uint8)
         at = _OTHER_SPACE[data]
         at[:-1] |= ((data[:-1] == 32) | (data[:-1] == 10)) & (data[1:] == 32)
         odd = np.zeros(len(datas), bool)
         odd[np.searchsorted(np.flatnonzero(data == 0xFF), np.flatnonzero(at))] = True
         for i, x in enumerate(datas):
-            odd[i] |= not x.isascii() and any(s in x for s in _LONG_SPACES)
+            odd[i] |= any(s in x for s in self.special) or not x.isascii() and any(s in x for s in _LONG_SPACES)
         return odd
 
     def encode(self, texts: list[str]) -> list[bytes]:

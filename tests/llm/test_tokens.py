@@ -98,7 +98,6 @@ def test_records_round_trip(spark, seed):
     records.write_records(df, path, BYTE, parts=4)
     got = records.read_records(spark, path, seed).orderBy("start").collect()
     library = Tokenizer.from_file(BYTE)
-    library.encode_special_tokens = True
     order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start = 0
     for r, (doc_id, text, *_) in zip(got, order, strict=True):
@@ -131,7 +130,6 @@ def test_packing(spark):
     df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
     got = packing.pack(df, WORD, 2, keep_ids=True).cache()
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
     whole = sorted((doc_id is not None, doc_id or 0, ids) for doc_id, text, *_ in rows() for ids in [[*library.encode(text or "", add_special_tokens=False).ids, 2]])
     assert got.filter("start = 0").count() == len(whole)
     assert got.selectExpr("sum(length)").first()[0] == sum(len(x) for *_, x in whole)
