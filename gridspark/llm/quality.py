@@ -145,13 +145,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``score`` predicts to be of quality, with all their columns."""
+    """The rows of ``docs`` that ``score`` predicts to be of quality, with all their columns.
+
+    Without two labels of either kind there is no model, and all rows stay.  Null and empty texts are scored as empty ones;
+    null ids and repeated rows are judged each by its text; columns of any other name are kept and not read; an empty
+    table stays empty.
+    """
     hashes, values = model(docs, labels)
-    return classify.keep_documents(docs, features, values, hashes, lambda x: x >= THRESHOLD)
+    return classify.keep_documents(docs, features, values, hashes, lambda x: x >= THRESHOLD) if len(hashes) else docs
 
 
 def model(docs: DataFrame, labels: DataFrame):
-    """(feature hashes, function to scores)."""
+    """(feature hashes, function to scores); without hashes there is nothing that tells texts apart."""
     hashes, ratios, w, slope, offset = train(docs, labels)
 
     def values(columns: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

@@ -123,12 +123,17 @@ def score(docs: DataFrame, labels: DataFrame, identities: list[list[str]] = IDEN
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, identities: list[list[str]] = IDENTITIES) -> DataFrame:
-    """The rows of ``docs`` that ``score`` does not predict to be toxic, with all their columns."""
+    """The rows of ``docs`` that ``score`` does not predict to be toxic, with all their columns.
+
+    Without labels of both kinds there is no model, and all rows stay.  Null and empty texts are scored as empty ones;
+    null ids and repeated rows are judged each by its text; columns of any other name are kept and not read; an
+    empty table stays empty.
+    """
     hashes, values = model(docs, labels, identities)
-    return classify.keep_documents(docs, features, values, hashes, lambda x: x < THRESHOLD)
+    return classify.keep_documents(docs, features, values, hashes, lambda x: x < THRESHOLD) if len(hashes) else docs
 
 
 def model(docs: DataFrame, labels: DataFrame, identities: list[list[str]]):
-    """(feature hashes, function to scores)."""
+    """(feature hashes, function to scores); without hashes there is nothing that tells texts apart."""
     hashes, weights, intercept = train(docs, labels, identities)
     return hashes, lambda columns, rows, n: classify.sigmoid(np.bincount(rows, weights[columns], n) + intercept)
