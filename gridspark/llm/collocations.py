@@ -115,10 +115,13 @@ def active(phrases: Phrases, step: int, shards: int, filter_: np.ndarray, most_w
         when = np.full(n + 1, _NEVER, np.uint8)
         when[places] = reached(own, filter_)
         some = places[when[places] != _NEVER]
+        begin = np.zeros(n + 1, np.int64)
+        begin[places] = first
         places = some[(when[some + 1] != _NEVER) & phrases.goes_on[np.minimum(some + words - 1, n - 1)]]
         if not len(places):
             return
-        first = np.maximum(when[places], when[places + 1]).astype(np.int64) + 1
+        # a false positive may have an early step, but no phrase starts before its subphrases do
+        first = np.maximum(np.maximum(when[places], when[places + 1]).astype(np.int64) + 1, np.maximum(begin[places], begin[places + 1]))
         own = phrases.hashes(places, words + 1)
 
 
