@@ -268,6 +268,19 @@ def decade_pvalues(means: DataFrame, baseline: DataFrame, variability: DataFrame
     return stats.decade_pvalues(full, baseline, std, land, keys)
 
 
+def country_exposure(maps: DataFrame, population: DataFrame, cells: DataFrame, boundaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cell_id, country, value): persons exposed (in millions), summed per country and written back to its cells.
+
+    Country and persons of a cell are found once; rows meet them in one join and only totals are joined back.  Cells
+    of no country get 0.
+    """
+    places = spatial.assign_country(cells, boundaries).join(population.select("cell_id", "persons"), "cell_id")
+    rows = maps.join(settle(places, "places"), "cell_id").withColumn("value", F.col("value") * F.col("persons") / 1e6).drop("persons")
+    totals = rows.filter(F.col("country") != 0).groupBy(*keys, "country").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("_total"))
+    back = rows.join(settle(totals, "country-exposure"), [*keys, "country"], "left")
+    return back.withColumn("value", F.coalesce("_total", F.lit(0.0))).select(*keys, "cell_id", "country", "value")
+
+
 # -- gap, delta, injection ---------------------------------------------------------------------
 
 def temp_gap(tas_map: DataFrame, cells: DataFrame, target_tenths: tuple[int, int] | Sequence[int]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators import spatial, stats, timeops
@@ -10,6 +10,7 @@ from gridspark.operators.align import blocked_product
 from gridspark.plans import adapters as A
 from gridspark.plans import products as P
 from gridspark.plans import vectors as V
+from gridspark.plans.queries_fields import _COUNTRY
 from gridspark.plans.queries_statistics import _DRAWS, _MAPS, BAND_PARAMS, KERNEL, band_params, scenario_maps, smooth_sql
 from gridspark.plans.registry import query, r, rounded
 from gridspark.scratch import scratch_path, settle
@@ -322,6 +323,45 @@ def custom_injection_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.custom_injection_delta(annual, params, climate, patterns, 2035), "value")
 
 
+def band_patterns(spark: SparkSession, sf_dir: str, slopes: dict[str, Column]) -> DataFrame:
+    """(variable, band, cell_id, slope) for every band, from a column of lat and band per variable."""
+    both = blocked_product(A.cells(spark, sf_dir).select("cell_id", "lat"), band_params(spark, sf_dir).select("band"), "cell_id")
+    own = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), c.alias("slope")) for v, c in slopes.items()])).alias("x")
+    return both.select("band", "cell_id", own).select("x.variable", "band", "cell_id", "x.slope")
+
+
+def climate_params(spark: SparkSession, sf_dir: str, *variables: str) -> DataFrame:
+    return band_params(spark, sf_dir).select(F.explode(F.array(*map(F.lit, variables))).alias("variable"), "band", "tau", "mu")
+
+
+_BANDS = dict(h_params=BAND_PARAMS, h_kernel=KERNEL.replace("a_injection", "h_monthly"), h_monthly=_MONTHLY_INJECTION, h_response=_ANNUAL_RESPONSE, h_aod="""
+select a.band, a.k, coalesce(sum(beta * m.value * exp(-(alpha + gamma * m.value) * (a.k - m.k + 1))), 0) as value
+from h_monthly a join h_params using (band) left join h_monthly m on m.band = a.band and m.k <= a.k group by a.band, a.k""")
+
+
+@query("custom_injection_p_minus_e", f"""
+select v.variable, cast(year as int) as year, c.cell_id, {r("""sum(driver * case v.variable when 'pr' then c.lat / 50 + length(r.band) when 'e' then c.lat / 90 - length(r.band) / 7e0
+  else c.lat / 50 + length(r.band) - (c.lat / 90 - length(r.band) / 7e0) end)""")} as value
+from h_response r cross join a_cells c, (values ('pr'), ('e'), ('p-e')) v(variable) group by v.variable, year, c.cell_id""", **_BANDS)
+def custom_injection_p_minus_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    annual = A.injection(spark, sf_dir).groupBy("band", (F.floor(F.col("k") / 6) + 2035).cast("int").alias("year")).agg(F.sum("value").alias("value"))
+    n = F.length("band")
+    patterns = band_patterns(spark, sf_dir, {"pr": F.col("lat") / 50 + n, "e": F.col("lat") / 90 - n / F.lit(7.0)})
+    return rounded(P.custom_injection_delta(annual, band_params(spark, sf_dir), climate_params(spark, sf_dir, "pr", "e"), patterns, 2035, p_minus_e=True), "value")
+
+
+_COUNTRY_TOTAL = "sum(value * persons / 1000000) over (partition by variable, experiment, member, year, c.country)"
+
+
+@query("country_exposure", f"""
+select variable, experiment, member, year, a.cell_id, c.country, case when c.country = 0 then 0 else {r(_COUNTRY_TOTAL)} end as value
+from a_annual a join h_country c on a.cell_id = c.cell_id join a_population p on p.cell_id = a.cell_id""", h_country=_COUNTRY)
+def country_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, population = A.cells(spark, sf_dir), A.population(spark, sf_dir)
+    out = P.country_exposure(A.annual(spark, sf_dir), population, cells, A.region_edges(spark, sf_dir), ["variable", "experiment", "member", "year"])
+    return rounded(out, "value")
+
+
 @query("pvalue_maps", f"""
 select variable, scenario, cell_id, decade_end, {r('''case when sd = 0 then (case when m1 = m2 then 1 else 0 end) else greatest(0, 1 - sqrt(r2 / (1 + r2)) * list_sum(list_transform(range(0, 62),
   lambda k: exp(lgamma(2e0 * k + 1) - 2 * lgamma(k + 1e0) - 2e0 * k * ln(2e0) - k * ln(1 + r2))))) end''', 5)} as p_value from (
@@ -420,6 +460,66 @@ def variability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.variability_summary(natural, ["tas", "tas_above_35", "exposure_above_35"], i.population, i.land), "value")
 
 
+# -- summary of custom injections --------------------------------------------------------------
+
+_CUSTOM = dict(**H, **(_BANDS | dict(
+    h_monthly=_MONTHLY_INJECTION.replace("value / 12 as value", "case when y = 0 then 0 else value / 12 end as value"),
+    h_response=_ANNUAL_RESPONSE.replace("2035", "1997"))), h_custom="""
+select v.variable, cast(r.year as int) as year, c.cell_id, sum(v.s * (c.lat / 5000 + length(r.band) / 100e0) * driver) as value
+from h_response r cross join a_cells c, (values ('tas', 1e0, false), ('pr', 2e0, true)) v(variable, s, land)
+where not v.land or c.cell_id in (select cell_id from a_land) group by v.variable, r.year, c.cell_id""", h_whole=_WHOLE)
+
+
+def custom_summary(spark: SparkSession, sf_dir: str) -> P.Summary:
+    """Injections begin in the second year; until then the intervention is the projection without it."""
+    i = Inputs(spark, sf_dir)
+    base = i.base()
+    past = P.subtract_baseline(i.history().filter("variable in ('tas', 'pr') and year < 1996"), base)
+    amount = F.when(F.col("k") < 6, F.lit(0.0)).otherwise(F.col("value"))
+    injection = A.injection(spark, sf_dir).groupBy("band", (F.floor(F.col("k") / 6) + 1997).cast("int").alias("year")).agg(F.sum(amount).alias("value"))
+    shape = F.col("lat") / 5000 + F.length("band") / F.lit(100.0)
+    return V.custom_summary(i.coef(), i.series, ["tas", "pr"], i.cells, i.land, base, injection, band_params(spark, sf_dir), climate_params(spark, sf_dir, "tas", "pr"),
+                            band_patterns(spark, sf_dir, {"tas": shape, "pr": 2 * shape}), 1997, 1997, (1998, 2000), first_projected=1996, history=past)
+
+
+@query("custom_summary_maps", f"""
+select m.variable, m.scenario, m.cell_id, {r('m.mean', 4)} as mean, {r('d.delta_mean', 4)} as delta_mean, true as inside
+from (select variable, scenario, cell_id, avg(value) as mean from h_map where year between 1998 and 2000 and variable in ('tas', 'pr') group by all) m
+join (select variable, cell_id, avg(value) as delta_mean from h_custom where year between 1998 and 2000 group by all) d using (variable, cell_id)""", **_CUSTOM)
+def custom_summary_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(custom_summary(spark, sf_dir).maps, "mean", "delta_mean", digits=4)
+
+
+@query("custom_summary_series", f"""
+with recursive {smooth_sql('h_whole', 'id', 'year', 'value')},
+  l as (select distinct variable, scenario from h_map where variable in ('tas', 'pr')),
+  s as (select l.variable, l.scenario, cast(s.t as int) as year, s.value from smoothed s join l on s.id = concat(l.variable, ':', l.scenario)),
+  w as (select m.variable, m.scenario, m.year, sum((m.value + d.value) * cos(radians(lat))) / sum(cos(radians(lat))) as value
+        from h_map m join h_custom d using (variable, year, cell_id) join a_cells using (cell_id) where m.year >= 1997 group by all)
+select variable, scenario, 'historical_model' as kind, year, {r('value', 4)} as value from s where year <= 1997
+union all select variable, scenario, 'no_sai', year, {r('value', 4)} from s where year >= 1997
+union all select w.variable, w.scenario, 'with_sai', w.year, {r('case when w.year < 1998 then s.value else w.value end', 4)} from w left join s using (variable, scenario, year)""", **_CUSTOM)
+def custom_summary_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(custom_summary(spark, sf_dir).series, "value", digits=4)
+
+
+# -- bucketed products -------------------------------------------------------------------------
+
+@query("write_bucketed", f"""
+with s as (select v.variable, s.cell_id, case when v.people then s.slope * p.persons / 1000000 else s.slope end as push, v.land from h_slopes s
+  join (values ('tas', 'tas', false, false), ('pr', 'pr', true, false), ('tas_above_35', 'tas_above_35', true, false), ('exposure_above_35', 'tas_above_35', true, true)) v(variable, source, land, people)
+    on v.source = s.variable left join a_population p on p.cell_id = s.cell_id)
+select s.variable, s.cell_id, {r('s.push', 4)} as push, {r("case when s.variable in ('tas', 'pr') then b.value else 0 end", 4)} as base
+from s left join h_base b using (variable, cell_id) where (not s.land or s.cell_id in (select cell_id from a_land)) and s.push is not null""", **H)
+def write_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = Inputs(spark, sf_dir)
+    own = V.own_patterns(i.coef(), VARIABLES, i.land, i.population)
+    push = V.push_patterns(i.slopes().withColumn("component", F.lit("gap")), VARIABLES, i.land, i.population)
+    stored = [grid.write_bucketed(d, ["variable", "cell_id"], 8, label) for d, label in ((own, "own"), (push, "push"), (i.base(), "base"))]
+    out = V.joined_patterns(*stored).select("variable", "cell_id", F.element_at("push", 1).alias("push"), "base")
+    return rounded(out, "push", "base", digits=4)
+
+
 # -- further parts of the summary --------------------------------------------------------------
 
 @query("summary_gap", f"select scenario, target_tenths, year, {r('temp_diff', 5)} as temp_diff from h_gap", **H)

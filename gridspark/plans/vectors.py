@@ -47,16 +47,37 @@ def vectors(coef: DataFrame, series: DataFrame, variables: Sequence[str], cells:
 
     Keys of ``gates`` may be variable, scenario and others; every scenario of ``series`` gets gates that name none.
     """
-    own = P.land_and_people(P.expand_variables(P.mean_coefs(coef, model), variables), land, population, ["slope", "intercept"])
+    own, push = own_patterns(coef, variables, land, population, model), push_patterns(pushes, variables, land, population)
+    return assemble(own, push, baseline, cells, series, gates, first_year, last_year)
+
+
+def own_patterns(coef: DataFrame, variables: Sequence[str], land: DataFrame, population: DataFrame | None, model: str | None = None) -> DataFrame:
+    """(variable, cell_id, slope, intercept) of the wanted variables."""
+    return P.land_and_people(P.expand_variables(P.mean_coefs(coef, model), variables), land, population, ["slope", "intercept"]) \
+        .select("variable", "cell_id", "slope", "intercept")
+
+
+def push_patterns(pushes: DataFrame, variables: Sequence[str], land: DataFrame, population: DataFrame | None) -> DataFrame:
+    """(variable, cell_id, push): slopes of all components of an intervention, in the components' order."""
     push = P.land_and_people(P.expand_variables(pushes, variables), land, population, ["slope"])
     push = push.groupBy("variable", "cell_id").agg(F.array_sort(F.collect_list(F.struct("component", "slope"))).alias("_p"))
-    out = own.join(push.select("variable", "cell_id", F.col("_p.slope").alias("push")), ["variable", "cell_id"], "left")
-    if baseline is not None:
-        out = out.join(baseline.select("variable", "cell_id", F.col("value").alias("_base")), ["variable", "cell_id"], "left")
-        out = out.withColumn("base", F.when(variable_flag(F.col("variable"), "rebase"), F.col("_base")).otherwise(F.lit(0.0))).drop("_base")
-    else:
-        out = out.withColumn("base", F.lit(0.0))
-    out = settle(out.join(cells.select("cell_id", "lat"), "cell_id"), "patterns")
+    return push.select("variable", "cell_id", F.col("_p.slope").alias("push"))
+
+
+def joined_patterns(own: DataFrame, push: DataFrame, baseline: DataFrame | None) -> DataFrame:
+    """(variable, cell_id, slope, intercept, push, base); tables that are bucketed by variable and cell meet as they lie."""
+    keys = ["variable", "cell_id"]
+    out = own.join(push, keys, "left")
+    if baseline is None:
+        return out.withColumn("base", F.lit(0.0))
+    out = out.join(baseline.select(*keys, F.col("value").alias("_base")), keys, "left")
+    return out.withColumn("base", F.when(variable_flag(F.col("variable"), "rebase"), F.col("_base")).otherwise(F.lit(0.0))).drop("_base")
+
+
+def assemble(own: DataFrame, push: DataFrame, baseline: DataFrame | None, cells: DataFrame, series: DataFrame, gates: DataFrame,
+             first_year: int = FIRST_PROJECTED_YEAR, last_year: int = LAST_YEAR) -> Vectors:
+    """Vectors from patterns that exist already, such as stored ones."""
+    out = settle(joined_patterns(own, push, baseline).join(cells.select("cell_id", "lat"), "cell_id"), "patterns")
     drivers = settle(series.filter(F.col("year").between(first_year, last_year)).select("scenario", "year", F.col("driver").alias("d")), "drivers")
     points = lambda *c: F.array_sort(F.collect_list(F.struct(*c))).alias("points")
     axis = drivers.groupBy("scenario").agg(points("year", "d"))

@@ -6,6 +6,7 @@ dotted convention ``<case>.<member>.<component>.<h0|h1>.<field>.<from>-<to>``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -84,6 +85,17 @@ def write_grid(df: DataFrame, path: str, by: Sequence[str]) -> None:
         .partitionBy(*by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, by: Sequence[str], buckets: int, label: str = "product") -> DataFrame:
+    """Write a product as a table of ``buckets`` buckets by the hash of ``by``, its files sorted by them, and return it.
+
+    Products that are bucketed alike join on these keys where they lie, without an exchange.  The table lies in the
+    warehouse under a name of its own; rows of a bucket are one file, however many tasks there were.
+    """
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_grid(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A written product; of one with a ledger the finished keys. With ``schema`` key labels such as "1.0" or "001" stay text."""
     rows = ledger.read(spark, path)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import known, population_lon
+from gridspark.scratch import settle
 
 _POINTS = "array<array<double>>"
 _SPECIES_FLAGS = ("greenhouse_gas", "aerosol_chemistry_from_emissions", "aerosol_chemistry_from_concentration")
@@ -104,20 +106,85 @@ def scan_commented_text(spark: SparkSession, path: str, columns: Sequence[str] =
     return out.withColumn(columns[0], F.col(columns[0]).cast("int"))
 
 
+def scan_features(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, text): the features of GeoJSON documents as texts, numbered from 0 in each, read by many tasks.
+
+    A document is cut at closing braces, so that its blocks are read like those of any text.  What a piece does to the
+    state of the reader, inside or outside a string and how deep in brackets, is a small map for either start; the maps
+    of whole blocks are composed over the blocks, and pieces are only ordered within their block.  A feature is what lies
+    three brackets deep (document, list, feature) and says that it is one.
+    """
+    here = ["file", "block"]
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    parts = F.split(F.regexp_replace("value", r"\\.", ""), '"')
+    raw = raw.withColumns({"_out": F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), ""), "_in": F.array_join(F.filter(parts, lambda x, i: i % 2 == 1), ""),
+                           "flips": (F.size(parts) - 1) % 2})
+    count = lambda c, signs: F.length(c) - F.length(F.translate(c, signs, ""))
+    deeper = lambda c: count(c, "{[") - count(c, "]")
+    # what a piece adds to the depth if it starts outside (inside) a string; its brace counts if it ends outside
+    raw = raw.withColumns({"open0": deeper(F.col("_out")), "open1": deeper(F.col("_in"))}).drop("_out", "_in")
+    rows = settle(raw, "pieces")
+    order = W.partitionBy(*here).orderBy("i")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    by_state = lambda start, odd: F.when((F.col(start) + F.lit(odd)) % 2 == 0, F.col("open0") - (1 - F.col("flips"))).otherwise(F.col("open1") - F.col("flips"))
+    flipped = rows.withColumn("_flips", total("flips"))
+    blocks = flipped.groupBy(*here).agg(F.sum("flips").alias("flips"), F.sum(by_state("_flips", 0)).alias("d0"), F.sum(by_state("_flips", 1)).alias("d1"))
+    along = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_state", F.coalesce(F.sum("flips").over(along), F.lit(0)) % 2)
+    blocks = blocks.withColumn("_depth0", F.coalesce(F.sum(F.when(F.col("_state") == 0, F.col("d0")).otherwise(F.col("d1"))).over(along), F.lit(0)))
+    placed = flipped.join(settle(blocks.select(*here, "_state", "_depth0"), "blocks"), here)
+    placed = placed.withColumn("_s", (F.col("_flips") + F.col("_state")) % 2)
+    opens = F.when(F.col("_s") == 0, F.col("open0")).otherwise(F.col("open1"))
+    closes = ((F.col("_s") + F.col("flips")) % 2 == 0).cast("int")
+    placed = placed.withColumns({"_opens": opens, "_step": opens - closes})
+    placed = placed.withColumn("_depth", F.col("_depth0") + total("_step"))
+    placed = placed.withColumn("_starts", ((F.col("_depth") < 3) & (F.col("_depth") + F.col("_opens") >= 3)).cast("int"))
+    begin = F.when(F.col("_depth") == 2, F.locate("{", F.col("value"))).otherwise(_last_opening(F.col("value"), F.col("_depth")))
+    text = F.when(F.col("_starts") == 1, F.substring("value", begin, F.length("value"))).when(F.col("_depth") >= 3, F.col("value"))
+    placed = placed.withColumns({"_text": text, "_seen": F.sum("_starts").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    pieces = settle(placed.filter(F.col("_text").isNotNull()).select(*here, "i", "_starts", "_seen", "_text"), "feature-pieces")
+    starts = pieces.groupBy(*here).agg(F.sum("_starts").alias("_n"))
+    starts = starts.select(*here, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    own = pieces.join(settle(starts, "starts"), here).withColumn("number", F.col("_before") + F.col("_seen") - 1)
+    texts = own.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "i", "_text"))).alias("_t"))
+    texts = settle(texts.select("file", "number", F.concat(F.array_join("_t._text", "}"), F.lit("}")).alias("text")), "features")
+    is_feature = F.coalesce(F.get_json_object("text", "$.type") == "Feature", F.lit(False))
+    # other objects as deep, such as a coordinate system's, don't count; there are hardly any
+    others = texts.filter(~is_feature).groupBy("file").agg(F.collect_list("number").alias("_others"))
+    out = texts.filter(is_feature).join(settle(others, "other-objects"), "file", "left")
+    number = F.col("number") - F.coalesce(F.size(F.filter("_others", lambda n: n < F.col("number"))), F.lit(0))
+    return out.select("file", F.when(F.col("_others").isNull(), F.col("number")).otherwise(number).cast("int").alias("number"), "text")
+
+
+def _last_opening(value: Column, depth: Column) -> Column:
+    """Place (from 1) of the last brace outside strings that leads from two brackets deep to three; for the few first pieces."""
+    start = F.struct(F.lit(1).alias("at"), depth.cast("int").alias("depth"), F.lit(False).alias("inside"), F.lit(False).alias("escaped"), F.lit(1).alias("found"))
+
+    def step(s: Column, c: Column) -> Column:
+        quote = (c == '"') & ~s["escaped"]
+        outside = ~s["inside"]
+        down = outside & c.isin("{", "[")
+        return F.struct((s["at"] + 1).alias("at"), (s["depth"] + down.cast("int") - (outside & c.isin("}", "]")).cast("int")).alias("depth"),
+                        F.when(quote, ~s["inside"]).otherwise(s["inside"]).alias("inside"), (s["inside"] & (c == "\\") & ~s["escaped"]).alias("escaped"),
+                        F.when(outside & (c == "{") & (s["depth"] == 2), s["at"]).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(F.split(value, ""), start, step, lambda s: s["found"])
+
+
 def scan_regions(spark: SparkSession, path: str, name: str = "name", lines: bool = False) -> DataFrame:
     """GeoJSON polygons as edges: region_id, region, part_id, ring_id, x1, y1, x2, y2.
 
-    A FeatureCollection is one JSON document; ``lines`` reads one feature per line instead, with its
-    number in the property ``region_id``, which splits over tasks.
+    Documents are read in blocks by many tasks, and a feature's number is its place in its document; ``lines`` reads one
+    feature per line instead, with its number in the property ``region_id``.
     """
     properties, geometry = f"struct<`{name}`:string,region_id:int>", "struct<type:string,coordinates:string>"
     if lines:
         f = spark.read.schema(f"properties {properties}, geometry {geometry}").json(path) \
             .select(F.col("properties.region_id").alias("region_id"), F.struct("properties", "geometry").alias("f"))
     else:
-        feature = f"struct<properties:{properties},geometry:{geometry}>"
-        doc = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True)
-        f = doc.select(F.posexplode("features").alias("region_id", "f"))
+        f = scan_features(spark, path).select(F.col("number").alias("region_id"), F.from_json("text", f"properties {properties}, geometry {geometry}").alias("f"))
     shape = F.col("f.geometry.coordinates")
     polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(shape, f"array<{_POINTS}>"))) \
         .otherwise(F.from_json(shape, f"array<array<{_POINTS}>>"))

@@ -154,3 +154,39 @@ def test_table_headers_differ_by_file(spark, tmp_path):
     (tmp_path / "c.txt").write_text("2036 5 0 6\n")
     with pytest.raises(ValueError, match="c.txt"):
         tables.scan_ws_table(spark, str(tmp_path), {"x": "x"})
+
+
+def test_documents_of_regions_are_read_in_blocks(spark, tmp_path):
+    """Braces, quotes and escapes in names, other objects, several documents: the same features as a parser finds, by many tasks."""
+    import random
+    r = random.Random(4)
+    names = ['plain', 'a "quoted" one', 'brace } here', 'open { [ there', 'back\\slash\\', 'tail\\\\" }', 'ünï ∑', '', '}{][', '\n']
+    want = {}
+    for k in range(2):
+        features = []
+        for i in range(700):
+            ring = [[r.randrange(90), r.randrange(90)] for _ in range(r.randrange(3, 30))]
+            geometry = {"type": "Polygon", "coordinates": [ring + ring[:1]]} if i % 3 else {"type": "MultiPolygon", "coordinates": [[ring + ring[:1]], [ring + ring[:1]]]}
+            properties = {"x": {"y": [1, {"z": "}"}]}, "name": r.choice(names)} if i % 5 == 0 else {"name": r.choice(names), "also": None}
+            features.append({"type": "Feature", "properties": properties, "geometry": geometry} if i % 2 else {"geometry": geometry, "properties": properties, "type": "Feature"})
+        document = {"type": "FeatureCollection", "name": 'odd "{" name', "crs": {"type": "name", "properties": {"name": "urn:x}"}}, "bbox": [[1, 2], [3, 4]], "features": features,
+                    "links": [{"href": "{"}, {"href": "}"}]}
+        (tmp_path / f"g{k}.geojson").write_text(json.dumps(document, indent=k or None, ensure_ascii=False))
+        for i, f in enumerate(features):
+            for part, rings in enumerate([f["geometry"]["coordinates"]] if f["geometry"]["type"] == "Polygon" else f["geometry"]["coordinates"]):
+                for j, (a, b) in enumerate(zip(rings[0], rings[0][1:])):
+                    key = (i, f["properties"]["name"], part, 0, *map(float, (*a, *b)))
+                    want[key] = want.get(key, 0) + 1
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = {}
+        for row in tables.scan_regions(spark, str(tmp_path)).collect():
+            key = (row["region_id"], row["region"], row["part_id"], row["ring_id"], row["x1"], row["y1"], row["x2"], row["y2"])
+            got[key] = got.get(key, 0) + 1
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == want
