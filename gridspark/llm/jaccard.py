@@ -320,19 +320,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id (null ids last), with all columns.
 
-    Of rows with the same id and the same shingles one stays, whichever; texts without words all stay.
+    Of rows with the same id and the same shingles one stays, whichever; texts without words all stay.  Columns of any
+    other name are kept.
     """
     found = jaccard_components(docs).filter("set_key is not null")
     first = found.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")).alias("f"))
     kept = settle(first.select(F.col("f.doc_id").alias("_kept"), F.col("f.set_key").alias("_key")), "kept")
+    own = "_set_of_row"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, most=STEP):
             h, cut = ordered_sets(*shingles(texts_of(step)), step.num_rows)
             keys = pa.array(set_keys(h, cut).view(np.int64), mask=np.diff(cut) == 0)
-            yield pa.RecordBatch.from_arrays([*step.columns, keys], [*step.schema.names, "_set_of_row"])
+            yield pa.RecordBatch.from_arrays([*step.columns, keys], [*step.schema.names, own])
 
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set_of_row", T.LongType())]))
-    same = (rows["_set_of_row"] == kept["_key"]) & rows["doc_id"].eqNullSafe(kept["_kept"])
-    stay = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_set_of_row"])
-    return stay.unionByName(rows.filter("_set_of_row is null")).drop("_set_of_row")
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    same = (rows[own] == kept["_key"]) & rows["doc_id"].eqNullSafe(kept["_kept"])
+    stay = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", own])
+    return stay.unionByName(rows.filter(F.col(own).isNull())).drop(own)
