@@ -32,8 +32,8 @@ SHARDS, LEAST, MOST_WORDS, KEPT = 4, 100, 5, 2000
 SLOTS, PROBES, BLOCKS = 1 << 24, 2, 32
 #: Distinct phrases a task holds before it hands on its counts.
 HELD = 400_000
-#: Parts of a language's candidates that are ranked on their own first.
-SALTS = 64
+#: Bands of scores for each doubling of the score, and parts of a band, that are ranked on their own.
+BANDS, SALTS = 8, 16
 
 _NEVER = 255
 _CLASS = np.zeros(256, np.uint8)  # 0 in a word, 1 between words, 2 between pieces
@@ -289,12 +289,27 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     # a phrase inside a longer one that is as frequent is also inside one that is a single word longer
     inside = candidates.filter("words > 2").select("lang", "a", F.explode(F.array(part(F.lit(1), F.col("words") - 1), part(F.lit(2), F.col("words") - 1))).alias("phrase")) \
         .groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
-    scored = scored.join(inside, ["lang", "phrase"], "left").filter(F.col("_longer").isNull() | (F.col("_longer") < F.col("a"))) \
-        .withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    scored = scored.join(inside, ["lang", "phrase"], "left").filter(F.col("_longer").isNull() | (F.col("_longer") < F.col("a"))).drop("_longer")
+    return best_of(settle(scored, "scored"), kept).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def best_of(scored: DataFrame, kept: int) -> DataFrame:
+    """Each language's ``kept`` rows of the highest score (then a, then the first phrase), with their rank.
+
+    A language's rows never meet in one task: its scores are cut into bands, bands behind the first ``kept`` rows are
+    dropped by their counts, rows are ranked within a band, and first of all within parts of it by a hash.
+    """
+    band = F.floor(F.log2(F.col("score") + 1) * BANDS).cast("int")
+    rows = scored.withColumns({"_band": band, "_salt": F.pmod(F.xxhash64("phrase"), F.lit(SALTS))})
+    counts = rows.groupBy("lang", "_band").agg(F.count("*").alias("_in"))
+    above = F.sum("_in").over(Window.partitionBy("lang").orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_above", F.coalesce(above, F.lit(0))).filter(F.col("_above") < kept).drop("_in")
+    rows = rows.join(settle(counts, "bands"), ["lang", "_band"])
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    for keys in (["lang", "_salt"], ["lang"]):  # a language's candidates never meet in one task before they are cut down
-        scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= kept)
-    return scored.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    for keys in (["lang", "_band", "_salt"], ["lang", "_band"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + F.col("_above").cast("int")
+        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= kept)
+    return rows
 
 
 def oracle(least: int = LEAST, most_words: int = MOST_WORDS, kept: int = KEPT) -> str:
