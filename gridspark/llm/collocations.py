@@ -27,7 +27,7 @@ from gridspark.llm.hashing import _power, mix, runs
 from gridspark.scratch import scratch_path, settle
 
 #: Shards of a cycle, least count of a candidate, most words of a phrase, and phrases kept per language.
-SHARDS, LEAST, MOST_WORDS, KEPT = 4, 100, 5, 2000
+SHARDS, LEAST, MOST_WORDS, KEPT = 3, 100, 5, 2000
 #: Slots of the filter (its size in bytes), slots per phrase, and blocks in which slots go to the driver.
 SLOTS, PROBES, BLOCKS = 1 << 24, 2, 32
 #: Distinct phrases a task holds before it hands on its counts.
