@@ -1,10 +1,13 @@
 import math
 
+import duckdb
 import pytest
 from conftest import as_dict
 from pyspark.sql import functions as F
 
+from gridspark.plans import load_queries
 from gridspark.plans import products as P
+from gridspark.plans.registry import ORACLES, QUERIES
 from gridspark.scratch import scratch_path
 from gridspark.sources import grid
 
@@ -181,3 +184,29 @@ def test_process_daily_drops_padding(frame):
     assert out["tasmin", 0] == 271.0 and out["tasmax", 1] == 273.0 and out["tas_below_0", 0] == 2.0
     with pytest.raises(ValueError):
         P.process_daily(frame(rows, "experiment string, member string, date date, cell_id int, value double"), "aod")
+
+
+def test_whole_sweep_is_returned(spark, tmp_path):
+    n = 4000
+    i = "cast(range as int) as i"
+    tables = dict(
+        region="select cast(range as int) as r_regionkey, 'R' || range as r_name from range(5)",
+        supplier="select range + 1 as s_suppkey from range(100)",
+        customer="select range + 1 as c_custkey, cast(100 + range % 37 as double) as c_acctbal from range(300)",
+        orders=f"select case i % 3 when 0 then '1-URGENT' when 1 then '2-HIGH' else '5-LOW' end as o_orderpriority, date '1995-01-01' + (i * 7) % 2500 as o_orderdate, "
+               f"cast(90000 + (i * 7919) % 40000 as double) as o_totalprice from (select {i} from range({n}))",
+        lineitem=f"select case when i % 7 < 4 then 'F' else 'O' end as l_linestatus, case i % 3 when 0 then 'A' when 1 then 'N' else 'R' end as l_returnflag, "
+                 f"date '1995-01-01' + (i * 11) % 2500 as l_shipdate, i % 20 as l_suppkey, cast(1 + (i * 31) % 50 as double) as l_quantity, "
+                 f"cast(900 + (i * 7919) % 90000 as double) as l_extendedprice from (select {i} from range({5 * n}))")
+    con = duckdb.connect()
+    for name, sql in tables.items():
+        con.execute(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    load_queries()
+    out = QUERIES["sweep_all"](spark, str(tmp_path))
+    cur = con.execute(ORACLES["sweep_all"])
+    columns = [c[0] for c in cur.description]
+    expected = sorted(map(repr, cur.fetchall()))
+    assert sorted(repr(tuple(r)) for r in out.select(*columns).collect()) == expected
+    assert {r["product"] for r in out.select("product").distinct().collect()} == set(P.SWEPT)
+    assert {(r["scenario"], r["first_run"]) for r in out.select("scenario", "first_run").distinct().collect()} == {("1-URGENT", True), ("2-HIGH", True), ("5-LOW", False)}
