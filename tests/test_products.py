@@ -3,8 +3,10 @@ import math
 import duckdb
 import pytest
 from conftest import as_dict
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.operators import stats
 from gridspark.plans import load_queries
 from gridspark.plans import products as P
 from gridspark.plans.registry import ORACLES, QUERIES
@@ -210,3 +212,33 @@ def test_whole_sweep_is_returned(spark, tmp_path):
     assert sorted(repr(tuple(r)) for r in out.select(*columns).collect()) == expected
     assert {r["product"] for r in out.select("product").distinct().collect()} == set(P.SWEPT)
     assert {(r["scenario"], r["first_run"]) for r in out.select("scenario", "first_run").distinct().collect()} == {("1-URGENT", True), ("2-HIGH", True), ("5-LOW", False)}
+
+
+def test_fits_read_written_tables(spark, tmp_path, monkeypatch):
+    """Maps, series and cells are used several times: none may go back to the driver tables."""
+    con = duckdb.connect()
+    tables = dict(
+        region="select cast(range as int) as r_regionkey, 'R' || range as r_name from range(5)",
+        supplier="select range as s_suppkey from range(20)",
+        customer="select range as c_custkey, 1.0::double as c_acctbal from range(20)",
+        orders="select '5-LOW' as o_orderpriority, date '1995-01-01' + cast(range as int) * 300 as o_orderdate, 1e5 as o_totalprice from range(9)",
+        lineitem="select 'F' as l_linestatus, 'A' as l_returnflag, date '1995-01-01' + cast(range as int) * 300 as l_shipdate, range as l_suppkey, "
+                 "5e0 as l_quantity, 1e3 as l_extendedprice from range(9)")
+    for name, sql in tables.items():
+        con.execute(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+    load_queries()
+
+    class Stop(Exception):
+        pass
+
+    def seen(*frames, **kw):
+        files.extend(f for d in frames if isinstance(d, DataFrame) for f in d.inputFiles())
+        raise Stop
+
+    files = []
+    monkeypatch.setattr(P, "fit_all", seen)
+    monkeypatch.setattr(stats, "bootstrap_ols", seen)
+    for name in ("fit_all", "bootstrap_ols"):
+        with pytest.raises(Stop):
+            QUERIES[name](spark, str(tmp_path))
+    assert files and not [f for f in files if str(tmp_path) in f]
